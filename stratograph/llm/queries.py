@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, mixing, sharding, token_output
+from . import chat_format, embedding_dedup, language_id, mixing, ngram_join, sharding, substring_dedup, suffix_dedup, token_output
 
 #: The tokenizer file; a parameter of the operator, never copied here.
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,14 +20,30 @@ def op1_mixing(spark, sf_dir):
     return mixing.mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.link_documents(_table(spark, sf_dir, "documents"))
+
+
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.links(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark, sf_dir):
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents")))
+
+
 def op7_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup.digest(substring_dedup.repeated_words(_table(spark, sf_dir, "documents")))
+
+
 def op9_token_output(spark, sf_dir):
     import public_tokenizers
 
@@ -45,8 +61,12 @@ def op10_chat_format(spark, sf_dir):
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op7_sharding": op7_sharding,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_output": op9_token_output,
     "op10_chat_format": op10_chat_format,
 }
