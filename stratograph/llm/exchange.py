@@ -27,6 +27,8 @@ from .common import partitions, release, written
 BLOCK, TABLE_BUCKET, ROUND_BUCKET = 1 << 20, 8 << 20, 6 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Slices of a vector that is summed over partitions.
+SLICES = 64
 _REPLY = "array<struct<bucket:int,bits:binary>>"
 
 
@@ -306,3 +308,31 @@ def spans(mask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     stop = np.flatnonzero(over) + 1
     row = np.searchsorted(ends, first, "right") - 1
     return row, first - ends[row], stop - ends[row]
+
+
+def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, kind: str) -> np.ndarray:
+    """The sum over all partitions of count(batches), a vector of ``length`` numbers of ``kind``.
+
+    Partitions send slices that are added in two steps, so what one task adds up is bounded
+    by 1/64 of the partitions' slices; the driver gets the one sum."""
+    width = -(-length // SLICES)
+
+    def send(batches):
+        total = np.zeros(width * SLICES, kind)
+        total[:length] = count(batches)
+        at = [TaskContext.get().partitionId() % 64] * SLICES
+        parts = [total[i * width : (i + 1) * width].tobytes() for i in range(SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(at, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "part", "total"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(width, kind)
+        for x in table["total"]:
+            total += np.frombuffer(x.as_buffer(), kind)
+        return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "total": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "slice int, part int, total binary"
+    parts = rows.mapInArrow(send, schema).groupBy("slice", "part").applyInArrow(add, schema)
+    found = parts.groupBy("slice").applyInArrow(add, schema).orderBy("slice").toArrow()
+    if not found.num_rows:
+        return np.zeros(length, kind)
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found["total"]])[:length]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, embedding_dedup, language_id, mixing, ngram_join, sharding, substring_dedup, suffix_dedup, token_output
+from . import chat_format, decontamination, embedding_dedup, language_id, mixing, ngram_join, sharding, substring_dedup, suffix_dedup, token_output
 
 #: The tokenizer file; a parameter of the operator, never copied here.
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,10 @@ def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digest(suffix_dedup.repeated_spans(_table(spark, sf_dir, "documents")))
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontamination.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_sharding": op7_sharding,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_output": op9_token_output,

@@ -31,11 +31,13 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 class Words:
-    """The words of a block: where they lie, the text each is in, and hashes of stretches."""
+    """The words of a block: where they lie, the text each is in, and hashes of stretches.
 
-    def __init__(self, block: Block):
+    space: for each byte, whether it separates words."""
+
+    def __init__(self, block: Block, space: np.ndarray = _SPACE):
         data = block.data
-        inside = ~_SPACE[data]
+        inside = ~space[data]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
         edge = block.ends[1:-1]
