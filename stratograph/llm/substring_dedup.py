@@ -53,6 +53,7 @@ class Words:
         size = (stop - first).astype(np.uint64)
         self.hashes = [Hashes(mixed(byte_hashes(data, k).of(first, stop) + size), k) for k in (0, 1)]
         self.n = len(first)
+        self.memo: dict = {}
 
     def name(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mixed(self.hashes[0].of(first, stop) + (stop - first).astype(np.uint64))
@@ -106,36 +107,44 @@ class Symbols:
 
 
 class Plan:
+    """What the rounds ask of a block.  Steps that later ones build on are kept in words.memo."""
+
     def __init__(self, window: int):
         self.window = window
 
     def short(self, words: Words) -> tuple[np.ndarray, np.ndarray, Questions]:
         """Symbols that a window can hold with all that decided them, and their names."""
-        symbols = Symbols(words)
-        for k in range(FEW):
-            symbols.round(k)
-        fits = (symbols.from_ >= 0) & (symbols.to <= words.n) & (symbols.to - symbols.from_ <= self.window)
-        first, stop = symbols.from_[fits], symbols.to[fits]
-        return first, stop, Questions(words.name(first, stop))
+        if "short" not in words.memo:
+            symbols = Symbols(words)
+            for k in range(FEW):
+                symbols.round(k)
+            fits = (symbols.from_ >= 0) & (symbols.to <= words.n) & (symbols.to - symbols.from_ <= self.window)
+            first, stop = symbols.from_[fits], symbols.to[fits]
+            words.memo["symbols"] = symbols
+            words.memo["short"] = first, stop, Questions(words.name(first, stop))
+        return words.memo["short"]
 
     def open(self, words: Words, reply: Reply) -> np.ndarray:
         """True at the first words of windows that hold no symbol of a unique name."""
-        at = np.arange(words.n)
-        whole = at + self.window <= words.ends[words.text + 1] if words.n else np.zeros(0, bool)
-        first, stop, asked = self.short(words)
-        lone = ~reply.to(asked)
-        first, stop = first[lone], stop[lone]
-        return whole & ~covered(words.n, np.maximum(0, stop - self.window), first + 1)
+        if "open" not in words.memo:
+            at = np.arange(words.n)
+            whole = at + self.window <= words.ends[words.text + 1] if words.n else np.zeros(0, bool)
+            first, stop, asked = self.short(words)
+            lone = ~reply.to(asked)
+            first, stop = first[lone], stop[lone]
+            words.memo["open"] = whole & ~covered(words.n, np.maximum(0, stop - self.window), first + 1)
+        return words.memo["open"]
 
     def long(self, words: Words, reply: Reply) -> tuple[np.ndarray, np.ndarray, Questions]:
         """Pairs of neighbouring long symbols of which every window is open."""
-        symbols = Symbols(words)
-        for k in range(MANY):
+        open_ = self.open(words, reply)
+        symbols = words.memo["symbols"]
+        for k in range(FEW, MANY):
             symbols.round(k)
         first, stop = symbols.first[:-1], symbols.stop[1:]
         good = (symbols.text[:-1] == symbols.text[1:]) & (stop - first >= self.window)
         first, stop = first[good], stop[good]
-        closed = np.concatenate([[0], np.cumsum(~self.open(words, reply))])
+        closed = np.concatenate([[0], np.cumsum(~open_)])
         good = closed[stop - self.window + 1] == closed[first]
         first, stop = first[good], stop[good]
         return first, stop, words.questions(first, stop)
