@@ -184,7 +184,7 @@ def pattern_sql() -> str:
       WHEN services >= 2 AND sl / (services * (services - 1.0)) < 0.2 THEN ['Microservices', '0.8']
       WHEN services >= 2 AND sl / (services * (services - 1.0)) < 0.4 THEN ['Microservices', '0.5']
       WHEN events / n::DOUBLE > 0.25 OR (events >= 3 AND el >= 1) THEN ['Event-Driven', least(0.9, 0.5 + events / n::DOUBLE)::VARCHAR]
-      WHEN domains > 0 AND bad = 0 THEN ['Clean Architecture', '0.85']
+      WHEN domains > 0 AND coalesce(bad, 0) = 0 THEN ['Clean Architecture', '0.85']
       WHEN m AND v AND c THEN ['Model-View-Controller', '0.9'] WHEN (m OR v) AND c THEN ['Model-View-Controller', '0.6']
       WHEN flows > 0 AND layers >= 2 AND good / flows::DOUBLE > 0.5 THEN ['Layered Architecture', (good / flows::DOUBLE)::VARCHAR] ELSE ['Unknown', '0'] END AS p
     FROM (SELECT community, count(*) AS n, count(*) FILTER (service) AS services, count(*) FILTER (event) AS events, count(*) FILTER (layer = 'Domain') AS domains,

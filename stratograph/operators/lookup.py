@@ -151,16 +151,15 @@ def query_gate(state: str, pending: int, seconds_per_file: float = 0.1) -> dict:
 
 
 def matching_sections(sections: DataFrame, pages: DataFrame, text: str, depth: int = 16) -> DataFrame:
-    """Ids of sections whose title, a page's title or any descendant matches."""
+    """Ids of sections whose title, a page's title or any descendant matches: hits walk up."""
+    from .traverse import reach
+
     low = text.lower()
-    hits = sections.filter(F.lower("title").contains(low)).select("section_id").unionByName(
-        pages.filter(F.lower("title").contains(low)).select("section_id")
-    ).distinct()
-    found, edge = hits, hits
-    for _ in range(depth):
-        edge = sections.join(edge, "section_id", "left_semi").filter("parent_id is not null").select(F.col("parent_id").alias("section_id")).distinct()
-        found = found.unionByName(edge)
-    return sections.select("section_id").join(found.distinct(), "section_id", "left_semi")
+    hits = sections.filter(F.lower("title").contains(low)).select("section_id")
+    hits = hits.unionByName(pages.filter(F.lower("title").contains(low)).select("section_id"))
+    up = sections.filter("parent_id is not null").select(F.col("section_id").alias("src"), F.col("parent_id").alias("dst"))
+    found = reach(up, hits.select(F.col("section_id").alias("node_id")), depth).select(F.col("node_id").alias("section_id"))
+    return sections.select("section_id").join(found, "section_id", "left_semi")
 
 
 def first_match(candidates: DataFrame, key: str, *order: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Bounded traversals: levels of joins, unrolled to the depth asked for."""
+"""Bounded traversals: a join for each level, up to the depth asked for."""
 
 from __future__ import annotations
 
@@ -6,20 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.model import Graph
+from ..sources.tables import cut
 from .lookup import of_types
 
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(node_id, depth): nodes within ``depth`` steps along edges (src, dst), at their least depth.
 
-    Each level joins the newly found nodes alone, so hubs are expanded once; the plan has no
-    action in it.  Roots have depth 0."""
+    Each level joins the newly found nodes alone, so hubs are expanded once.  Levels are
+    written tables: a later level reads them instead of planning all earlier ones again, and
+    the walk ends with the first empty level.  Roots have depth 0."""
     edges = edges.select("src", "dst")
-    edge = roots.select("node_id").distinct()
+    edge = cut(roots.select("node_id").distinct(), "level")
     found = edge.withColumn("depth", F.lit(0))
     for k in range(1, depth + 1):
         step = edges.join(edge, F.col("src") == F.col("node_id"), "left_semi").select(F.col("dst").alias("node_id")).distinct()
-        edge = step.join(found.select("node_id"), "node_id", "left_anti")
+        edge = cut(step.join(found.select("node_id"), "node_id", "left_anti"), "level")
+        if edge.isEmpty():
+            break
         found = found.unionByName(edge.withColumn("depth", F.lit(k)))
     return found
 
