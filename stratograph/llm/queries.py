@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, embedding_dedup, language_id, mixing, ngram_join, sharding, substring_dedup, suffix_dedup, token_output
+from . import chat_format, decontamination, embedding_dedup, language_id, mixing, ngram_join, oracles, sharding, substring_dedup, suffix_dedup, token_output
 
 #: The tokenizer file; a parameter of the operator, never copied here.
 TOKENIZER = "byte_bpe_50k.json"
@@ -76,4 +76,10 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_mixing": oracles.MIXING,
+    "op2_ngram_join": oracles.NGRAM_JOIN,
+    "op3_embedding_dedup": oracles.EMBEDDINGS,
+    "op8_substring_dedup": oracles.SUBSTRINGS,
+    "op10_chat_format": oracles.CHAT,
+}
