@@ -77,6 +77,7 @@ class Block:
         self.ids = np.frombuffer(ids, np.int64)
         self.ends = np.frombuffer(ends, np.int64)
         self.data = np.frombuffer(data, np.uint8)
+        self.memo: dict = {}  # what later rounds use again
 
 
 @dataclass

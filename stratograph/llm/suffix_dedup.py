@@ -39,7 +39,7 @@ class Plan:
 
     def __init__(self, length: int):
         self.length = length
-        fitting = [v for v in COVERS if v <= max(1, (3 * length) // 5)]
+        fitting = [v for v in COVERS if v <= length // 3]
         self.modulus = max(fitting, default=1)
         self.cover = COVERS.get(self.modulus, (0,))
         self.depth = length - self.modulus + 1
@@ -57,8 +57,11 @@ class Plan:
         return at, Questions(byte_hashes(block.data, 0).of(at, at + self.depth))
 
     def shared(self, block: Block, first: Reply) -> np.ndarray:
-        at, asked = self.ranked(block)
-        return at[first.to(asked)]
+        """Sample positions whose rank another has; worked out once for a block."""
+        if "shared" not in block.memo:
+            at, asked = self.ranked(block)
+            block.memo["shared"] = at[first.to(asked)]
+        return block.memo["shared"]
 
     def deep(self, block: Block, first: Reply) -> tuple[np.ndarray, Questions]:
         """Shared sample positions with ``DEEP`` windows left, and their ranks at that depth."""
