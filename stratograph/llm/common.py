@@ -68,6 +68,12 @@ def unit(seed: str, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+def few(df: DataFrame, rows: int, per_task: int = 20_000) -> DataFrame:
+    """``df`` of about ``rows`` rows in no more tasks than they are worth, eight at least."""
+    tasks = max(8, rows // per_task)
+    return df.coalesce(tasks) if tasks < partitions(df.sparkSession) else df
+
+
 def components(nodes_edges: DataFrame, what: str = "components") -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component).
 
@@ -75,7 +81,6 @@ def components(nodes_edges: DataFrame, what: str = "components") -> DataFrame:
     rounds grow with the logarithm of the longest path and hubs are only ever joined by a
     partial aggregate.  Each round is written to the shared folder; nothing is collected.
     """
-    spark = nodes_edges.sparkSession
     edges = written(
         nodes_edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), what
     )
@@ -84,20 +89,20 @@ def components(nodes_edges: DataFrame, what: str = "components") -> DataFrame:
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     seen = digest(edges)
-    if not seen[0]:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    while True:
+    n = seen[0]
+    while n:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        large = few(both.filter("v > u").join(low, "u"), n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = few(large.distinct(), n)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = written(small.filter("u <> v").distinct(), what)
+        small = few(large.join(low, "u"), n)
+        small = small.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
+        edges = written(few(small.filter("u <> v").distinct(), n), what)
         now = digest(edges)
         if now == seen:
             break
         seen = now
+        n = seen[0]
     out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
