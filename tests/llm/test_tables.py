@@ -196,3 +196,29 @@ def test_pipeline(spark, tmp_path):
     ids = {r["doc_id"] for r in out}
     assert ids and not ids & {100, 101, 300} and not ids & set(range(200, 210))
     assert sorted((r["start"], r["n_tokens"]) for r in out)[-1][0] + sorted((r["start"], r["n_tokens"]) for r in out)[-1][1] == sum(r["n_tokens"] for r in out)
+
+
+@pytest.mark.parametrize("n_items", [1000, 4000])
+def test_decontamination_of_many_items(spark, n_items):
+    r = random.Random(n_items)
+    vocabulary = [f"v{i}" for i in range(6000)]
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(15, 60)))) for k in range(n_items)]
+    items[7] = (7, " ".join(r.choice(vocabulary) for _ in range(64 * 120)))  # more passages than dimensions
+    docs = []
+    for i in range(200):
+        own = [r.choice(vocabulary) for _ in range(r.randint(1, 120))]
+        at = r.randint(0, len(own))
+        if i % 2 == 0:
+            own[at:at] = items[7 if i == 50 else r.randrange(n_items)][1].split()
+        docs.append((i, " ".join(own), "en", "s", 1))
+    leaks = set()
+    patterns = [(k, set(t.split()), decontamination._pattern(t.split())) for k, t in items]
+    for i, text, *_ in docs:
+        there = set(text.split())
+        for k, names, (pattern, size) in patterns:
+            if len(names & there) >= 0.5 * len(names) and decontamination._in_order(pattern, size, text.split()) >= 0.7 * size:
+                leaks.add((i, k))
+    assert len(leaks) >= 100
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.find_leaks(spark.createDataFrame(docs, DOCS), benchmark).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == leaks
