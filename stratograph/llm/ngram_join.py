@@ -225,14 +225,29 @@ def link_documents(
     edges = verified(tried)
     reached = components(edges)
 
-    labelled = classes.join(reached, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    mixed_ = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    members = groups.select("node", "g1", "g2").join(leaders.select("g1", "g2", "leader"), ["g1", "g2"]).join(reached, "node", "left")
+    members = written(members.select("leader", "node", F.coalesce("component", "node").alias("comp")), "members")
+    release(spark)
+    spans = members.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+    labelled = classes.filter("pos >= 0").join(spans, F.col("node") == F.col("leader")).drop("leader")
+    mixed_ = labelled.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least <> most").select("token")
     labelled = written(labelled.join(mixed_, "token"), "mixed")
     release(spark)
-    x = labelled.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("pos").alias("pa"))
-    y = labelled.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("pos").alias("pb"))
-    rest = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near("a", "b")).select("a", "b").distinct()
-    rest = promising(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    x = labelled.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.col("size").alias("sa"))
+    y = labelled.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.col("size").alias("sb"))
+    apart = F.least("la", "lb") != F.greatest("ha", "hb")
+    leading = x.join(y, "token").filter((F.col("a") < F.col("b")) & apart & near("a", "b")).select("a", "b", ((F.col("sa") > 1) | (F.col("sb") > 1)).alias("more")).distinct()
+    # a pair tried in vain says nothing of the groups' other members
+    leading = leading.join(tried.withColumn("tried", F.lit(True)), ["a", "b"], "left").filter("tried is null or more").select("a", "b")
+    leading = promising(leading, "rest")
+    x = members.select(F.col("leader").alias("la"), F.col("node").alias("a"), F.col("comp").alias("ca"))
+    y = members.select(F.col("leader").alias("lb"), F.col("node").alias("b"), F.col("comp").alias("cb"))
+    split = spans.filter("lo <> hi").select(F.col("leader").alias("la"), F.col("leader").alias("lb"))
+    both = leading.select(F.col("a").alias("la"), F.col("b").alias("lb")).unionByName(split)
+    rest = both.join(x, "la").join(y, "lb").filter((F.col("ca") != F.col("cb")) & ((F.col("la") != F.col("lb")) | (F.col("a") < F.col("b"))))
+    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
+    rest = written(rest, "expanded")
+    release(spark)
     more = verified(rest)
     home = nodes.select("n", "h1", "h2", F.col("node").alias("home"))
     if repeated:  # ids of several texts tie their components together

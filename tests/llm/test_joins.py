@@ -56,6 +56,21 @@ def test_documents_match_all_pairs(spark, n, num):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), want[i]) for i in ids}
 
 
+def test_members_of_a_group_meet_other_groups(spark):
+    r = random.Random(3)
+    body = [f"b{i}" for i in range(37)]
+    first = {day: ["published", "on", day, "by", "staff"] for day in ("monday", "tuesday")}
+    rows = [(0, first["tuesday"] + body), (1, first["monday"] + body), (2, first["monday"] + body[:-1] + ["other"])]
+    rows += [(10 + i, first["monday" if i % 2 else "tuesday"] + [f"c{r.randrange(10**9)}" for _ in range(30)]) for i in range(100)]
+    rows = [(i, " ".join(words)) for i, words in rows]
+    sets = {i: shingles(t, 3) for i, t in rows}
+    ids = list(sets)
+    want = closure(ids, [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])])
+    got = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert want[2] == 1 and want[1] == 1
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_crowd_of_near_copies_is_one_component(spark):
     base = [f"w{i}" for i in range(200)]
     rows = []
