@@ -91,7 +91,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", v
 
 def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame | None:
     """Rows (id, links, label): links of representatives, weighted by their classes, and
-    labels that connect them."""
+    labels that connect them; a label that fell is tied to the lower one by a row of no links."""
     if n < 2:
         return None
     spark = classes.sparkSession
@@ -171,7 +171,17 @@ def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame
         label, count = ids.copy(), np.zeros(len(ids), np.int64)
         others, other_w, y = side(table, False)
         other_label, other_count = others.copy(), np.zeros(len(others), np.int64)
-        step = 1024
+        step, falls = 1024, []
+
+        def lower(near, mine, rows, theirs, hit):
+            """Lowers the labels of linked vectors and keeps which older label each new one belongs with."""
+            old = np.concatenate((mine[rows], theirs[hit]))
+            mine_new, theirs_new = _min_labels(near, mine[rows], theirs[hit])
+            fell = np.stack((old, np.concatenate((mine_new, theirs_new))), axis=1)
+            falls.append(np.unique(fell[fell[:, 0] != fell[:, 1]], axis=0))
+            mine[rows] = mine_new
+            theirs[hit] = np.minimum(theirs_new, theirs[hit])
+
         if table["chunk"][0].as_py() == 0:
             for i in range(0, len(ids), step):
                 near = x[i : i + step] @ x[i:].T >= threshold
@@ -184,9 +194,7 @@ def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame
                     count[i + inside.shape[1] :] += w[i : i + step] @ beyond
                     hit = np.flatnonzero(near.any(axis=0)) + i
                     rows = np.flatnonzero(some) + i
-                    both = near[np.ix_(rows - i, hit - i)]
-                    label[rows], new = _min_labels(both, label[rows], label[hit])
-                    label[hit] = np.minimum(new, label[hit])
+                    lower(near[np.ix_(rows - i, hit - i)], label, rows, label, hit)
         for i in range(0, len(others) if len(ids) else 0, step):
             near = y[i : i + step] @ x.T >= threshold
             rows = np.flatnonzero(near.any(axis=1))
@@ -194,10 +202,12 @@ def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame
                 other_count[i + rows] += near[rows] @ w
                 count += other_w[i + rows] @ near[rows]
                 hit = np.flatnonzero(near.any(axis=0))
-                other_label[i + rows], label[hit] = _min_labels(near[np.ix_(rows, hit)], other_label[i + rows], label[hit])
+                lower(near[np.ix_(rows, hit)], other_label, i + rows, label, hit)
         ids, count, label = (np.concatenate(p) for p in ((ids, others), (count, other_count), (label, other_label)))
         linked = count > 0
-        return pa.table({"id": ids[linked], "links": count[linked], "label": label[linked]})
+        fell = np.concatenate([np.zeros((0, 2), np.int64), *falls])
+        ids, count, label = np.append(ids[linked], fell[:, 0]), np.append(count[linked], np.zeros(len(fell), np.int64)), np.append(label[linked], fell[:, 1])
+        return pa.table({"id": ids, "links": count, "label": label})
 
     packed = classes.select("rep", "w", "v").mapInArrow(deal, _PACK)
     return packed.groupBy("cell", "block", "chunk").applyInArrow(join, "id long, links long, label long")

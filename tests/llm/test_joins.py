@@ -123,6 +123,24 @@ def test_vectors_match_all_pairs(spark, monkeypatch):
     assert by[None]["n_links"] == 0 and by[None]["component_id"] is None
 
 
+@pytest.mark.parametrize(("cell", "natives"), [(100_000, 100_000), (300, 200)])
+def test_chains_of_vectors_stay_whole(spark, monkeypatch, cell, natives):
+    monkeypatch.setattr(embedding_dedup, "CELL", cell)
+    monkeypatch.setattr(embedding_dedup, "NATIVES", natives)
+    r = np.random.default_rng(5)
+    ids = r.permutation(2500).tolist()
+    turn = 0.3 * np.arange(5)  # chains of five: neighbours link (cosine 0.955), others do not
+    rows, want = [], {}
+    for c in range(500):
+        u, v = np.linalg.qr(r.normal(size=(64, 2)))[0].T
+        chain = ids[5 * c : 5 * c + 5]
+        rows += [(i, (np.cos(t) * u + np.sin(t) * v).tolist()) for i, t in zip(chain, turn)]
+        want |= {i: (1 if k in (0, 4) else 2, min(chain), i == min(chain)) for k, i in enumerate(chain)}
+    rows = [rows[i] for i in r.permutation(len(rows))]
+    got = embedding_dedup.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {x["vec_id"]: tuple(x)[1:] for x in got} == want
+
+
 def test_crowd_of_equal_vectors(spark):
     rows = [(i, [1.0, 2.0]) for i in range(50)] + [(99, [-1.0, 0.0])]
     got = {r["vec_id"]: tuple(r)[1:] for r in embedding_dedup.links(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
