@@ -49,28 +49,26 @@ def links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", v
 
     Two vectors link when their cosine, in double precision, is at least ``threshold`` (above
     0).  n_links counts the other rows linked; component_id is the smallest vec_id reachable;
-    kept says vec_id = component_id.  Vectors that are null, zero, of another than the most
-    common length, or that hold null or non-finite numbers link with nothing.  Rows that share
-    a vec_id count as rows each and are one node.  A null vec_id links with nothing and has
-    no component.  An empty table gives no rows.
+    kept says vec_id = component_id. Vectors that are null, zero or hold null or non-finite
+    numbers link with nothing; those of different lengths do not link with each other, and each
+    length is joined on its own, one after another. Rows that share a vec_id count as rows each
+    and are one node. A null vec_id links with nothing and has no component. An empty table
+    gives no rows.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     base = base.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    size = base.filter("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = size["d"] if size else 0
     v = F.transform("v", lambda x: x + F.lit(0.0))
-    rows = base.select("vec_id", "v", (F.col("ok") & (F.size("v") == dim)).alias("ok"))
+    rows = base.select("vec_id", "v", "ok")
     rows = rows.select("vec_id", F.when(F.col("ok"), v).alias("v"), F.when(F.col("ok"), F.xxhash64(v)).alias("h1"), F.when(F.col("ok"), F.xxhash64(F.reverse(v))).alias("h2"))
     classes = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("v").alias("v"))
     classes = written(classes, "vectors")
     keys = rows.select("vec_id", "h1", "h2")
-    n = classes.count()
-    found = _joined(classes, n, dim, threshold)
-    if found is None:
-        found = spark.createDataFrame([], "id long, links long, label long")
+    found = spark.createDataFrame([], "id long, links long, label long")
+    for dim, n in classes.groupBy(F.size("v").alias("d")).count().filter("count > 1").orderBy("d").collect():
+        found = found.unionByName(_joined(classes.filter(F.size("v") == dim), n, dim, threshold))
     found = written(found, "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     mapped = keys.filter("h1 is not null").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
@@ -89,12 +87,9 @@ def links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", v
     )
 
 
-def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame | None:
+def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
     """Rows (id, links, label): links of representatives, weighted by their classes, and
     labels that connect them; a label that fell is tied to the lower one by a row of no links."""
-    if n < 2:
-        return None
-    spark = classes.sparkSession
     reach = float(np.arccos(min(1.0, threshold)))
     picked = classes.orderBy(F.xxhash64("rep", F.lit("pivot")), "rep").limit(int(min(MOST_PIVOTS, -(-n // CELL)))).select("v").toArrow()
     pivots = _unit(picked["v"].combine_chunks(), dim)

@@ -123,6 +123,24 @@ def test_vectors_match_all_pairs(spark, monkeypatch):
     assert by[None]["n_links"] == 0 and by[None]["component_id"] is None
 
 
+def test_vectors_of_each_length_link(spark):
+    r = np.random.default_rng(2)
+    rows, want = [], {}
+    for dim, first in ((16, 0), (8, 100), (3, 200)):
+        base = r.normal(size=(10, dim))
+        x = np.concatenate([base, base + 0.05 * r.normal(size=base.shape), base[:3]])[: 23 if dim < 16 else 20]
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = u @ u.T >= 0.95
+        np.fill_diagonal(near, False)
+        reached = closure(range(len(x)), zip(*(a.tolist() for a in np.nonzero(near))))
+        rows += [(first + i, v.tolist()) for i, v in enumerate(x)]
+        want |= {first + i: (int(near[i].sum()), first + reached[i], reached[i] == i) for i in range(len(x))}
+    rows += [(300, [1.0]), (301, [1.0, 2.0]), (302, [1.0, 2.0])]
+    want |= {300: (0, 300, True), 301: (1, 301, True), 302: (1, 301, False)}
+    got = embedding_dedup.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {x["vec_id"]: tuple(x)[1:] for x in got} == want
+
+
 @pytest.mark.parametrize(("cell", "natives"), [(100_000, 100_000), (300, 200)])
 def test_chains_of_vectors_stay_whole(spark, monkeypatch, cell, natives):
     monkeypatch.setattr(embedding_dedup, "CELL", cell)
