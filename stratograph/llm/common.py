@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,10 +56,53 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Bytes of an Arrow batch between the JVM and Python, unless the session sets its own.
+BATCH = 4 << 20
+
+
+def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` over batches of bounded bytes; a task's memory goes back when it ends."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH))
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)
+
+
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def trim() -> None:
+    """Give a Python worker's freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def col(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def local_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small driver-side table as one literal (no Python on the executors)."""
     text = json.dumps(rows)
