@@ -6,9 +6,10 @@ import random
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from .common import WORD, written
+from .common import WORD, col, fresh, written
 
 #: Weights dealt to the sources in order, the share of all words wanted, and the most repeats.
 WEIGHTS, SHARE, MOST_REPEATS = (5, 2, 1), 1.5, 2
@@ -42,6 +43,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return rows.select("source", "source_size", F.least(F.col("cap"), F.max("level").over(whole) * F.col("w")).alias("target"))
 
 
+def _as_text(docs: DataFrame, name: str):
+    """A column as text; a struct, which ``mix`` makes the id of a row, by its first field."""
+    kind = docs.schema[name].dataType
+    return (col(name)["i"] if isinstance(kind, StructType) else col(name)).cast("string")
+
+
 def mix_plan(
     docs: DataFrame,
     weights=WEIGHTS,
@@ -63,12 +70,12 @@ def mix_plan(
     cells (source, size class, hash), so a source holding most rows spreads over many tasks;
     only one row per cell, at most 64 * 32 * 256 a source, is summed in one task.
     """
-    text = F.col(text_col).cast("string")
+    text = col(text_col).cast("string")
     base = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
+        col(id_col).alias("doc_id"),
+        col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.col(id_col).cast("string")).alias("h"),
+        F.md5(_as_text(docs, id_col)).alias("h"),
         F.xxhash64(text).alias("t"),
     )
     bits = F.length(F.bin("size"))
@@ -94,13 +101,21 @@ def mix_plan(
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it (0, 1, 2 ... times).
 
-    All columns stay.  Rows that share an id share the copies of the largest plan row.
+    All columns stay, whatever their names.  Plan rows meet input rows by id, text and source;
+    where rows repeat all three, each is numbered first, so every row gets its own copies and
+    the words taken are those planned.
     """
-    plan = mix_plan(docs, id_col=id_col, **options)
-    plan = plan.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").alias("_mix_copies")).filter("_mix_copies > 0")
-    rows = docs.join(plan, docs[id_col].eqNullSafe(plan["_mix_id"]))
-    rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return rows.select(*docs.columns)
+    row, n, nth = (fresh(docs.columns, name) for name in ("_mix_row", "_mix_copies", "_mix_nth"))
+    key = F.struct(col(id_col).alias("i"), F.xxhash64(col(text_col).cast("string")).alias("t"), col(source_col).cast("string").alias("s"))
+    repeated = not docs.groupBy(key.alias("k")).count().filter("count > 1").isEmpty()
+    if repeated:
+        rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    else:
+        rows = docs.withColumn(row, key)
+    plan = mix_plan(rows, id_col=row, text_col=text_col, source_col=source_col, **options)
+    plan = plan.filter("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").alias(n))
+    rows = rows.join(plan, row).withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    return rows.select(*[col(c) for c in docs.columns])
