@@ -3,13 +3,14 @@
 The library's pre-tokenizer cuts a text into words that are encoded on their own, and the
 same words come again and again.  Texts whose characters all lie below U+0250 are therefore
 cut with vectorised rules equal to the pre-tokenizer's pattern, and each new word is encoded
-once by the library and remembered; any other text goes to the library whole.
+once by the library and remembered by its bytes; any other text goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,13 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _ODD = 1, 2, 3, 4, 5
 _LIMIT = 0x250
-#: Bytes of text handled at a time, and slots of the table of known words.
-PIECE, SLOTS = 1 << 18, 1 << 22
+#: Bytes of text handled at a time; known words, their bytes and their ids, beyond any of
+#: which the table starts anew.
+PIECE, MOST_WORDS, MOST_BYTES, MOST_IDS = 1 << 18, 1 << 19, 1 << 25, 1 << 22
+#: Slots, as a power of two, of the table of words of 16 bytes at most, which are compared as two numbers.
+SLOT_BITS = 18
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _classes() -> np.ndarray:
@@ -34,23 +40,6 @@ def _classes() -> np.ndarray:
 
 _KIND = _classes()
 _BYTE_KIND = np.concatenate([_KIND[:128], np.full(128, _ODD, np.uint8)])
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(int(_BASE), -1, 1 << 64)
-    up, down = np.full(n, _BASE), np.full(n, np.uint64(inverse))
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 class Encoder:
     """Encodes columns of text; one per Python worker and tokenizer file."""
 
@@ -67,10 +56,14 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings inside a text are ordinary text
-        self.table = np.zeros((SLOTS, 2), np.uint64)  # a word's key; its place in the pool and number of ids
-        self.pool, self.used = np.empty(1 << 20, np.int32), 0
-        self.up, self.down = _powers(1 << 16)
-        self.letters = _mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # a word's number; its ids lie in the pool
+        self.count, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.bytes = np.zeros(0, np.int32), 0
+        self.one, self.two = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint64)
+        self.size, self.number = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
 
     def pieces(self, texts: pa.StringArray):
         """(first, number) of runs of rows of about PIECE bytes."""
@@ -89,8 +82,6 @@ class Encoder:
         raw = np.frombuffer(texts.buffers()[1], np.int32, n + 1).astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[raw[0] : raw[-1]] if raw[-1] > raw[0] else np.empty(0, np.uint8)
         ends = raw - raw[0]
-        if len(data) > len(self.up):
-            self.up, self.down = _powers(1 << int(len(data)).bit_length())
         kind, odd = self._kinds(data, ends)
         start = self._cuts(data, kind, ends)
         first = np.flatnonzero(start)
@@ -117,8 +108,8 @@ class Encoder:
             out[step + skipped[word]] = self.pool[step + (where - before)[word]]
         for i, ids in whole.items():
             out[offsets[i] : offsets[i + 1] - 1] = ids
-        if self.used > 1 << 24:
-            self.table[:], self.used = 0, 0
+        if len(self.known) > MOST_WORDS or self.bytes > MOST_BYTES or len(self.pool) > MOST_IDS:
+            self._forget()
         return out, offsets
 
     def _kinds(self, data, ends):
@@ -162,32 +153,33 @@ class Encoder:
 
     def _look_up(self, data, first, stop):
         """Sizes and places in the pool of the words' ids."""
-        if not len(first):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.letters[data] * self.up[: len(data)], out=sums[1:])
-        key = _mixed((sums[stop] - sums[first]) * self.down[first] + (stop - first).astype(np.uint64))
-        key |= np.uint64(1)
-        slot = (key >> np.uint64(40)).astype(np.int64) % SLOTS
-        found = self.table[slot]
-        missing = np.flatnonzero(found[:, 0] != key)
-        sizes, where = (found[:, 1] & np.uint64(0xFFFFFF)).astype(np.int64), (found[:, 1] >> np.uint64(24)).astype(np.int64)
+        size = stop - first
+        eights = np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+        one = eights[first] & _MASKS[np.minimum(size, 8)]
+        two = eights[np.minimum(first + 8, len(data))] & _MASKS[np.clip(size - 8, 0, 8)]
+        slot = (((one * _FACTOR) ^ two ^ size.astype(np.uint64)) * _FACTOR) >> np.uint64(64 - SLOT_BITS)
+        slot = slot.astype(np.int64)
+        at = np.where((self.one[slot] == one) & (self.two[slot] == two) & (self.size[slot] == size), self.number[slot], -1)
+        rest = np.flatnonzero(at < 0)
+        if not len(rest):
+            return self.count[at], self.place[at]
+        text = data.tobytes()
+        words = [text[a:b] for a, b in zip(first[rest].tolist(), stop[rest].tolist())]
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(found < 0)
         if len(missing):
-            new, index, back = np.unique(key[missing], return_index=True, return_inverse=True)
-            at = missing[index]
-            words = [data[a:b].tobytes().decode() for a, b in zip(first[at].tolist(), stop[at].tolist())]
-            ids = [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+            lost = [words[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(lost))
+            ids = [x.ids for x in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
             count = np.fromiter(map(len, ids), np.int64, len(ids))
-            need = self.used + int(count.sum())
-            if need > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty(max(need, len(self.pool)), np.int32)])
-            self.pool[self.used : need] = np.fromiter((i for x in ids for i in x), np.int32, need - self.used)
-            place = self.used + np.cumsum(count) - count
-            self.used = need
-            sizes[missing], where[missing] = count[back], place[back]
-            s = (new >> np.uint64(40)).astype(np.int64) % SLOTS
-            s, own = np.unique(s, return_index=True)  # of two new words in one slot one stays
-            new, place, count = new[own], place[own], count[own]
-            self.table[s, 0] = new
-            self.table[s, 1] = (place << 24 | count).astype(np.uint64)
-        return sizes, where
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.place = np.concatenate([self.place, len(self.pool) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.int32, int(count.sum()))])
+            self.bytes += sum(map(len, new))
+            found[missing] = np.fromiter(map(self.known.__getitem__, lost), np.int64, len(lost))
+        at[rest] = found
+        rest = rest[size[rest] <= 16]
+        put = slot[rest]
+        self.one[put], self.two[put], self.size[put], self.number[put] = one[rest], two[rest], size[rest], at[rest]
+        return self.count[at], self.place[at]

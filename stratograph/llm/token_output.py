@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import Encoder
-from .common import partitions, scratch
+from .common import by_arrow, col, partitions, scratch
 
 #: Bytes of a row group and of a page, and rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 256 << 10, 2000
@@ -40,7 +40,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     Rows are range-partitioned by id and sorted within a partition; part numbers the
     partitions in that order.  An empty table writes no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").alias("text"))
     spread = F.xxhash64("text")
     rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", spread).sortWithinPartitions("doc_id", spread)
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -60,7 +60,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
                     schema=schema,
                 )
 
-    out = rows.mapInArrow(encode, "doc_id long, part int, n_tokens long, ids array<int>")
+    out = by_arrow(rows, encode, "doc_id long, part int, n_tokens long, ids array<int>")
     out.write.options(**WRITER).parquet(path)
 
 
@@ -94,7 +94,7 @@ def read_digest(spark, path: str) -> DataFrame:
             )
 
     rows = spark.read.parquet(path).select("doc_id", "part", "ids")
-    rows = rows.mapInArrow(digest, "doc_id long, part int, n_tokens long, ids_crc32 long")
+    rows = by_arrow(rows, digest, "doc_id long, part int, n_tokens long, ids_crc32 long")
     rows = rows.withColumn("at", F.monotonically_increasing_id())
     return _starts(rows).select("doc_id", "start", "n_tokens", "ids_crc32")
 
