@@ -212,11 +212,11 @@ def test_decontamination_of_many_items(spark, n_items):
             own[at:at] = items[7 if i == 50 else r.randrange(n_items)][1].split()
         docs.append((i, " ".join(own), "en", "s", 1))
     leaks = set()
-    patterns = [(k, set(t.split()), decontamination._pattern(t.split())) for k, t in items]
+    patterns = [(k, set(t.split()), decontamination._Item(t.split())) for k, t in items]
     for i, text, *_ in docs:
         there = set(text.split())
-        for k, names, (pattern, size) in patterns:
-            if len(names & there) >= 0.5 * len(names) and decontamination._in_order(pattern, size, text.split()) >= 0.7 * size:
+        for k, names, item in patterns:
+            if len(names & there) >= 0.5 * len(names) and item.in_order(text.split()) >= 0.7 * item.size:
                 leaks.add((i, k))
     assert len(leaks) >= 100
     benchmark = spark.createDataFrame(items, "item_id long, text string")
