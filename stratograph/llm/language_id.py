@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import unit
+from .common import by_arrow, col, fresh, unit
 
 #: What texts without a letter, and null texts, get.
 UNKNOWN = "und"
@@ -28,13 +28,12 @@ PIECE = 1 << 17
 class Settings:
     """orders: lengths of n-grams; features: hash buckets of each order; most_rows: training
     rows of each language at most, in expectation (a hash sample above that); smoothing: the
-    count added to each bucket; most_languages: the most frequent ones are learned."""
+    count added to each bucket.  Every language that occurs is learned."""
 
     orders: tuple[int, ...] = (1, 2, 3)
     features: int = 1 << 15
     most_rows: int = 4000
     smoothing: float = 0.5
-    most_languages: int = 256
 
 
 @dataclass
@@ -103,19 +102,19 @@ def train(labelled: DataFrame, settings: Settings = Settings(), id_col="doc_id",
 
     Of a language with more than ``most_rows`` rows a hash sample of about that many is read,
     so the model costs the same at every size; what comes back to the driver is bounded by
-    features x languages.  Rows with null text or language teach nothing; with no rows at
+    features x languages, whatever the number of rows.  Rows with null text or language teach nothing; with no rows at
     all the model knows no language and calls every text ``und``.
     """
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
+    rows = labelled.select(col(id_col).alias("i"), col(text_col).cast("string").alias("t"), col(lang_col).cast("string").alias("l"))
     rows = rows.filter("t is not null and l is not null")
-    counts = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(settings.most_languages).collect()
+    counts = rows.groupBy("l").agg(F.count("*").alias("n")).collect()  # one row a language
     languages = sorted(r["l"] for r in counts)
     width = len(settings.orders) * settings.features
     if not languages:
         return Model([], np.zeros((width, 0), np.float32), np.zeros(0), settings)
     seen = {r["l"]: r["n"] for r in counts}
     share = F.create_map(*[x for k, n in seen.items() for x in (F.lit(k), F.lit(min(1.0, settings.most_rows / n)))])
-    rows = rows.filter(F.col("l").isin(languages)).filter(unit("language", F.col("i").cast("string")) < share[F.col("l")])
+    rows = rows.filter(unit("language", F.col("i").cast("string")) < share[F.col("l")])
     number = {k: i for i, k in enumerate(languages)}
 
     def count(batches):
@@ -131,7 +130,7 @@ def train(labelled: DataFrame, settings: Settings = Settings(), id_col="doc_id",
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["k", "at", "n"])
 
-    found = rows.select("t", "l").mapInArrow(count, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
+    found = by_arrow(rows.select("t", "l"), count, "k int, at int, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((width, len(languages)), settings.smoothing)
     table[found["at"].to_numpy(), found["k"].to_numpy()] += found["n"].to_numpy()
     for i in range(len(settings.orders)):
@@ -145,11 +144,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
     """``docs`` with the predicted language and its posterior probability.
 
     Whole texts count, whatever their length.  Null texts and texts without any letter get
-    ``und`` with score 0.  Other columns pass through unread.
+    ``und`` with score 0.  Other columns pass through unread; columns of the names that the
+    result gets are replaced.  Repeated rows and null ids are scored like any other.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in (lang_col, score_col)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    rows = docs.select(*[col(c) for c in names])
     place = names.index(text_col)
     schema = StructType([*rows.schema.fields, StructField(lang_col, StringType()), StructField(score_col, DoubleType())])
 
@@ -176,12 +176,12 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
                     value += [0.0] * (b - a)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(value, pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(score, schema)
+    return by_arrow(rows, score, schema)
 
 
 def held_out(id_col: str = "doc_id"):
     """True for the third of the documents that training never reads."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    return F.crc32(col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -195,6 +195,7 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def keep_identified(docs: DataFrame, settings: Settings = Settings(), least_score: float = 0.5) -> DataFrame:
     """``docs`` without those whose language stays unknown or whose posterior is below ``least_score``."""
     model = train(docs.filter(~F.coalesce(held_out(), F.lit(False))), settings)
-    rows = predict(docs, model, lang_col="_lang_pred", score_col="_lang_score")
-    rows = rows.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least_score))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    pred, score = (fresh(docs.columns, name) for name in ("_lang_pred", "_lang_score"))
+    rows = predict(docs, model, lang_col=pred, score_col=score)
+    rows = rows.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= least_score))
+    return rows.select(*[col(c) for c in docs.columns])
