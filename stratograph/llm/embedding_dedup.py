@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import by_arrow, col, components, written
 
 #: Vectors of a cell aimed at, pivots at most, vectors of a block, and visitors of a task.
 CELL, MOST_PIVOTS, NATIVES, VISITORS = 2048, 1024, 4096, 65536
@@ -56,7 +56,7 @@ def links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", v
     gives no rows.
     """
     spark = vectors.sparkSession
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    base = vectors.select(col(id_col).cast("long").alias("vec_id"), col(vec_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.col("v").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     base = base.withColumn("ok", F.coalesce(usable, F.lit(False)))
@@ -108,7 +108,7 @@ def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame
                 np.maximum.at(radius, cell, a[np.arange(len(cell)), cell])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(m)), pa.array(count), pa.array(radius)], names=["cell", "n", "radius"])
 
-    sizes = classes.select("v").mapInArrow(measure, "cell long, n long, radius double")
+    sizes = by_arrow(classes.select("v"), measure, "cell long, n long, radius double")
     sizes = sizes.groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).orderBy("cell").toArrow()
     radius = sizes["radius"].to_numpy()
     parts = np.maximum(1, -(-sizes["n"].to_numpy() // NATIVES))
@@ -204,5 +204,5 @@ def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame
         ids, count, label = np.append(ids[linked], fell[:, 0]), np.append(count[linked], np.zeros(len(fell), np.int64)), np.append(label[linked], fell[:, 1])
         return pa.table({"id": ids, "links": count, "label": label})
 
-    packed = classes.select("rep", "w", "v").mapInArrow(deal, _PACK)
+    packed = by_arrow(classes.select("rep", "w", "v"), deal, _PACK)
     return packed.groupBy("cell", "block", "chunk").applyInArrow(join, "id long, links long, label long")

@@ -10,6 +10,7 @@ once a block, and no task sees more than its bucket.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,13 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, release, written
+from .common import by_arrow, partitions, release, written
 
 #: Bytes of text in a block (a longer document makes a block of its own), bytes of text in a
 #: bucket of the block table, and bytes of fingerprints in a bucket of a round.
 BLOCK, TABLE_BUCKET, ROUND_BUCKET = 1 << 20, 8 << 20, 6 << 20
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Odd factors and seeds of the two lanes of a fingerprint.
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+_SEED = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+#: Bytes from which a word is hashed by BLAKE2b instead of eight bytes at a time.
+LONG_WORD = 256
 #: Slices of a vector that is summed over partitions.
 SLICES = 64
 _REPLY = "array<struct<bucket:int,bits:binary>>"
@@ -38,35 +43,84 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as one number, zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
 
 
-class Hashes:
-    """Hashes of any stretch of a sequence, from prefix sums of value * base^position.
-
-    which picks one of two bases; together they give 128 bits."""
-
-    def __init__(self, values: np.ndarray, which: int):
-        n = len(values)
-        if which not in _powers or len(_powers[which][0]) < n + 1:
-            size = 1 << max(17, int(n + 1).bit_length())
-            base = np.full(size, np.uint64(_BASES[which]))
-            back = np.full(size, np.uint64(pow(_BASES[which], -1, 1 << 64)))
-            base[0] = back[0] = 1
-            _powers[which] = np.multiply.accumulate(base), np.multiply.accumulate(back)
-        self.up, self.down = _powers[which]
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.up[:n], out=self.sums[1:])
+def _folded(h: np.ndarray, x: np.ndarray, lane: int) -> np.ndarray:
+    return mixed((h ^ x) * _ODD[lane])
+
+
+def byte_names(data: np.ndarray, at: np.ndarray, size: int, lanes: int) -> list[np.ndarray]:
+    """A 64-bit name per lane of the ``size`` bytes from each place ``at`` on.
+
+    Eight bytes at a time go through a non-linear mixing, so unlike strings meet by chance
+    alone, whatever their structure.  All strings lie inside ``data``."""
+    eights = _eights(data)
+    out = [np.full(len(at), _SEED[k] ^ np.uint64(size)) for k in range(lanes)]
+    full = size - size % 8
+    for step in range(0, full, 8):
+        x = eights[at + step]
+        out = [_folded(h, x, k) for k, h in enumerate(out)]
+    if size > full:
+        x = eights[at + full] & np.uint64((1 << 8 * (size - full)) - 1)
+        out = [_folded(h, x, k) for k, h in enumerate(out)]
+    return out
 
-    def of(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[stop] - self.sums[first]) * self.down[first])
 
+def word_names(data: np.ndarray, first: np.ndarray, stop: np.ndarray, lanes: int) -> list[np.ndarray]:
+    """The same for strings of any sizes: those of LONG_WORD bytes and more by BLAKE2b."""
+    eights, size = _eights(data), stop - first
+    out = [mixed(_SEED[k] + size.astype(np.uint64)) for k in range(lanes)]
+    at = np.flatnonzero((size > 0) & (size < LONG_WORD))
+    step = 0
+    while len(at):
+        left = size[at] - step
+        x = eights[first[at] + step]
+        x &= np.where(left >= 8, _ALL, (np.uint64(1) << (np.minimum(left, 7) * 8).astype(np.uint64)) - np.uint64(1))
+        for k, h in enumerate(out):
+            h[at] = _folded(h[at], x, k)
+        step += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(size >= LONG_WORD).tolist():
+        found = np.frombuffer(hashlib.blake2b(data[first[i] : stop[i]].tobytes(), digest_size=16).digest(), "<u8")
+        for k, h in enumerate(out):
+            h[i] = found[k]
+    return out
 
-_letters = [mixed(np.arange(1 + 300 * k, 257 + 300 * k, dtype=np.uint64) * np.uint64(_BASES[k])) for k in (0, 1)]
 
+_ALL = np.uint64((1 << 64) - 1)
+
+
+class Hashes:
+    """Names of any stretch of a sequence of named items.
+
+    Level k names stretches of 2^k items by their halves, without linearity; a stretch is
+    named by the two of the greatest level that cover it, and its length."""
 
-def byte_hashes(data: np.ndarray, which: int) -> Hashes:
-    return Hashes(_letters[which][data], which)
+    def __init__(self, ones: np.ndarray, lane: int):
+        self.levels, self.lane = [ones], lane
+
+    def _both(self, a: np.ndarray, b: np.ndarray, more) -> np.ndarray:
+        return _folded(_folded(a + more, b, self.lane), a, 1 - self.lane)
+
+    def of(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        size = stop - first
+        out = np.full(len(first), _SEED[self.lane])
+        if not len(first):
+            return out
+        level = np.frexp(np.maximum(size, 1).astype(np.float64))[1] - 1
+        for k in range(int(level.max()) + 1):
+            if k == len(self.levels):
+                below, half = self.levels[-1], 1 << (k - 1)
+                self.levels.append(self._both(below[:-half], below[half:], np.uint64(k)))
+            at = np.flatnonzero((level == k) & (size > 0))
+            if len(at):
+                names = self.levels[k]
+                out[at] = self._both(names[first[at]], names[stop[at] - (1 << k)], size[at].astype(np.uint64) << np.uint64(8))
+        return out
 
 
 class Block:
@@ -74,7 +128,8 @@ class Block:
 
     def __init__(self, number: int, ids: bytes, ends: bytes, data: bytes):
         self.number = number
-        self.ids = np.frombuffer(ids, np.int64)
+        self.ids = np.frombuffer(ids, np.int64, len(ids) // 9)  # 0 where there is none
+        self.has_id = np.frombuffer(ids, np.bool_, offset=8 * len(self.ids))
         self.ends = np.frombuffer(ends, np.int64)
         self.data = np.frombuffer(data, np.uint8)
         self.memo: dict = {}  # what later rounds use again
@@ -109,7 +164,7 @@ class Blocks:
         self.name = f"blocks_{uuid.uuid4().hex}"
         order = ["doc_id", F.xxhash64("data")]
         rows = docs.repartitionByRange(partitions(self.spark), *order).sortWithinPartitions(*order)
-        rows = rows.mapInArrow(_pack, "block long, ids binary, ends binary, data binary")
+        rows = by_arrow(rows, _pack, "block long, ids binary, ends binary, data binary")
         rows.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "block").saveAsTable(self.name)
         release(self.spark)
 
@@ -133,7 +188,7 @@ class Blocks:
                     block = Block(row[0].as_py(), row[1].as_buffer(), row[2].as_buffer(), row[3].as_buffer())
                     yield from f(block, *[Reply(r.as_py(), *k) for r, k in zip(row[4:], kinds)])
 
-        return self.rows(*rounds).mapInArrow(run, schema)
+        return by_arrow(self.rows(*rounds), run, schema)
 
     def ask(self, question: Callable[..., Questions], density: float, earlier: bool, what: str, *rounds: Round) -> Round:
         """A round.  question(block, *replies) gives a block's Questions.
@@ -164,7 +219,9 @@ def _pack(batches):
     def block():
         ends = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=ends[1:])
-        row = [(part << 32) + seq], [np.array(ids, np.int64).tobytes()], [ends.tobytes()], [b"".join(texts)]
+        known = np.array([i is not None for i in ids])
+        numbers = np.array([i or 0 for i in ids], np.int64).tobytes() + known.tobytes()
+        row = [(part << 32) + seq], [numbers], [ends.tobytes()], [b"".join(texts)]
         return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *[pa.array(x, pa.binary()) for x in row[1:]]], names=["block", "ids", "ends", "data"])
 
     for batch in batches:
@@ -180,50 +237,67 @@ def _pack(batches):
         yield block()
 
 
+def _dealt(keys: np.ndarray, most: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): an order of equal keys side by side, earlier places first, and whether
+    each in it equals the one before; only the highest bits of keys count, ``most`` or as many
+    as fit beside a place in one number, which sorts many times faster than pairs do."""
+    bits = max(1, len(keys) - 1).bit_length()
+    place = np.uint64((1 << bits) - 1)
+    packed = np.sort((keys & ~place) | np.arange(len(keys), dtype=np.uint64))
+    order = (packed & place).astype(np.int64)
+    head = packed >> np.uint64(max(bits, 64 - most))
+    same = np.zeros(len(keys), bool)
+    same[1:] = head[1:] == head[:-1]
+    return order, same
+
+
+def _exactly(order: np.ndarray, same: np.ndarray, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same by both words whole."""
+    h, o = high[order], low[order]
+    equal = (h[1:] == h[:-1]) & (o[1:] == o[:-1])
+    if (same[1:] & ~equal).any():  # unlike ones share their highest bits: sort in full
+        order = np.lexsort((low, high))
+        h, o = high[order], low[order]
+        equal = (h[1:] == h[:-1]) & (o[1:] == o[:-1])
+    same = np.zeros(len(high), bool)
+    same[1:] = equal
+    return order, same
+
+
 class Questions:
     """Fingerprints in order of place: high (64 bits) and, unless None, low (32 bits).
 
     Only the first of equal ones is sent.  Without a low word five bytes of the high one are
-    sent, other bits of it choosing the bucket: enough for pruning, where a chance match
+    sent, its highest bits choosing the bucket: enough for pruning, where a chance match
     costs work and no more.  With it 96 bits are sent and decide."""
 
     def __init__(self, high: np.ndarray, low: np.ndarray | None = None):
         self.high, self.low = high, low
-        order = np.argsort(high, kind="stable")
-        h = high[order]
-        same = np.zeros(len(h), bool)
-        same[1:] = h[1:] == h[:-1]
+        order, same = _dealt(high)
         if low is not None:
-            o = low[order]
-            same[1:] &= o[1:] == o[:-1]
+            order, same = _exactly(order, same, high, low)
         run = np.cumsum(~same) - 1
-        self.first = order[~same]  # one place of each fingerprint, the earliest
-        self.place = np.sort(self.first)
-        self.twice = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
-        leader = self.first[run] if len(run) else np.zeros(0, np.int64)
+        self.first = order[~same]  # one place of each fingerprint, the earliest, in order of the fingerprint
+        many = np.bincount(run, minlength=len(self.first)) > 1
         self.leader = np.empty(len(high), np.int64)
-        self.leader[order] = leader
-        again = np.empty(len(high), bool)
-        again[order] = self.twice
-        self.again = again
+        self.leader[order] = self.first[run]
+        self.again = np.empty(len(high), bool)
+        self.again[order] = many[run]
 
-    def _dealt(self, n: int):
-        high = self.high[self.place]
-        bucket = ((high >> np.uint64(44)) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return high, bucket, order, np.bincount(bucket, minlength=n)
+    def _counts(self, n: int) -> np.ndarray:
+        bucket = ((self.high[self.first] >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
+        return np.bincount(bucket.astype(np.int64), minlength=n)
 
     def packed(self, number: int, n: int):
         if not len(self.high):
             return
-        high, _, order, count = self._dealt(n)
+        count = self._counts(n)
+        high = np.ascontiguousarray(self.high[self.first].astype("<u8")).view(np.uint8).reshape(-1, 8)
         if self.low is None:
-            width = 5
-            keys = np.ascontiguousarray(high[order].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+            keys = high[:, :5]
         else:
-            width = 12
-            low = np.ascontiguousarray(self.low[self.place][order].astype("<u4")).view(np.uint8).reshape(-1, 4)
-            keys = np.concatenate([np.ascontiguousarray(high[order].astype("<u8")).view(np.uint8).reshape(-1, 8), low], axis=1)
+            keys = np.concatenate([high, np.ascontiguousarray(self.low[self.first].astype("<u4")).view(np.uint8).reshape(-1, 4)], axis=1)
+        width = keys.shape[1]
         keys = np.ascontiguousarray(keys).tobytes()
         some = np.flatnonzero(count)
         stop = np.cumsum(count) * width
@@ -237,13 +311,13 @@ class Questions:
         """One bool for each fingerprint, from the rows that the buckets sent back."""
         if not len(self.high):
             return np.zeros(0, bool)
-        _, _, order, count = self._dealt(n)
+        count = self._counts(n)
         start = np.cumsum(count) - count
         flags = np.zeros(len(self.high), bool)
         for r in reply:
             b = r["bucket"]
             bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(count[b])).view(bool)
-            flags[self.place[order[start[b] : start[b] + count[b]]]] = bits
+            flags[self.first[start[b] : start[b] + count[b]]] = bits
         out = flags[self.leader]
         if earlier:
             return out | (self.leader != np.arange(len(out)))
@@ -262,21 +336,25 @@ def _solve(table: pa.Table, earlier: bool) -> pa.Table:
     width = len(data) // total
     raw = np.frombuffer(data, np.uint8).reshape(total, width)
     high = np.zeros((total, 8), np.uint8)
-    high[:, : min(8, width)] = raw[:, :8]
-    high = high.view("<u8").ravel()
     if width > 8:
+        high[:] = raw[:, :8]
+        high = high.view("<u8").ravel()
+        # what is left of the keys in a bucket after its own bits comes first, so that packing keeps enough
         low = np.ascontiguousarray(raw[:, 8:]).view("<u4").ravel()
-        at = np.lexsort((low, high))
-        h, o = high[at], low[at]
-        same = (h[1:] == h[:-1]) & (o[1:] == o[:-1])
+        turned = (high << np.uint64(24)) | (high >> np.uint64(40))
+        at, same = _exactly(*_dealt(turned), turned, low)
     else:
-        at = np.argsort(high, kind="stable")
-        h = high[at]
-        same = h[1:] == h[:-1]
+        high[:, 8 - width :] = raw
+        high = high.view("<u8").ravel()
+        if total < 1 << 24:
+            at, same = _dealt(high, 40)
+        else:
+            at = np.argsort(high, kind="stable")
+            same = np.append(False, high[at[1:]] == high[at[:-1]])
     flag = np.zeros(total, bool)
-    flag[at[1:]] = same
+    flag[at] = same
     if not earlier:
-        flag[at[:-1]] |= same
+        flag[at[:-1]] |= same[1:]
     stop = np.cumsum(counts)
     bits = [np.packbits(flag[b - c : b]).tobytes() for b, c in zip(stop.tolist(), counts.tolist())]
     bucket = table["bucket"][0].as_py()
@@ -289,6 +367,10 @@ def _solve(table: pa.Table, earlier: bool) -> pa.Table:
     )
 
 
+def id_column(block: Block) -> pa.Array:
+    return pa.array(block.ids, mask=~block.has_id)
+
+
 def covered(n: int, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """True at the places of 0..n-1 that lie in any [first, stop)."""
     change = np.bincount(first, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(stop, n), minlength=n + 1)[: n + 1]
@@ -332,7 +414,7 @@ def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarr
         return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "total": pa.array([total.tobytes()], pa.binary())})
 
     schema = "slice int, part int, total binary"
-    parts = rows.mapInArrow(send, schema).groupBy("slice", "part").applyInArrow(add, schema)
+    parts = by_arrow(rows, send, schema).groupBy("slice", "part").applyInArrow(add, schema)
     found = parts.groupBy("slice").applyInArrow(add, schema).orderBy("slice").toArrow()
     if not found.num_rows:
         return np.zeros(length, kind)

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, drop_path, release, written
-from .exchange import Block, summed
+from .common import by_arrow, col, components, drop_path, fresh, local_rows, release, written
+from .exchange import Block, mixed, summed
 from .substring_dedup import Words
 
 #: Bytes of text handled at a time, and bytes of text for each counter.
@@ -56,7 +56,7 @@ def pieces(column: pa.Array):
 
 def _shingles(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, name) of the n-grams of a block's texts; shorter texts are one n-gram whole."""
-    words = Words(block)
+    words = Words(block, lanes=1)
     if not words.n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(words.n)
@@ -70,11 +70,47 @@ def _shingles(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _sets(block: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The same without repeats, in order of row and name."""
     row, name = _shingles(block, n)
-    order = np.lexsort((name, row))
-    row, name = row[order], name[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (name[1:] != name[:-1])
-    return row[new], name[new]
+    order, equal = _sorted(row, len(block.ids), name)
+    new = np.append(True, ~equal)[: len(row)]
+    return row[order][new], name[order][new]
+
+
+def _sorted(row: np.ndarray, rows: int, name: np.ndarray, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, equal): an order by row, code (10 bits) and name, and whether each equals the next.
+
+    The sort key is one number of as many bits of each as fit; where they do not tell unlike
+    names apart, all are sorted in full."""
+    shift = np.uint64(rows.bit_length())
+    key = name
+    if code is not None:
+        key = (code << np.uint64(54)) | (name >> np.uint64(10))
+    key = (row.astype(np.uint64) << (np.uint64(64) - shift)) | (key >> shift)
+    order = np.argsort(key)
+    k, x = key[order], name[order]
+    same = k[1:] == k[:-1]
+    equal = same & (x[1:] == x[:-1])
+    if (same & ~equal).any():
+        order = np.lexsort((name, row) if code is None else (name, code, row))
+        r, x = row[order], name[order]
+        equal = (r[1:] == r[:-1]) & (x[1:] == x[:-1])
+    return order, equal
+
+
+def _rarity(count: np.ndarray) -> np.ndarray:
+    """A count's size in sixteenths of powers of two, alike on every machine: 10 bits."""
+    m, e = np.frexp(count.astype(np.float64) + 1)
+    return (e * 16 + ((m - 0.5) * 32).astype(np.int64)).astype(np.uint64)
+
+
+def _set_names(name: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each set, whatever the order of its n-grams; 0 for empty sets."""
+    out = np.zeros((2, len(size)), np.uint64)
+    some = size > 0
+    if some.any():
+        start = (np.cumsum(size) - size)[some]
+        for k, seed in enumerate((0x9E3779B97F4A7C15, 0xD1342543DE82EF95)):
+            out[k, some] = np.add.reduceat(mixed(name + np.uint64(seed)), start)
+    return out[0], out[1]
 
 
 def _frequencies(texts: DataFrame, n: int, counters: int) -> np.ndarray:
@@ -96,6 +132,21 @@ def _overlap(n_a, n_b, num: int, den: int):
     return F.ceil((n_a + n_b) * F.lit(num) / F.lit(num + den))
 
 
+def _spread(pairs: DataFrame, side: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` (a, b) and the table ``side`` of their a, both with a salt to join on.
+
+    A set that more than a 1000th of all pairs name is copied as often as it exceeds that, so
+    its pairs spread over tasks; there are fewer than 1000 such sets, whatever the input."""
+    spark = pairs.sparkSession
+    share = max(64, -(-pairs.count() // 1000))
+    hot = pairs.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > share).collect()
+    hot = local_rows(spark, [{"hot": r["a"], "copies": -(-r["c"] // share)} for r in hot], "hot long, copies int")
+    pairs = pairs.join(F.broadcast(hot), F.col("a") == F.col("hot"), "left")
+    pairs = pairs.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("copies")), F.lit(0)).cast("int")).drop("hot", "copies")
+    side = side.join(F.broadcast(hot), F.col("a") == F.col("hot"), "left")
+    return pairs, side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("hot", "copies")
+
+
 def link_documents(
     docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -109,8 +160,8 @@ def link_documents(
     nothing and has no component; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    texts = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).cast("string").cast("binary").alias("text"))
+    total = docs.select(F.sum(F.octet_length(col(text_col).cast("string")))).first()[0] or 0
     counters = 1 << int(min(24, max(20, math.ceil(math.log2(total / BYTES_PER_COUNTER + 1)))))
     frequency = spark.sparkContext.broadcast(_frequencies(texts.select("text"), n, counters))
 
@@ -120,18 +171,15 @@ def link_documents(
                 rows = len(block.ids)
                 row, name = _sets(block, n)
                 size = np.bincount(row, minlength=rows)
-                rare = frequency.value[(name & np.uint64(counters - 1)).astype(np.int64)]
-                order = np.lexsort((name, rare, row))
+                h1, h2 = _set_names(name, size)
+                rare = _rarity(frequency.value[(name & np.uint64(counters - 1)).astype(np.int64)])
+                order, _ = _sorted(row, rows, name, rare)
                 row, name = row[order], name[order]
                 start = np.cumsum(size) - size
                 keep = np.minimum(size, size - -(-size * num // den) + MORE)
                 in_prefix = np.arange(len(row)) - start[row] < keep[row]
                 tokens = name[in_prefix].view(np.int64)
                 ends = np.append(0, np.cumsum(keep)).astype(np.int32)
-                h1, h2 = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
-                if len(row):
-                    np.add.at(h1, row, name * np.uint64(0x9E3779B97F4A7C15) ^ (name >> np.uint64(31)))
-                    np.add.at(h2, row, (name ^ (name >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, rows),
@@ -143,7 +191,7 @@ def link_documents(
                     names=["doc_id", "n", "h1", "h2", "prefix"],
                 )
 
-    sets = written(texts.mapInArrow(digest, "doc_id long, n long, h1 long, h2 long, prefix array<long>"), "sets")
+    sets = written(by_arrow(texts, digest, "doc_id long, n long, h1 long, h2 long, prefix array<long>"), "sets")
     full = sets.filter("n > 0 and doc_id is not null")
     repeated = not full.groupBy("doc_id").count().filter("count > 1").isEmpty()
     nodes = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix"))
@@ -178,9 +226,12 @@ def link_documents(
     heads = groups.select("node", "n", "prefix")
 
     def promising(pairs: DataFrame, what: str) -> DataFrame:
+        pairs = written(pairs, "candidates")
+        release(spark)
         a = heads.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("x"))
         b = heads.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("y"))
-        rows = pairs.join(a, "a").join(b, "b")
+        pairs, a = _spread(pairs, a)
+        rows = pairs.join(a, ["a", "salt"]).join(b, "b")
         least = F.least(F.lit(MORE), _overlap(F.col("na"), F.col("nb"), num, den))
         rows = written(rows.filter(F.size(F.array_intersect("x", "y")) >= least).select("a", "b"), what)
         release(spark)
@@ -204,11 +255,12 @@ def link_documents(
         copies = texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi")
         if repeated:  # a text once for each id; ids with several texts keep them all
             copies = copies.withColumn("h", F.md5("text")).dropDuplicates(["doc_id", "h"]).drop("h")
-        grams = written(copies.mapInArrow(whole, "node long, grams array<long>"), "grams")
+        grams = written(by_arrow(copies, whole, "node long, grams array<long>"), "grams")
         release(spark)
         a = grams.select(F.col("node").alias("a"), F.col("grams").alias("x"))
         b = grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-        both = pairs.join(b, "b").join(a, "a")
+        pairs, a = _spread(pairs, a)
+        both = pairs.join(b, "b").join(a, ["a", "salt"])
         common = F.size(F.array_intersect("x", "y"))
         found = written(both.filter(common * F.lit(den + num) >= (F.size("x") + F.size("y")) * F.lit(num)).select("a", "b").distinct(), "links")
         for path in {f.rsplit("/", 1)[0] for f in grams.inputFiles()}:
@@ -233,10 +285,11 @@ def link_documents(
     mixed_ = labelled.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).filter("least <> most").select("token")
     labelled = written(labelled.join(mixed_, "token"), "mixed")
     release(spark)
-    x = labelled.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.col("size").alias("sa"))
-    y = labelled.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.col("size").alias("sb"))
+    labelled = labelled.withColumn("band", band)  # similar sets are in one band of sizes or in neighbouring ones
+    x = labelled.select("token", "band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.col("size").alias("sa"))
+    y = labelled.select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.col("size").alias("sb"))
     apart = F.least("la", "lb") != F.greatest("ha", "hb")
-    leading = x.join(y, "token").filter((F.col("a") < F.col("b")) & apart & near("a", "b")).select("a", "b", ((F.col("sa") > 1) | (F.col("sb") > 1)).alias("more")).distinct()
+    leading = x.join(y, ["token", "band"]).filter((F.col("a") < F.col("b")) & apart & near("a", "b")).select("a", "b", ((F.col("sa") > 1) | (F.col("sb") > 1)).alias("more")).distinct()
     # a pair tried in vain says nothing of the groups' other members
     leading = leading.join(tried.withColumn("tried", F.lit(True)), ["a", "b"], "left").filter("tried is null or more").select("a", "b")
     leading = promising(leading, "rest")
@@ -264,9 +317,10 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     """``docs`` with one document of each linked group: that with the smallest doc_id.
 
     Of rows that share a doc_id one stays; rows without a doc_id all stay."""
-    found = link_documents(docs, n, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(found, F.col("doc_id") == F.col("_kept"), "left").filter("_kept is not null or doc_id is null")
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    kept, nth = (fresh(docs.columns, name) for name in ("_kept", "_nth"))
+    found = link_documents(docs, n, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    rows = docs.join(found, F.col("doc_id") == F.col(kept), "left").filter(F.col(kept).isNotNull() | F.col("doc_id").isNull())
+    content = F.xxhash64(*[col(c) for c in docs.columns])
     same_id = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), content)).orderBy(content)
-    rows = rows.withColumn("_nth", F.row_number().over(same_id))
-    return rows.filter("_nth = 1 or doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = rows.withColumn(nth, F.row_number().over(same_id))
+    return rows.filter((F.col(nth) == 1) | F.col("doc_id").isNull()).select(*[col(c) for c in docs.columns])

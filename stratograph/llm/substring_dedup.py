@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Block, Blocks, Hashes, Questions, Reply, byte_hashes, covered, mixed
+from .common import col
+from .exchange import Block, Blocks, Hashes, Questions, Reply, covered, id_column, word_names
 
 #: Rounds until a symbol and its surroundings still fit a window of 20 words, and rounds
 #: until symbols are as long as such windows.
@@ -33,9 +34,9 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 class Words:
     """The words of a block: where they lie, the text each is in, and hashes of stretches.
 
-    space: for each byte, whether it separates words."""
+    space: for each byte, whether it separates words; lanes: 64-bit names of each stretch."""
 
-    def __init__(self, block: Block, space: np.ndarray = _SPACE):
+    def __init__(self, block: Block, space: np.ndarray = _SPACE, lanes: int = 2):
         data = block.data
         inside = ~space[data]
         begin = inside.copy()
@@ -50,13 +51,12 @@ class Words:
         first, stop = np.flatnonzero(begin), np.flatnonzero(over) + 1
         self.text = np.searchsorted(block.ends, first, "right") - 1
         self.ends = np.searchsorted(self.text, np.arange(len(block.ids) + 1))
-        size = (stop - first).astype(np.uint64)
-        self.hashes = [Hashes(mixed(byte_hashes(data, k).of(first, stop) + size), k) for k in (0, 1)]
+        self.hashes = [Hashes(x, k) for k, x in enumerate(word_names(data, first, stop, lanes))]
         self.n = len(first)
         self.memo: dict = {}
 
     def name(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mixed(self.hashes[0].of(first, stop) + (stop - first).astype(np.uint64))
+        return self.hashes[0].of(first, stop)
 
     def questions(self, first: np.ndarray, stop: np.ndarray) -> Questions:
         low = self.hashes[1].of(first, stop)
@@ -168,10 +168,10 @@ def repeated_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     The block table stays in the warehouse for the plan returned here.
     """
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
-        F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("data"),
+        col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("data"),
     )
-    total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    total = docs.select(F.sum(F.octet_length(col(text_col).cast("string")))).first()[0] or 0
     blocks, plan = Blocks(rows, total), Plan(window)
     first = blocks.ask(lambda b: plan.short(Words(b))[2], 0.4, False, "symbols")
     second = blocks.ask(lambda b, r: plan.long(Words(b), r)[2], 0.1, True, "long-symbols", first)
@@ -192,12 +192,12 @@ def repeated_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
                 found = compress(found, stay[words.ends[i] : words.ends[i + 1]])
             kept.append(b" ".join(found))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(block.ids), pa.array(np.diff(words.ends).astype(np.int64)), pa.array(count), pa.array(kept, pa.binary())],
+            [id_column(block), pa.array(np.diff(words.ends).astype(np.int64)), pa.array(count), pa.array(kept, pa.binary())],
             names=["doc_id", "n_words", "n_removed", "kept"],
         )
 
     out = blocks.map(cut, "doc_id long, n_words long, n_removed long, kept binary", first, second, third)
-    return out.select(F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    return out.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 
 def digest(found: DataFrame) -> DataFrame:

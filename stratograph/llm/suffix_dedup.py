@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import Block, Blocks, Questions, Reply, byte_hashes, covered, spans
+from .common import col
+from .exchange import Block, Blocks, Questions, Reply, byte_names, covered, id_column, spans
 
 #: Planar difference sets (modulus: residues); every difference occurs.
 COVERS = {
@@ -54,7 +55,7 @@ class Plan:
         """Sample positions with ``depth`` bytes left in their text, and their ranks."""
         at = self.sample(block)
         at = at[at + self.depth <= _end(block, at)]
-        return at, Questions(byte_hashes(block.data, 0).of(at, at + self.depth))
+        return at, Questions(byte_names(block.data, at, self.depth, 1)[0])
 
     def shared(self, block: Block, first: Reply) -> np.ndarray:
         """Sample positions whose rank another has; worked out once for a block."""
@@ -88,8 +89,8 @@ def _end(block: Block, at: np.ndarray) -> np.ndarray:
 
 
 def _strings(block: Block, at: np.ndarray, size: int) -> Questions:
-    low = byte_hashes(block.data, 1).of(at, at + size)
-    return Questions(byte_hashes(block.data, 0).of(at, at + size), (low >> np.uint64(32)).astype(np.uint32))
+    high, low = byte_names(block.data, at, size, 2)
+    return Questions(high, (low >> np.uint64(32)).astype(np.uint32))
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,10 +105,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     plan returned here.
     """
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
-        F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("data"),
+        col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(col(text_col).cast("string").cast("binary"), F.lit(b"")).alias("data"),
     )
-    total = docs.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    total = docs.select(F.sum(F.octet_length(col(text_col).cast("string")))).first()[0] or 0
     blocks, plan = Blocks(rows, total), Plan(length)
     share = len(plan.cover) / plan.modulus
     first = blocks.ask(lambda b: plan.ranked(b)[1], 5 * share, False, "cover")
@@ -125,12 +126,12 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         kept = [block.data[a:b][~gone[a:b]].tobytes() for a, b in zip(block.ends[:-1].tolist(), block.ends[1:].tolist())]
         pairs = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(stop, pa.int64())], names=["first", "stop"])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(block.ids), pa.array(np.diff(block.ends)), pa.ListArray.from_arrays(pa.array(of_row), pairs), pa.array(kept, pa.binary())],
+            [id_column(block), pa.array(np.diff(block.ends)), pa.ListArray.from_arrays(pa.array(of_row), pairs), pa.array(kept, pa.binary())],
             names=["doc_id", "n_bytes", "spans", "kept"],
         )
 
     out = blocks.map(cut, "doc_id long, n_bytes long, spans array<struct<first:long,stop:long>>, kept binary", first, second, third)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")))
+    return out
 
 
 def digest(found: DataFrame) -> DataFrame:
