@@ -23,6 +23,7 @@ CONTENT_TYPES = (
 #: Declarations found by regex in unknown languages.
 GENERIC_CLASSES = (r"\bclass\s+(\w+)", r"\binterface\s+(\w+)", r"\bstruct\s+(\w+)", r"\benum\s+(\w+)")
 GENERIC_FUNCTIONS = (r"\bfunction\s+(\w+)", r"\bdef\s+(\w+)", r"\bfunc\s+(\w+)", r"\bpublic\s+\w+\s+(\w+)\s*\(", r"\bprivate\s+\w+\s+(\w+)\s*\(")
+#: Declarations in Java and Python.
 JAVA_CLASS = r"(?:public|private|protected)?\s*(?:abstract|final|static)?\s*class\s+(\w+)"
 JAVA_INTERFACE = r"(?:public|private|protected)?\s*interface\s+(\w+)"
 PYTHON_CLASS, PYTHON_FUNCTION = r"(?m)^class\s+(\w+):", r"(?m)^def\s+(\w+)\s*\("
@@ -214,6 +215,7 @@ ENTRY_LINES = {
     "cpp": (("main_function", r"int\s+main\s*\("), ("constructor", r"class\s+\w+")),
     "csharp": (("main_method", r"static\s+void\s+Main\s*\("), ("webapi_controller", r"\[ApiController\]")),
 }
+#: A qualified name.
 QUALIFIED = r"\b(\w+)\.\w+"
 
 

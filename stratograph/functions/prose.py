@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Words: runs of letters, marks, digits and connectors, in any script.
 WORDS = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]+"
+#: Headers and links in Markdown.
 SECTION = r"(?m)^#+\s"
 LINK = r"\[.*?\]\(.*?\)"
 #: Entities looked for in documentation.
@@ -180,6 +181,13 @@ def readability(text: Column) -> Column:
     return F.greatest(F.lit(0.0), score - F.when(F.regexp_count(text, F.lit(LINK)) == 0, 5).otherwise(0))
 
 
+#: Percentages, named and given scores, and bare numbers in a judge's answer.
+PERCENT = r"(?i)(\d+(?:\.\d+)?)\s*(?:%|percent)"
+NAMED = r"(?i)(?:score|rating)\s*(?:is|=|:)?\s*(-?\d+(?:\.\d+)?)"
+GIVEN = r"(?i)(?:scores?|gives?|rate[sd]?)\s+(?:it\s+)?(?:a\s+)?(?:score\s+)?(?:of\s+)?(-?\d+(?:\.\d+)?)"
+BARE = r"\b(-?\d+(?:\.\d+)?)\b"
+
+
 def score(text: Column) -> Column:
     """A judge's score in [0, 1]: a percentage, a named score, a bare number, Yes or No, else 0.5."""
     t = F.trim(text)
@@ -187,10 +195,10 @@ def score(text: Column) -> Column:
     def number(pattern: str, group: int = 1) -> Column:
         return F.nullif(F.regexp_extract(t, pattern, group), F.lit("")).try_cast("double")
 
-    percent = F.coalesce(number(r"(?i)(\d+(?:\.\d+)?)\s*(?:%|percent)"), F.lit(None).cast("double")) / 100.0
-    named = number(r"(?i)(?:score|rating)\s*(?:is|=|:)?\s*(-?\d+(?:\.\d+)?)")
-    given = number(r"(?i)(?:scores?|gives?|rate[sd]?)\s+(?:it\s+)?(?:a\s+)?(?:score\s+)?(?:of\s+)?(-?\d+(?:\.\d+)?)")
-    bare = F.transform(F.regexp_extract_all(t, F.lit(r"\b(-?\d+(?:\.\d+)?)\b"), F.lit(1)), lambda x: x.try_cast("double"))
+    percent = F.coalesce(number(PERCENT), F.lit(None).cast("double")) / 100.0
+    named = number(NAMED)
+    given = number(GIVEN)
+    bare = F.transform(F.regexp_extract_all(t, F.lit(BARE), F.lit(1)), lambda x: x.try_cast("double"))
     bare = F.get(F.filter(bare, lambda x: F.abs(x) <= 1.5), F.lit(0))
     low = F.lower(t)
     yes = F.when(low.startswith("yes") | low.contains("\nyes"), 1.0).when(low.startswith("no") | low.contains("\nno"), 0.0)

@@ -37,7 +37,7 @@ def _paths(spark, sf_dir):
     return model.nodes(spark, sf_dir).select("node_id", "file_path")
 
 
-#: Snippets that hold what the base tables' texts do not: one a line, dealt by id.
+#: What the base tables' texts do not hold: one is put behind each whole text, dealt by id.
 SNIPPETS = (
     "using System;\npublic class A : B {\n  if (x) { foo(); } else if (y) { }\n  for (;;) { }\n}\n/// doc",
     "import os\nfrom a.b import c\ndef main():\n    x = a ? b : c && d || e\nclass K(Base):\n    self.run()\n",
@@ -52,26 +52,26 @@ SNIPPETS = (
 )
 
 
-def _snippets(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.get(F.array(*[F.lit(x) for x in SNIPPETS]), (F.col("doc_id") % len(SNIPPETS)).cast("int")).alias("t"))
-    return rows
+def _texts(spark, sf_dir):
+    """(doc_id, t): every whole text and a snippet behind it."""
+    snippet = F.get(F.array(*[F.lit(x) for x in SNIPPETS]), F.pmod("doc_id", F.lit(len(SNIPPETS))).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), snippet).alias("t"))
 
 
-_SNIP = "sn AS (SELECT doc_id, ([{}])[1 + (doc_id % {})::INT] AS t FROM documents)".format(", ".join(_q(x) for x in SNIPPETS), len(SNIPPETS))
-#: The same snippets for SQL; RE2 has no quantifier on \b, so the ternary is counted by its parts.
+_TEXTS = "tx AS (SELECT doc_id, coalesce(text, '') || chr(10) || ([{}])[1 + (doc_id % {})::INT] AS t FROM documents)".format(", ".join(_q(x) for x in SNIPPETS), len(SNIPPETS))
 
 
 def _on(select: str, *more: str) -> str:
-    return "WITH " + ", ".join([_SNIP, *more]) + " " + select
+    return "WITH " + ", ".join([_TEXTS, *more]) + " " + select
 
 
 def _both(name: str, select: str, *columns):
-    """A query over the snippets: ``columns`` are made by a function of the text column."""
+    """A query over the texts: ``columns`` are made by a function of the text column."""
 
     def register(build):
         @R.query(name, _on(select))
         def run(spark, sf_dir):
-            return _snippets(spark, sf_dir).select("doc_id", *build(F.col("t")))
+            return _texts(spark, sf_dir).select("doc_id", *build(F.col("t")))
 
         run.__doc__ = build.__doc__
         return run
@@ -79,14 +79,14 @@ def _both(name: str, select: str, *columns):
     return register
 
 
-@_both("x01_cyclomatic", f"SELECT doc_id, 1 + {_sum('t', code.DECISIONS)} AS complexity FROM sn")
+@_both("x01_cyclomatic", f"SELECT doc_id, 1 + {_sum('t', code.DECISIONS)} AS complexity FROM tx")
 def x01(t):
     """One and the decision points in the text."""
     return [code.cyclomatic(t).alias("complexity")]
 
 
 @_both("x05_nesting_depth", f"""SELECT doc_id, (SELECT greatest(0, max(s))::INT FROM (SELECT sum(d) OVER (ORDER BY i) AS s FROM
-  (SELECT i, {_count('x', r'{')} + {_count('x', code.NESTING)} - {_count('x', r'}')} AS d FROM (SELECT unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i)))) AS depth FROM sn""")
+  (SELECT i, {_count('x', r'{')} + {_count('x', code.NESTING)} - {_count('x', r'}')} AS d FROM (SELECT unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i)))) AS depth FROM tx""")
 def x05(t):
     """The greatest running depth by line."""
     return [code.nesting_depth(t).alias("depth")]
@@ -110,25 +110,25 @@ def x09(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", code.text_tokens(F.col("t")).alias("tokens"))
 
 
-@_both("x12_public_content", f"SELECT doc_id, regexp_matches(t, {_q('(?i)' + '|'.join(code.PUBLIC))}) AS is_public FROM sn")
+@_both("x12_public_content", f"SELECT doc_id, regexp_matches(t, {_q('(?i)' + '|'.join(code.PUBLIC))}) AS is_public FROM tx")
 def x12(t):
     """Content that exports something."""
     return [code.is_public(t).alias("is_public")]
 
 
-@_both("x13_documented", f"SELECT doc_id, regexp_matches(t, {_q('|'.join(code.DOCUMENTED))}) AS documented FROM sn")
+@_both("x13_documented", f"SELECT doc_id, regexp_matches(t, {_q('|'.join(code.DOCUMENTED))}) AS documented FROM tx")
 def x13(t):
     """Content with comments or quotes."""
     return [code.is_documented(t).alias("documented")]
 
 
-@_both("x14_fan_out", f"SELECT doc_id, {_sum('t', code.IMPORTS)} AS imports FROM sn")
+@_both("x14_fan_out", f"SELECT doc_id, {_sum('t', code.IMPORTS)} AS imports FROM tx")
 def x14(t):
     """Imports counted over five forms."""
     return [code.imports(t).alias("imports")]
 
 
-@_both("x15_content_type", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, {_q(p)}) THEN '{n}'" for p, n in code.CONTENT_TYPES) + " ELSE 'Component' END AS type FROM sn")
+@_both("x15_content_type", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, {_q(p)}) THEN '{n}'" for p, n in code.CONTENT_TYPES) + " ELSE 'Component' END AS type FROM tx")
 def x15(t):
     """Component type by the first declaration found."""
     return [code.content_type(t).alias("type")]
@@ -149,29 +149,29 @@ def _all(patterns, flag="(?i)"):
     return "flatten([" + ", ".join(f"regexp_extract_all(t, {_q(flag + p)}, 1)" for p in patterns) + "])"
 
 
-@_both("x17_generic_declarations", f"SELECT doc_id, array_to_string({_all(code.GENERIC_CLASSES)}, ',') AS classes, array_to_string({_all(code.GENERIC_FUNCTIONS)}, ',') AS functions FROM sn")
+@_both("x17_generic_declarations", f"SELECT doc_id, array_to_string({_all(code.GENERIC_CLASSES)}, ',') AS classes, array_to_string({_all(code.GENERIC_FUNCTIONS)}, ',') AS functions FROM tx")
 def x17(t):
     """Classes and functions by regex, whatever the language."""
     return [F.array_join(code.declarations(t, code.GENERIC_CLASSES), ",").alias("classes"), F.array_join(code.declarations(t, code.GENERIC_FUNCTIONS), ",").alias("functions")]
 
 
-@_both("x18_java_declarations", f"SELECT doc_id, array_to_string({_all([code.JAVA_CLASS, code.JAVA_INTERFACE], '')}, ',') AS names FROM sn")
+@_both("x18_java_declarations", f"SELECT doc_id, array_to_string({_all([code.JAVA_CLASS, code.JAVA_INTERFACE], '')}, ',') AS names FROM tx")
 def x18(t):
     """Java classes and interfaces, each once."""
     return [F.array_join(code.declarations(t, (code.JAVA_CLASS, code.JAVA_INTERFACE), False), ",").alias("names")]
 
 
-@_both("x19_python_declarations", f"SELECT doc_id, array_to_string({_all([code.PYTHON_CLASS, code.PYTHON_FUNCTION], '')}, ',') AS names FROM sn")
+@_both("x19_python_declarations", f"SELECT doc_id, array_to_string({_all([code.PYTHON_CLASS, code.PYTHON_FUNCTION], '')}, ',') AS names FROM tx")
 def x19(t):
     """Python classes without bases and functions."""
     return [F.array_join(code.declarations(t, (code.PYTHON_CLASS, code.PYTHON_FUNCTION), False), ",").alias("names")]
 
 
-@R.query("x20_entry_by_language", _on("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN regexp_matches(t, 'app\\.listen\\s*\\(|ReactDOM\\.render|bootstrap\\(\\)') WHEN 1 THEN regexp_matches(t, 'int\\s+main\\s*\\(') ELSE false END AS entry FROM sn"))
+@R.query("x20_entry_by_language", _on("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN regexp_matches(t, 'app\\.listen\\s*\\(|ReactDOM\\.render|bootstrap\\(\\)') WHEN 1 THEN regexp_matches(t, 'int\\s+main\\s*\\(') ELSE false END AS entry FROM tx"))
 def x20(spark, sf_dir):
     """Entry points by language."""
     lang = F.get(F.array(F.lit("JavaScript"), F.lit("c"), F.lit("Cobol")), (F.col("doc_id") % 3).cast("int"))
-    return _snippets(spark, sf_dir).select("doc_id", code.is_entry_point(F.col("t"), lang).alias("entry"))
+    return _texts(spark, sf_dir).select("doc_id", code.is_entry_point(F.col("t"), lang).alias("entry"))
 
 
 @R.query("x24_diagram_layer", "SELECT p_partkey, CASE lower(p_type) WHEN 'service' THEN 'Business' ELSE 'Unknown' END AS layer FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Service' ELSE p_type END AS p_type FROM part)")
@@ -189,7 +189,8 @@ def x25(spark, sf_dir):
     return _paths(spark, sf_dir).select("node_id", code.parent_directory(F.col("file_path")).alias("directory"))
 
 
-@R.query("x26_common_path", on_graph("""SELECT type, CASE type WHEN 'Domain' THEN 'regions' WHEN 'Entity' THEN 'regions' WHEN 'Client' THEN 'customers' WHEN 'Service' THEN 'suppliers' ELSE 'parts' END AS path FROM nodes GROUP BY type"""))
+@R.query("x26_common_path", on_graph("""SELECT type, coalesce((SELECT max(array_to_string(lo[1:k], '/')) FROM (SELECT unnest(range(0, len(lo) + 1)) AS k) WHERE lo[1:k] = hi[1:k] AND k = (SELECT max(j) FROM (SELECT unnest(range(0, len(lo) + 1)) AS j) WHERE lo[1:j] = hi[1:j])), '') AS path
+  FROM (SELECT type, min(d) AS lo, max(d) AS hi FROM (SELECT type, string_split(file_path, '/')[1:-2] AS d FROM nodes) GROUP BY type)"""))
 def x26(spark, sf_dir):
     """The directories that all files of a type share."""
     parts = F.slice(code.segments(F.col("file_path")), F.lit(1), F.size(code.segments(F.col("file_path"))) - 1)
@@ -216,7 +217,7 @@ def x28(spark, sf_dir):
 @R.query("x29_semantic_split")
 def x29(spark, sf_dir):
     """Sections by Markdown header, merged and cut to 60 characters."""
-    return prose.chunked(_snippets(spark, sf_dir), "semantic", "t", size=60, overlap=10).select("doc_id", "chunk_no", "chunk")
+    return prose.chunked(_texts(spark, sf_dir), "semantic", "t", size=60, overlap=10).select("doc_id", "chunk_no", "chunk")
 
 
 @R.query("x30_line_chunks")
@@ -237,7 +238,7 @@ def x32(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", prose.word_count(F.col("t")).alias("words"))
 
 
-@_both("x33_section_count", f"SELECT doc_id, {_count('t', prose.SECTION)} AS sections FROM sn")
+@_both("x33_section_count", f"SELECT doc_id, {_count('t', prose.SECTION)} AS sections FROM tx")
 def x33(t):
     """Markdown headers."""
     return [prose.section_count(t).alias("sections")]
@@ -245,17 +246,19 @@ def x33(t):
 
 @_both("x34_entities", f"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(t, {_q(prose.CLASS_ENTITY)}, 1), lambda x: length(x) > 3), ',') AS classes,
   array_to_string(list_filter(regexp_extract_all(t, {_q(prose.FUNCTION_ENTITY)}, 1), lambda x: length(x) > 3), ',') AS functions,
-  array_to_string(list_transform(regexp_extract_all(t, {_q(prose.DEPENDENCY_ENTITY)}, 1), lambda x: lower(x)), ',') AS dependencies FROM sn""")
+  array_to_string(list_transform(regexp_extract_all(t, {_q(prose.DEPENDENCY_ENTITY)}, 1), lambda x: lower(x)), ',') AS dependencies FROM tx""")
 def x34(t):
     """Names of classes, functions and dependencies in documentation."""
     e = prose.entities(t)
     return [F.array_join(e[k], ",").alias(k) for k in ("classes", "functions", "dependencies")]
 
 
-@R.query("x35_first_paragraph")
+@R.query("x35_first_paragraph", _on("""SELECT doc_id, CASE WHEN length(p) > 200 THEN p[1:197] || '...' ELSE p END AS summary FROM (SELECT doc_id, array_to_string(CASE WHEN stop > 0 THEN m[1:stop - 1] ELSE m END, ' ') AS p
+  FROM (SELECT doc_id, m, list_position(m, '') AS stop FROM (SELECT doc_id, CASE WHEN start > 0 THEN l[start:] ELSE [] END AS m FROM (SELECT doc_id, l, list_position(list_transform(l, lambda x: x <> ''), true) AS start
+  FROM (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: NOT starts_with(x, '#')) AS l FROM tx)))))"""))
 def x35(spark, sf_dir):
     """The first paragraph after headers, cut to 200 characters."""
-    return _snippets(spark, sf_dir).select("doc_id", prose.first_paragraph(F.col("t")).alias("summary"))
+    return _texts(spark, sf_dir).select("doc_id", prose.first_paragraph(F.col("t")).alias("summary"))
 
 
 @R.query("x36_cross_references", """WITH w AS (SELECT item_id, regexp_extract(text, '^[A-Z][a-z]+') AS name FROM benchmark), d AS (SELECT DISTINCT name FROM w WHERE length(name) > 2)
@@ -282,34 +285,41 @@ def x37(spark, sf_dir):
     """Names as links, the longest first, bracketed ones left alone."""
     from ..operators import references
 
-    return _snippets(spark, sf_dir).select("doc_id", references.linked(F.col("t"), {"UserService": "user.md", "User": "u.md", "Redis": "redis.md"}).alias("t"))
+    return _texts(spark, sf_dir).select("doc_id", references.linked(F.col("t"), {"UserService": "user.md", "User": "u.md", "Redis": "redis.md"}).alias("t"))
 
 
-@R.query("x38_clean_page")
+@R.query("x38_clean_page", _on("""SELECT doc_id, '# Title' || chr(10) || chr(10) || trim(array_to_string(list_filter(string_split(t, chr(10)), lambda x: lower(trim(regexp_replace(x, '^\\s*#\\s*', ''))) <> 'title'), chr(10))) AS t
+  FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(t), '^```markdown[\\r\\n]*', ''), '\\s*```$', ''), '(?is)<details>\\s*<summary>\\s*Relevant source files\\s*</summary>.*?</details>', '', 'g')) AS t FROM tx)"""))
 def x38(spark, sf_dir):
     """Generated pages without fences, source lists and repeated titles."""
-    return _snippets(spark, sf_dir).select("doc_id", prose.clean_page(F.col("t"), F.lit("Title")).alias("t"))
+    return _texts(spark, sf_dir).select("doc_id", prose.clean_page(F.col("t"), F.lit("Title")).alias("t"))
 
 
-@R.query("x39_score_parser", "SELECT doc_id, CASE doc_id % 10 WHEN 5 THEN 0.85 WHEN 6 THEN 0.75 WHEN 7 THEN 1 WHEN 3 THEN 1 WHEN 8 THEN 1 WHEN 9 THEN 0 WHEN 4 THEN 1 ELSE 0.5 END::DOUBLE AS score FROM documents")
+def _number(pattern: str) -> str:
+    return f"TRY_CAST(nullif(regexp_extract(trim(t), {_q(pattern)}, 1), '') AS DOUBLE)"
+
+
+@R.query("x39_score_parser", _on(f"""SELECT doc_id, greatest(0, least(1, coalesce({_number(prose.PERCENT)} / 100.0::DOUBLE, {_number(prose.NAMED)}, {_number(prose.GIVEN)},
+  list_filter([TRY_CAST(x AS DOUBLE) FOR x IN regexp_extract_all(trim(t), {_q(prose.BARE)}, 1)], lambda x: abs(x) <= 1.5)[1],
+  CASE WHEN starts_with(lower(trim(t)), 'yes') OR contains(lower(trim(t)), chr(10) || 'yes') THEN 1 WHEN starts_with(lower(trim(t)), 'no') OR contains(lower(trim(t)), chr(10) || 'no') THEN 0 END, 0.5)))::DOUBLE AS score FROM tx"""))
 def x39(spark, sf_dir):
     """A judge's answer as a number from 0 to 1."""
-    return _snippets(spark, sf_dir).select("doc_id", prose.score(F.col("t")).alias("score"))
+    return _texts(spark, sf_dir).select("doc_id", prose.score(F.col("t")).alias("score"))
 
 
-@_both("x40_json_salvage", "SELECT doc_id, nullif(regexp_extract(regexp_replace(t, '```(?:json)?', '', 'g'), '(?s)(\\{.*\\})', 1), '') AS body FROM sn")
+@_both("x40_json_salvage", "SELECT doc_id, nullif(regexp_extract(regexp_replace(t, '```(?:json)?', '', 'g'), '(?s)(\\{.*\\})', 1), '') AS body FROM tx")
 def x40(t):
     """From the first to the last brace."""
     return [prose.salvage_json(t).alias("body")]
 
 
-@R.query("x41_mermaid_block")
+@R.query("x41_mermaid_block", _on("SELECT doc_id, CASE WHEN b <> '' THEN trim(b) ELSE trim(t) END AS block FROM (SELECT doc_id, t, regexp_extract(t, '(?s)```(?:mermaid)?\\s*\\n(.*?)```', 1) AS b FROM tx)"))
 def x41(spark, sf_dir):
     """The first fenced block, else all of it."""
-    return _snippets(spark, sf_dir).select("doc_id", prose.mermaid(F.col("t")).alias("block"))
+    return _texts(spark, sf_dir).select("doc_id", prose.mermaid(F.col("t")).alias("block"))
 
 
-@_both("x42_requirement_key", "SELECT doc_id, trim(replace(replace(replace(lower(t), '.', ''), ',', ''), ';', '')) AS key FROM sn")
+@_both("x42_requirement_key", "SELECT doc_id, trim(replace(replace(replace(lower(t), '.', ''), ',', ''), ';', '')) AS key FROM tx")
 def x42(t):
     """Lower case without full stops, commas and semicolons."""
     return [prose.requirement_key(t).alias("key")]
@@ -318,7 +328,7 @@ def x42(t):
 _CATEGORY = "CASE WHEN regexp_matches(lower(t), 'example|code|sample') THEN 'Code Examples' WHEN regexp_matches(lower(t), 'api|endpoint|method') THEN 'API Coverage' WHEN regexp_matches(lower(t), 'structure|organization|format') THEN 'Structure & Organization' ELSE 'Documentation Quality' END"
 
 
-@_both("x43_requirement_category", f"SELECT doc_id, {_CATEGORY} AS category FROM sn")
+@_both("x43_requirement_category", f"SELECT doc_id, {_CATEGORY} AS category FROM tx")
 def x43(t):
     """One of four kinds of requirement."""
     return [prose.requirement_category(t).alias("category")]
@@ -344,69 +354,69 @@ def x46(spark, sf_dir):
 
 
 _AGENT = f"""ag AS (SELECT doc_id, length(t) // 4 AS tokens, list_sum([{' + '.join(f"contains(x, {_q(m)})::INT" for m in code.AGENT_MARKS)} for x in regexp_split_to_array(t, '[\\r\\n]') if trim(x) <> '']) AS marks,
-  list_max([(length(x) - length(ltrim(x))) // 4 for x in regexp_split_to_array(t, '[\\r\\n]') if trim(x) <> '']) AS nesting FROM sn)"""
+  list_max([(length(x) - length(ltrim(x))) // 4 for x in regexp_split_to_array(t, '[\\r\\n]') if trim(x) <> '']) AS nesting FROM tx)"""
 
 
 @R.query("x47_agent_complexity", _on("SELECT doc_id, tokens, marks::INT AS marks, nesting::INT AS nesting FROM ag", _AGENT))
 def x47(spark, sf_dir):
     """Tokens, marked lines and indentation as the agents see them."""
     tokens, marks, nesting = code.agent_metrics(F.col("t"))
-    return _snippets(spark, sf_dir).select("doc_id", tokens.alias("tokens"), marks.alias("marks"), nesting.alias("nesting"))
+    return _texts(spark, sf_dir).select("doc_id", tokens.alias("tokens"), marks.alias("marks"), nesting.alias("nesting"))
 
 
-@R.query("x48_agent_delegation", _on("SELECT doc_id, CASE WHEN doc_id % 20 = 1 THEN 'none' WHEN tokens > 20 THEN CASE WHEN marks > 1 THEN 'complexity' ELSE 'none' END ELSE 'none' END AS reason FROM ag", _AGENT))
+@R.query("x48_agent_delegation", _on("SELECT doc_id, CASE WHEN doc_id % 20 = 1 THEN 'none' WHEN tokens > 2000 THEN 'tokens' WHEN marks > 10 THEN 'complexity' ELSE 'none' END AS reason FROM ag", _AGENT))
 def x48(spark, sf_dir):
     """Whether an agent hands on, unless it was handed to."""
     tokens, marks, _ = code.agent_metrics(F.col("t"))
-    reason = code.agent_delegates(F.lit(0), F.when((tokens > 20) & (marks > 1), 11).otherwise(0), F.col("doc_id") % 20 == 1)
-    return _snippets(spark, sf_dir).select("doc_id", reason.alias("reason"))
+    reason = code.agent_delegates(tokens, marks, F.col("doc_id") % 20 == 1)
+    return _texts(spark, sf_dir).select("doc_id", reason.alias("reason"))
 
 
-@R.query("x49_key_topics", _on("SELECT doc_id, CASE WHEN doc_id % 10 = 4 THEN 'Overview,More' ELSE '' END AS topics FROM sn"))
+@R.query("x49_key_topics", _on("""SELECT doc_id, array_to_string(list_transform(list_filter(string_split(t, chr(10)), lambda x: starts_with(ltrim(x), '## ') OR starts_with(ltrim(x), '### '))[1:5], lambda x: regexp_replace(x, '^[# ]+', '')), ',') AS topics FROM tx"""))
 def x49(spark, sf_dir):
     """The first five headers of level two and three."""
-    return _snippets(spark, sf_dir).select("doc_id", F.array_join(prose.key_topics(F.col("t")), ",").alias("topics"))
+    return _texts(spark, sf_dir).select("doc_id", F.array_join(prose.key_topics(F.col("t")), ",").alias("topics"))
 
 
-@_both("x50_concrete_details", "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(t, '`([^`]+)`', 1), lambda x: length(x) > 2 AND length(x) < 50 AND NOT contains(x, chr(10))), ',') AS details FROM sn")
+@_both("x50_concrete_details", "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(t, '`([^`]+)`', 1), lambda x: length(x) > 2 AND length(x) < 50 AND NOT contains(x, chr(10))), ',') AS details FROM tx")
 def x50(t):
     """Short spans between backticks."""
     return [F.array_join(prose.concrete_details(t), ",").alias("details")]
 
 
-@_both("x51_citations", "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(t, '\\[{1,2}\\s*(\\d+)\\s*\\]{1,2}', 1), lambda x: x::INT BETWEEN 1 AND 1), ',') AS cited FROM sn")
+@_both("x51_citations", "SELECT doc_id, array_to_string(list_filter(regexp_extract_all(t, '\\[{1,2}\\s*(\\d+)\\s*\\]{1,2}', 1), lambda x: x::INT BETWEEN 1 AND 1), ',') AS cited FROM tx")
 def x51(t):
     """Citation marks that name a source."""
     return [F.array_join(prose.citations(t, F.lit(1)).cast("array<string>"), ",").alias("cited")]
 
 
-@_both("x52_line_names", f"SELECT doc_id, array_to_string(regexp_extract_all(t, {_q('(?m)' + code.FUNCTION_NAMES['python'])}, 1), ',') AS functions, array_to_string(regexp_extract_all(t, {_q('(?m)' + code.CLASS_NAMES['python'])}, 1), ',') AS classes FROM sn")
+@_both("x52_line_names", f"SELECT doc_id, array_to_string(regexp_extract_all(t, {_q('(?m)' + code.FUNCTION_NAMES['python'])}, 1), ',') AS functions, array_to_string(regexp_extract_all(t, {_q('(?m)' + code.CLASS_NAMES['python'])}, 1), ',') AS classes FROM tx")
 def x52(t):
     """Function and class names at the start of lines."""
     return [F.array_join(code.line_names(t, code.FUNCTION_NAMES["python"]), ",").alias("functions"), F.array_join(code.line_names(t, code.CLASS_NAMES["python"]), ",").alias("classes")]
 
 
-@_both("x53_usage_counts", f"SELECT doc_id, {_count('t', code.INHERITANCE['javascript'])} AS inheritance, {_count('t', code.ACCESS['python'])} AS access, {_count('t', code.IMPORT_LINES['python'])} AS imports FROM sn")
+@_both("x53_usage_counts", f"SELECT doc_id, {_count('t', code.INHERITANCE['javascript'])} AS inheritance, {_count('t', code.ACCESS['python'])} AS access, {_count('t', code.IMPORT_LINES['python'])} AS imports FROM tx")
 def x53(t):
     """Inheritance, attribute access and imports."""
     return [code.matches(t, p).alias(n) for n, p in (("inheritance", code.INHERITANCE["javascript"]), ("access", code.ACCESS["python"]), ("imports", code.IMPORT_LINES["python"]))]
 
 
-@_both("x54_imported_modules", f"SELECT doc_id, array_to_string(regexp_extract_all(t, {_q(code.IMPORTED['python'])}, 1)[1:10], ',') AS modules FROM sn")
+@_both("x54_imported_modules", f"SELECT doc_id, array_to_string(regexp_extract_all(t, {_q(code.IMPORTED['python'])}, 1)[1:10], ',') AS modules FROM tx")
 def x54(t):
     """The first ten imported modules."""
     return [F.array_join(F.slice(F.regexp_extract_all(t, F.lit(code.IMPORTED["python"]), F.lit(1)), 1, 10), ",").alias("modules")]
 
 
-@R.query("x55_entry_lines", _on(f"""SELECT doc_id, i AS line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM sn)
+@R.query("x55_entry_lines", _on(f"""SELECT doc_id, i AS line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM tx)
   WHERE regexp_matches(x, {_q(code.ENTRY_LINES['python'][1][1])}) OR regexp_matches(x, {_q(code.ENTRY_LINES['python'][2][1])})"""))
 def x55(spark, sf_dir):
     """Lines that match an entry pattern of the language."""
-    rows = _snippets(spark, sf_dir).select("doc_id", F.explode(code.entry_lines(F.col("t"), "python")).alias("e"))
+    rows = _texts(spark, sf_dir).select("doc_id", F.explode(code.entry_lines(F.col("t"), "python")).alias("e"))
     return rows.select("doc_id", F.col("e.line").cast("long").alias("line"))
 
 
-@_both("x56_qualified_names", f"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(t, {_q(code.QUALIFIED)}, 1), lambda x: x NOT IN ('this', 'console'))[1:5], ',') AS names FROM sn")
+@_both("x56_qualified_names", f"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(t, {_q(code.QUALIFIED)}, 1), lambda x: x NOT IN ('this', 'console'))[1:5], ',') AS names FROM tx")
 def x56(t):
     """The first five qualifiers of names."""
     return [F.array_join(code.qualified_names(t), ",").alias("names")]
@@ -430,7 +440,8 @@ def s03(spark, sf_dir):
     return model.nodes(spark, sf_dir).select("node_id", code.ignored_component(path).alias("ignored"))
 
 
-@R.query("s04_infrastructure_files", on_graph("SELECT node_id, complexity IN (1, 2, 3) AS infra FROM nodes"))
+@R.query("s04_infrastructure_files", on_graph(f"""SELECT node_id, lower(string_split(p, '/')[-1]) IN ({', '.join(_q(x) for x in code.INFRASTRUCTURE)}) OR regexp_matches(lower(string_split(p, '/')[-1]), '^(\\.eslintrc|\\.prettierrc)') OR regexp_matches(lower(p), '\\.(sln|csproj)$') AS infra
+  FROM (SELECT node_id, CASE complexity WHEN 1 THEN 'src/Package.json' WHEN 2 THEN 'a/.eslintrc.cjs' WHEN 3 THEN 'x.CSPROJ' ELSE file_path END AS p FROM nodes)"""))
 def s04(spark, sf_dir):
     """Files of build and configuration."""
     c = F.col("complexity")
@@ -453,7 +464,8 @@ def s06(spark, sf_dir):
     return _paths(spark, sf_dir).select("node_id", code.language(F.col("file_path"), code.COMPONENT_LANGUAGES, "None").alias("language"))
 
 
-@R.query("s07_repository_profile", on_graph("SELECT count(*) AS files, count(DISTINCT regexp_replace(file_path, '/[^/]*$', '')) AS directories, 'Python' AS language FROM nodes"))
+@R.query("s07_repository_profile", on_graph("""SELECT count(*) AS files, count(DISTINCT regexp_replace(file_path, '/[^/]*$', '')) AS directories, (SELECT CASE e WHEN 'cs' THEN 'C#' WHEN 'java' THEN 'Java' WHEN 'py' THEN 'Python' WHEN 'js' THEN 'JavaScript' WHEN 'ts' THEN 'TypeScript' ELSE 'Mixed' END
+  FROM (SELECT lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) AS e, count(*) AS n FROM nodes GROUP BY 1) WHERE e IN ('cs', 'java', 'py', 'js', 'ts', 'cpp', 'c', 'go', 'rs') ORDER BY n DESC, e LIMIT 1) AS language FROM nodes"""))
 def s07(spark, sf_dir):
     """Files, directories and the prevailing language; ties by extension."""
     rows = _paths(spark, sf_dir)
