@@ -9,6 +9,12 @@ from ..sources.model import Graph
 from ..sources.tables import cut
 
 
+#: Rounds of PageRank between two written tables.
+ROUNDS = 4
+#: Sources whose shortest paths are held at a time.
+SOURCES = 4096
+
+
 def degrees(graph: Graph) -> DataFrame:
     """(node_id, fan_in, fan_out) by arcs, repeated arcs counted; one pass over the arcs."""
     ends = graph.adjacency.select(F.explode(F.array(F.struct(F.col("dst").alias("n"), F.lit(1).alias("i")), F.struct(F.col("src").alias("n"), F.lit(0).alias("i")))).alias("e"))
@@ -61,20 +67,35 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def page_rank(graph: Graph, damping: float = 0.85, most: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(node_id, rank): arcs counted with repeats, rank of nodes without arcs out is not dealt.
 
-    Rounds end when the sum of changes falls below the tolerance.  Each round is one join of
-    the arc counts with the ranks and one aggregate, written once."""
+    A round is one join of the arc counts with the ranks and one aggregate.  ROUNDS of them
+    make one plan and one written table; they end when the last one's changes sum up to less
+    than the tolerance."""
     n = graph.nodes.count()
     if not n:
         return graph.nodes.select("node_id", F.lit(0.0).alias("rank"))
     out = graph.adjacency.groupBy("src").agg(F.count("*").alias("out"))
     arcs = graph.adjacency.groupBy("src", "dst").agg(F.count("*").alias("k")).join(out, "src")
     arcs = cut(arcs.select("src", "dst", (F.col("k") / F.col("out")).alias("share")), "shares")
-    ranks = cut(graph.nodes.select("node_id", F.lit(1.0 / n).alias("rank")), "ranks")
-    for _ in range(most):
-        got = arcs.join(ranks, F.col("src") == F.col("node_id")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("sum"))
-        new = ranks.join(got, F.col("node_id") == F.col("dst"), "left")
-        rank = F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("sum", F.lit(0.0))
-        new = cut(new.select("node_id", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change")), "ranks")
+    ids = cut(graph.nodes.select("node_id"), "ids")
+    ranks = cut(ids.select("node_id", F.lit(1.0 / n).alias("rank")), "ranks")
+    base, done = ids.select("node_id", F.lit(0.0).alias("part")), 0
+
+    def step(ranks: DataFrame) -> DataFrame:
+        got = arcs.join(ranks, F.col("src") == F.col("node_id")).select(F.col("dst").alias("node_id"), (F.col("rank") * F.col("share")).alias("part"))
+        sums = got.unionByName(base).groupBy("node_id").agg(F.sum("part").alias("sum"))
+        return sums.select("node_id", (F.lit((1 - damping) / n) + F.lit(damping) * F.col("sum")).alias("rank"))
+
+    while done < most:
+        before = ranks
+        for _ in range(min(ROUNDS, most - done) - 1):
+            before = step(before)
+        before = before.withColumnRenamed("rank", "before")
+        done += min(ROUNDS, most - done)
+        # the last round keeps what it started from, so its change needs no second join of the ranks
+        got = arcs.join(before, F.col("src") == F.col("node_id")).select(F.col("dst").alias("node_id"), (F.col("before") * F.col("share")).alias("part"), F.lit(0.0).alias("before"))
+        sums = got.unionByName(before.select("node_id", F.lit(0.0).alias("part"), "before")).groupBy("node_id").agg(F.sum("part").alias("sum"), F.sum("before").alias("before"))
+        rank = F.lit((1 - damping) / n) + F.lit(damping) * F.col("sum")
+        new = cut(sums.select("node_id", rank.alias("rank"), F.abs(rank - F.col("before")).alias("change")), "ranks")
         ranks = new.select("node_id", "rank")
         if new.agg(F.sum("change")).first()[0] < tolerance:
             break
@@ -90,40 +111,74 @@ def importance(graph: Graph, ranks: DataFrame | None = None) -> DataFrame:
     return d.select("node_id", score.alias("importance"))
 
 
-def _distances(graph: Graph, depth: int, counted: bool) -> DataFrame:
-    """(s, t, d, paths): shortest directed paths from every node, up to ``depth`` steps."""
-    edges = cut(graph.edges.filter("src <> dst").select("src", "dst"), "arcs")
-    edge = graph.nodes.select(F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(1).cast("double").alias("paths"))
-    found = cut(edge.withColumn("d", F.lit(0)), "paths")
-    for k in range(1, depth + 1):
-        edge = found.filter(F.col("d") == k - 1)
-        step = edge.join(edges, F.col("t") == F.col("src")).groupBy("s", F.col("dst").alias("t")).agg(F.sum("paths").alias("paths"))
-        step = cut(step.join(found.select("s", "t"), ["s", "t"], "left_anti").withColumn("d", F.lit(k)), "paths")
+def _sources(graph: Graph) -> list[DataFrame]:
+    """The nodes in batches of about SOURCES, which bound what a search from them holds."""
+    ids = cut(graph.nodes.select("node_id"), "ids")
+    n = -(-ids.count() // SOURCES)
+    return [ids.filter(F.pmod(F.xxhash64("node_id"), F.lit(n)) == i) for i in range(n)]
+
+
+def _levels(edges: DataFrame, sources: DataFrame, depth: int) -> list[DataFrame]:
+    """Per step from the sources: (s, t, paths), the number of shortest directed paths."""
+    levels = [cut(sources.select(F.col("node_id").alias("s"), F.col("node_id").alias("t"), F.lit(1.0).alias("paths")), "paths")]
+    found = levels[0].select("s", "t")
+    for _ in range(depth):
+        step = levels[-1].join(edges, F.col("t") == F.col("src")).groupBy("s", F.col("dst").alias("t")).agg(F.sum("paths").alias("paths"))
+        step = cut(step.join(found, ["s", "t"], "left_anti"), "paths")
         if step.isEmpty():
             break
-        found = found.unionByName(step.select(found.columns))
-    return found
+        levels.append(step)
+        found = found.unionByName(step.select("s", "t"))
+    return levels
+
+
+def _simple_edges(graph: Graph) -> DataFrame:
+    return cut(graph.edges.filter("src <> dst").select("src", "dst"), "arcs")
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def closeness(graph: Graph, depth: int = 64) -> DataFrame:
     """(node_id, closeness) = (N - 1) / sum of distances; 0 unless all nodes are reached."""
-    n = graph.nodes.count()
-    d = _distances(graph, depth, False).groupBy(F.col("s").alias("node_id")).agg(F.count("*").alias("k"), F.sum("d").alias("sum"))
-    value = F.when((F.col("k") == n) & (F.col("sum") > 0), F.lit(n - 1) / F.col("sum")).otherwise(0.0)
-    return d.select("node_id", value.cast("double").alias("closeness"))
+    n, edges, parts = graph.nodes.count(), _simple_edges(graph), []
+    for sources in _sources(graph):
+        levels = [x.groupBy("s").agg(F.count("*").alias("k"), (F.count("*") * d).alias("sum")) for d, x in enumerate(_levels(edges, sources, depth))]
+        d = _all(levels).groupBy(F.col("s").alias("node_id")).agg(F.sum("k").alias("k"), F.sum("sum").alias("sum"))
+        value = F.when((F.col("k") == n) & (F.col("sum") > 0), F.lit(n - 1) / F.col("sum")).otherwise(0.0)
+        parts.append(cut(d.select("node_id", value.cast("double").alias("closeness")), "closeness"))
+    return _all(parts) if parts else graph.nodes.select("node_id", F.lit(0.0).alias("closeness"))
 
 
 def betweenness(graph: Graph, depth: int = 64) -> DataFrame:
     """(node_id, betweenness): over all ordered pairs, the share of shortest paths through it.
 
-    Summing over every ordered pair, not one order of each, makes it independent of row order."""
-    p = cut(_distances(graph, depth, True), "paths")
-    whole = p.filter("d > 1").select("s", "t", F.col("d").alias("dst"), F.col("paths").alias("all"))
-    left = p.filter("d > 0").select("s", F.col("t").alias("v"), F.col("d").alias("dsv"), F.col("paths").alias("a"))
-    right = p.filter("d > 0").select(F.col("s").alias("v"), "t", F.col("d").alias("dvt"), F.col("paths").alias("b"))
-    through = left.join(right, "v").join(whole, ["s", "t"]).filter("dsv + dvt = dst")
-    sums = through.groupBy(F.col("v").alias("node_id")).agg(F.sum(F.col("a") * F.col("b") / F.col("all")).alias("betweenness"))
-    return graph.nodes.select("node_id").join(sums, "node_id", "left").fillna(0.0, ["betweenness"])
+    Searches run from a batch of sources at a time; a node's dependency on a source is summed
+    up from the farthest level back, one join with the edges a level, and pairs of pairs are
+    never formed.  Summing over every ordered pair makes it independent of row order."""
+    edges, parts = _simple_edges(graph), []
+    for sources in _sources(graph):
+        levels = _levels(edges, sources, depth)
+        after, held = None, []
+        for near, far in zip(levels[-2::-1], levels[:0:-1]):
+            # (s, w, paths, dependency) of the farther level, and through an edge v -> w of v
+            far = far.withColumn("dep", F.lit(0.0)) if after is None else after
+            w = far.select(F.col("s").alias("source"), F.col("t").alias("w"), ((1 + F.col("dep")) / F.col("paths")).alias("share"))
+            through = near.join(edges, F.col("t") == F.col("src")).join(w, (F.col("s") == F.col("source")) & (F.col("dst") == F.col("w")))
+            through = through.groupBy("s", "t").agg((F.first("paths") * F.sum("share")).alias("dep"))
+            after = cut(near.join(through, ["s", "t"], "left").select("s", "t", "paths", F.coalesce("dep", F.lit(0.0)).alias("dep")), "dependencies")
+            held.append(after.filter("s <> t").groupBy(F.col("t").alias("node_id")).agg(F.sum("dep").alias("b")))
+        if held:
+            parts.append(cut(_all(held).groupBy("node_id").agg(F.sum("b").alias("b")), "betweenness"))
+    ids = graph.nodes.select("node_id")
+    if not parts:
+        return ids.select("node_id", F.lit(0.0).alias("betweenness"))
+    sums = _all(parts).groupBy("node_id").agg(F.sum("b").alias("betweenness"))
+    return ids.join(sums, "node_id", "left").fillna(0.0, ["betweenness"])
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

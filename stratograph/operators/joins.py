@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .lookup import first_match
+from ..sources.tables import cut
+from .lookup import contained, first_match
 
 
 def stem(path: Column) -> Column:
@@ -27,21 +28,14 @@ def resolve_dependencies(wanted: DataFrame, components: DataFrame) -> DataFrame:
 
 def import_to_file(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(source, dependency, target): the first file (by path) whose normalised stem contains
-    the import's or lies in it.
-
-    Where one contains the other they share every three-character gram of the shorter, so
-    candidates join on grams; names of fewer than three characters are not matched."""
-    def plain(c: Column) -> Column:
-        return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-
-    def grams(c: Column) -> Column:
-        return F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3)))))
-
-    a = imports.withColumn("dep", plain(F.col("dependency")))
-    b = files.select(F.col("path").alias("target"), F.lower(stem(F.col("path"))).alias("stem"))
-    joined = a.withColumn("gram", F.explode(grams(F.col("dep")))).join(b.withColumn("gram", F.explode(grams(F.col("stem")))), "gram")
-    touch = F.col("stem").contains(F.col("dep")) | F.col("dep").contains(F.col("stem"))
-    return joined.filter(touch).groupBy("source", "dependency").agg(F.min("target").alias("target"))
+    the import's or lies in it, whatever their length."""
+    a = imports.withColumn("dep", F.regexp_replace(F.lower("dependency"), "[^a-z0-9]", ""))
+    b = files.select(F.col("path").alias("target"), F.lower(stem(F.col("path"))).alias("stem")).groupBy("stem").agg(F.min("target").alias("target"))
+    deps, stems = a.select(F.col("dep").alias("s")), b.select(F.col("stem").alias("l"))
+    inside = contained(deps, stems).select(F.col("s").alias("dep"), F.col("l").alias("stem"))
+    around = contained(stems.withColumnRenamed("l", "s"), deps.withColumnRenamed("s", "l")).select(F.col("l").alias("dep"), F.col("s").alias("stem"))
+    first = inside.unionByName(around).join(b, "stem").groupBy("dep").agg(F.min("target").alias("target"))
+    return a.join(first, "dep").select("source", "dependency", "target").distinct()
 
 
 def documented(pages: DataFrame, components: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,8 +66,15 @@ def summaries(repositories: DataFrame, structures: DataFrame) -> DataFrame:
 
 
 def numbered(keys: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Ids of keys: known ones keep theirs, new ones follow the greatest in order of key."""
+    """Ids of keys: known ones keep theirs, new ones follow the greatest in order of key.
+
+    New keys are numbered within ranges of keys, and the ranges' sizes give the offsets."""
     new = keys.select(key).distinct().join(known, key, "left_anti")
+    new = cut(new.repartitionByRange(key).select(key, F.spark_partition_id().alias("part")), "new-keys")
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    n = F.row_number().over(Window.orderBy(key))
-    return known.select(key, "id").unionByName(new.crossJoin(F.broadcast(top)).select(key, (F.col("top") + n).cast("long").alias("id")))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = new.groupBy("part").agg(F.count("*").alias("n"))  # one row a range
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).crossJoin(F.broadcast(top))
+    n = F.row_number().over(Window.partitionBy("part").orderBy(key))
+    new = new.withColumn("n", n).join(F.broadcast(starts), "part")
+    return known.select(key, "id").unionByName(new.select(key, (F.col("top") + F.col("start") + F.col("n")).cast("long").alias("id")))

@@ -36,7 +36,7 @@ def references(graph: Graph, symbol: str, file_path: str | None = None) -> DataF
     """Edges into every node of that name, with the file of the referring node."""
     targets = by_name(graph.nodes, symbol).select(F.col("node_id").alias("dst"))
     source = graph.nodes.select(F.col("node_id").alias("src"), "file_path")
-    rows = graph.edges.join(targets, "dst").join(source, "src")
+    rows = graph.edges.join(targets, "dst", "left_semi").join(source, "src")  # goes below the edges' aggregate: it groups by dst
     if file_path is not None:
         rows = rows.filter(F.lower("file_path") == file_path.lower())
     return rows.select("src", "dst", "type", "file_path")
@@ -118,28 +118,47 @@ def visible_edges(edges: DataFrame, nodes: DataFrame, types: tuple[str, ...] = (
     return edges.join(ids, F.col("src") == F.col("node_id"), "left_semi").join(ids, F.col("dst") == F.col("node_id"), "left_semi")
 
 
+def contained(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Distinct (s, l): the strings s of ``short`` (s) that lie in strings l of ``long`` (l).
+
+    A string lies in another only if all its three-character grams do, so each s waits under
+    the gram that the fewest l hold, and meets those alone.  Strings of one or two characters
+    wait under themselves.  Empty strings lie in nothing."""
+    short, long = short.filter("s <> ''").distinct(), long.filter("l <> ''").distinct()
+
+    def grams(c: Column, n: int) -> Column:
+        last = F.length(c) - (n - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), last)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    least = short.agg(F.coalesce(F.min(F.length("s")), F.lit(3))).first()[0]  # shorter grams only where something that short waits
+    held = F.concat(*[grams(F.col("l"), n) for n in range(min(least, 3), 4)])
+    held = long.select("l", F.explode(F.array_distinct(held)).alias("gram"))
+    often = held.groupBy("gram").agg(F.count("*").alias("often"))
+    own = F.when(F.length("s") < 3, F.array("s")).otherwise(F.array_distinct(grams(F.col("s"), 3)))
+    wait = short.select("s", F.size(own).alias("n"), F.explode(own).alias("gram")).join(often, "gram")
+    wait = wait.groupBy("s").agg(F.min(F.struct("often", "gram")).alias("g"), F.count("*").alias("k"), F.first("n").alias("n")).filter("k = n")
+    return wait.select("s", F.col("g.gram").alias("gram")).join(held, "gram").filter(F.col("l").contains(F.col("s"))).select("s", "l")
+
+
 def resolve_pages(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """(page_id, node_id): the node whose id equals the page's title, else one that contains
     it or lies in it, else the same by the stem of a file; smallest id first; else the node
-    of largest out_degree.  Titles and ids are tokenised to join on shared tokens."""
-    def tokens(c: Column) -> Column:
-        return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{Nd}]+"), lambda x: x != ""))
-
+    of largest out_degree.  Equal ids join first; only distinct strings are searched within
+    each other."""
     p = pages.select("page_id", F.lower("title").alias("title"), F.lower("stem").alias("stem"))
-    n = nodes.select("node_id", F.lower("node_id").alias("low"), "out_degree")
-    pt = p.select("*", F.explode(tokens(F.concat_ws(" ", "title", "stem"))).alias("token"))
-    nt = n.select("node_id", "low", F.explode(tokens(F.col("low"))).alias("token"))
-
-    def touches(a: Column, b: Column) -> Column:
-        return a.contains(b) | b.contains(a)
-
-    pairs = pt.join(nt, "token").drop("token").distinct()
-    by_title, by_stem = touches(F.col("low"), F.col("title")), touches(F.col("low"), F.col("stem"))
-    rank = F.when(F.col("low") == F.col("title"), 0).when(by_title, 1).when(F.col("low") == F.col("stem"), 2).when(by_stem, 3)
-    best = pairs.withColumn("rank", rank).filter("rank is not null").groupBy("page_id").agg(F.min(F.struct("rank", "node_id")).alias("b"))
-    top = n.filter("out_degree > 0").orderBy(F.desc("out_degree"), "node_id").limit(1).select(F.col("node_id").alias("top"))
-    out = p.select("page_id").join(best, "page_id", "left").join(F.broadcast(top), F.lit(True), "left")
-    return out.select("page_id", F.coalesce("b.node_id", "top").alias("node_id"))
+    ids = nodes.groupBy(F.lower("node_id").alias("low")).agg(F.min("node_id").alias("node_id"))
+    values = p.select(F.explode(F.array("title", "stem")).alias("v")).filter("v is not null").distinct()
+    a, b = values.withColumnRenamed("v", "s"), ids.select(F.col("low").alias("l"))
+    inside = contained(a, b).select(F.col("s").alias("v"), F.col("l").alias("low"))
+    around = contained(b.withColumnRenamed("l", "s"), a.withColumnRenamed("s", "l")).select(F.col("l").alias("v"), F.col("s").alias("low"))
+    near = inside.unionByName(around).join(ids, "low").groupBy("v").agg(F.min("node_id").alias("near"))
+    same = ids.select(F.col("low").alias("v"), F.col("node_id").alias("same"))
+    found = values.join(same, "v", "left").join(near, "v", "left").select("v", F.coalesce("same", "near").alias("found"))
+    top = nodes.filter("out_degree > 0").orderBy(F.desc("out_degree"), "node_id").limit(1).select(F.col("node_id").alias("top"))
+    out = p.join(found.select(F.col("v").alias("title"), F.col("found").alias("by_title")), "title", "left")
+    out = out.join(found.select(F.col("v").alias("stem"), F.col("found").alias("by_stem")), "stem", "left")
+    out = out.join(F.broadcast(top), F.lit(True), "left")  # one row
+    return out.select("page_id", F.coalesce("by_title", "by_stem", "top").alias("node_id"))
 
 
 def query_gate(state: str, pending: int, seconds_per_file: float = 0.1) -> dict:

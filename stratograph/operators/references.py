@@ -18,9 +18,11 @@ ONE_WORD = rf"^{WORDS}$"
 def counted(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(id, name, n): how often each one-word name occurs in each text (id, t) as a whole word.
 
-    Texts become words and join the names by equality: no text meets every pattern."""
+    Texts become words, and those that are no name go before any are counted or moved: the
+    planner broadcasts a small dictionary."""
     words = texts.select("id", F.explode(F.regexp_extract_all("t", F.lit(WORDS), F.lit(0))).alias("name"))
-    return words.groupBy("id", "name").agg(F.count("*").alias("n")).join(names.filter(F.col("name").rlike(ONE_WORD)).select("name").distinct(), "name")
+    known = names.filter(F.col("name").rlike(ONE_WORD)).select("name").distinct()
+    return words.join(known, "name", "left_semi").groupBy("id", "name").agg(F.count("*").alias("n"))
 
 
 def strengths(texts: DataFrame, names: DataFrame, most: int = 10) -> DataFrame:

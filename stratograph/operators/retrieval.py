@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,6 +46,12 @@ def top_k(vectors: DataFrame, query: list[float], k: int, wanted: dict[str, str]
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
 
 
+def delete_collection(spark: SparkSession, path: str, name: str) -> None:
+    """Drop a collection: its folder below ``path``.  A missing one is no error."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/collection={name}")
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def delete(vectors: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """What stays after deleting by payload; an empty filter deletes nothing."""
     return vectors.filter(~F.coalesce(matching(F.col("payload"), wanted), F.lit(False))) if wanted else vectors

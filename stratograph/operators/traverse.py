@@ -33,7 +33,7 @@ def hierarchy(graph: Graph, root: str, types: tuple[str, ...], direction: str, d
 
     direction: out (callees, dependencies, ancestors), in (callers, dependents, descendants)
     or both, which walks each way on its own."""
-    edges = graph.edges.filter(of_types(F.col("type"), *types))
+    edges = cut(graph.edges.filter(of_types(F.col("type"), *types)).select("src", "dst"), "arcs")  # levels read it, not the arcs behind it
     start = graph.nodes.filter(F.col("node_id") == root).select("node_id")
     parts = []
     for way in ("out", "in") if direction == "both" else (direction,):
@@ -63,9 +63,10 @@ def data_flow(graph: Graph, node_id: str) -> DataFrame:
 
 def sequence(graph: Graph, root: str, expanded: int = 20, depth: int = 4) -> DataFrame:
     """Arcs of a sequence diagram: breadth first, ties by id, ``expanded`` nodes at most."""
-    found = reach(graph.edges, graph.nodes.filter(F.col("node_id") == root), depth)
+    edges = cut(graph.edges, "arcs")
+    found = reach(edges, graph.nodes.filter(F.col("node_id") == root), depth)
     first = found.orderBy("depth", "node_id").limit(expanded)
-    rows = graph.edges.join(first.select(F.col("node_id").alias("src"), "depth"), "src")
+    rows = edges.join(first.select(F.col("node_id").alias("src"), "depth"), "src")
     return rows.select("depth", "src", "dst", "type")
 
 

@@ -12,22 +12,17 @@ from .bindings import on_graph
 R = Registry()
 
 
-def _small(spark, sf_dir):
-    g = model.graph(spark, sf_dir)
-    return analytics.induced(g, g.nodes.filter("type in ('Domain', 'Entity', 'Client')").select("node_id"))
-
-
 @R.query("g21_communities")
 def g21(spark, sf_dir):
     """Communities by modularity moves, split into connected parts."""
-    return clustering.communities(_small(spark, sf_dir))
+    return clustering.communities(model.graph(spark, sf_dir))
 
 
-@R.query("g23_components_in_module", on_graph("SELECT node_id, 'nation::' || r AS component FROM (SELECT node_id, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS r FROM (SELECT node_id, split_part(node_id, '::', 2)::INT AS k FROM nodes WHERE type = 'Entity') JOIN nation ON n_nationkey = k) WHERE false"))
+@R.query("g23_components_in_module", on_graph("""SELECT node_id, min(node_id) OVER (PARTITION BY r) AS component FROM (SELECT 'region::' || r_regionkey AS node_id, r_regionkey AS r FROM region UNION ALL SELECT 'nation::' || n_nationkey, n_regionkey FROM nation)"""))
 def g23(spark, sf_dir):
-    """Connected components among nations alone, larger than one: there are none."""
+    """Connected components, larger than one, within the module of regions and nations."""
     g = model.graph(spark, sf_dir)
-    part = analytics.induced(g, g.nodes.filter("type = 'Entity'").select("node_id"))
+    part = analytics.induced(g, g.nodes.filter("type in ('Domain', 'Entity')").select("node_id"))
     rows = analytics.components(part.nodes, part.edges)
     size = rows.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
     return rows.join(size.select("component"), "component", "left_semi").select("node_id", "component")
@@ -36,7 +31,7 @@ def g23(spark, sf_dir):
 @R.query("g25_decomposition")
 def g25(spark, sf_dir):
     """Configuration, cycles and communities, in that order."""
-    return clustering.pipeline(_small(spark, sf_dir))
+    return clustering.pipeline(model.graph(spark, sf_dir))
 
 
 @R.query("g28_token_limit")

@@ -58,7 +58,8 @@ def a02(spark, sf_dir):
 
 @R.query("a03_graph_statistics", on_graph("""SELECT n AS nodes, e AS edges, e * 2.0::DOUBLE / greatest(1, n) AS average_degree,
   (SELECT max(c) FROM (SELECT count(*) AS c FROM adjacency GROUP BY dst)) AS max_in, (SELECT max(c) FROM (SELECT count(*) AS c FROM adjacency GROUP BY src)) AS max_out,
-  e / (n * (n - 1))::DOUBLE AS density, 1 AS components FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e)"""))
+  e / (n * (n - 1))::DOUBLE AS density, CASE WHEN (SELECT count(*) FROM near) = n THEN 1 END AS components FROM (SELECT (SELECT count(*) FROM nodes) AS n, (SELECT count(*) FROM edges) AS e)""",
+  "either AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)", "near AS (SELECT min(node_id) AS node_id FROM nodes UNION SELECT dst FROM near JOIN either ON src = node_id)"))
 def a03(spark, sf_dir):
     """Counts, degrees, density and weakly connected components of the graph."""
     return analytics.statistics(model.graph(spark, sf_dir))
@@ -110,32 +111,16 @@ def g08(spark, sf_dir):
     return analytics.importance(g, analytics.page_rank(g, tolerance=1e-9)).select("node_id", F.round("importance", 6).alias("importance"))
 
 
-def _small(spark, sf_dir):
-    """Regions, nations and the first ten parts with what lies between them."""
-    g = model.graph(spark, sf_dir)
-    ids = g.nodes.filter("type in ('Domain', 'Entity') or node_id rlike '^part::[0-9]$'").select("node_id")
-    return analytics.induced(g, ids)
-
-
-_SMALL = """sn AS (SELECT node_id FROM nodes WHERE type IN ('Domain', 'Entity') OR regexp_matches(node_id, '^part::[0-9]$')),
-se AS (SELECT src, dst FROM edges WHERE src IN (SELECT node_id FROM sn) AND dst IN (SELECT node_id FROM sn) AND src <> dst),
-sp AS (SELECT node_id AS s, node_id AS t, 0 AS d, [node_id] AS p FROM sn UNION ALL SELECT sp.s, se.dst, d + 1, list_append(p, se.dst) FROM sp JOIN se ON se.src = sp.t WHERE NOT list_contains(p, se.dst)),
-sd AS (SELECT s, t, min(d) AS d FROM sp GROUP BY s, t),
-short AS (SELECT sp.* FROM sp JOIN sd USING (s, t, d))"""
-
-
-@R.query("g09_betweenness", on_graph("""SELECT sn.node_id, coalesce(sum(share), 0)::DOUBLE AS betweenness FROM sn LEFT JOIN
-  (SELECT v, k / n::DOUBLE AS share FROM (SELECT s, t, v, count(*) AS k FROM (SELECT s, t, unnest(p[2:len(p) - 1]) AS v FROM short WHERE d > 1) GROUP BY s, t, v)
-   JOIN (SELECT s, t, count(*) AS n FROM short GROUP BY s, t) USING (s, t)) ON v = sn.node_id GROUP BY sn.node_id""", _SMALL))
+@R.query("g09_betweenness")
 def g09(spark, sf_dir):
-    """Betweenness over all ordered pairs of a subgraph."""
-    return analytics.betweenness(_small(spark, sf_dir))
+    """Betweenness over all ordered pairs of nodes."""
+    return analytics.betweenness(model.graph(spark, sf_dir))
 
 
-@R.query("g10_closeness", on_graph("SELECT s AS node_id, CASE WHEN count(*) = (SELECT count(*) FROM sn) AND sum(d) > 0 THEN ((SELECT count(*) FROM sn) - 1) / sum(d)::DOUBLE ELSE 0.0::DOUBLE END AS closeness FROM sd GROUP BY s", _SMALL))
+@R.query("g10_closeness")
 def g10(spark, sf_dir):
-    """Closeness of a subgraph; 0 where some node is out of reach."""
-    return analytics.closeness(_small(spark, sf_dir))
+    """Closeness of every node; 0 where some node is out of reach."""
+    return analytics.closeness(model.graph(spark, sf_dir))
 
 
 _CYCLES = """ce AS (SELECT DISTINCT 'n' || c_nationkey AS src, 'n' || ((c_nationkey * 7 + 3) % 25) AS dst FROM customer UNION SELECT 'x1', 'n0'),
@@ -153,14 +138,14 @@ def g11(spark, sf_dir):
     return analytics.strong_components(nodes, edges)
 
 
-@R.query("g12_weak_components", """WITH RECURSIVE e AS (SELECT 'a' || conv_id AS x, 'b' || (conv_id % 7) AS y FROM conversations WHERE conv_id % 7 <> 3),
-  n AS (SELECT x FROM e UNION SELECT y FROM e), w AS (SELECT x AS n, x AS m FROM n UNION SELECT w.n, f.y FROM w JOIN (SELECT x, y FROM e UNION SELECT y, x FROM e) f ON f.x = w.m)
-  SELECT n AS node_id, min(m) AS component FROM w GROUP BY n""")
+@R.query("g12_weak_components", on_graph("""SELECT node_id, min(node_id) OVER (PARTITION BY r) AS component FROM (SELECT 'region::' || r_regionkey AS node_id, r_regionkey AS r FROM region
+  UNION ALL SELECT 'nation::' || n_nationkey, n_regionkey FROM nation UNION ALL SELECT 'customer::' || c_custkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT 'supplier::' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""))
 def g12(spark, sf_dir):
-    """Weakly connected components: each node's smallest reachable id."""
-    e = table(spark, sf_dir, "conversations").filter("conv_id % 7 <> 3")
-    e = e.select(F.concat(F.lit("a"), "conv_id").alias("src"), F.concat(F.lit("b"), F.col("conv_id") % 7).alias("dst")).distinct()
-    return analytics.components(e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct(), e)
+    """Weakly connected components of all regions, nations, customers and suppliers: each node's smallest reachable id."""
+    g = model.graph(spark, sf_dir)
+    nodes = g.nodes.filter("type in ('Domain', 'Entity', 'Client', 'Service')").select("node_id")
+    return analytics.components(nodes, g.edges.filter("type in ('ChildOf', 'Contains')").select("src", "dst"))
 
 
 _DEG = """deg AS (SELECT node_id, coalesce(i, 0) + coalesce(o, 0) AS k, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM nodes

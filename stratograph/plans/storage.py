@@ -11,7 +11,7 @@ from ..functions.code import text_tokens
 from ..operators import budget, joins, lookup, references, retrieval, storage
 from ..registry import Registry
 from ..sources import model
-from ..sources.tables import table
+from ..sources.tables import scratch, table
 from ..streaming import events as streams
 from .bindings import on_graph
 
@@ -103,7 +103,7 @@ def j03(spark, sf_dir):
 
 
 @R.query("j04_import_to_file", """SELECT d AS dependency, min(f) AS target FROM (SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS d FROM part), (SELECT DISTINCT p_name || '/' || split_part(p_name, ' ', 1) || '.py' AS f, lower(split_part(p_name, ' ', 1)) AS s FROM part)
-  WHERE (contains(d, s) OR contains(s, d)) AND length(d) >= 3 AND length(s) >= 3 GROUP BY d""")
+  WHERE d <> '' AND s <> '' AND (contains(d, s) OR contains(s, d)) GROUP BY d""")
 def j04(spark, sf_dir):
     """The first file whose name contains an import's or lies in it."""
     part = t(spark, sf_dir, "part")
@@ -198,10 +198,10 @@ def o06(spark, sf_dir):
     return budget.last_messages(t(spark, sf_dir, "conversations")).select("conv_id", "turn")
 
 
-@R.query("o07_flatten", "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 50 = 0")
+@R.query("o07_flatten", "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")
 def o07(spark, sf_dir):
     """Lists of lists as one."""
-    return t(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
 
 
 @R.query("o08_zip", "SELECT doc_id, round(quality * 0.9::DOUBLE + toxic * 0.8::DOUBLE, 6) AS s FROM labels")
@@ -424,10 +424,14 @@ def v04(spark, sf_dir):
     return retrieval.delete(_vectors(spark, sf_dir), {"label": "4"}).select("doc_id")
 
 
-@R.query("v05_delete_collection", "SELECT count(*) AS n FROM embeddings WHERE label < 0")
+@R.query("v05_delete_collection", "SELECT label::VARCHAR AS collection, count(*) AS n FROM embeddings WHERE label <> 3 GROUP BY 1")
 def v05(spark, sf_dir):
-    """A dropped collection is empty."""
-    return _vectors(spark, sf_dir).limit(0).agg(F.count("*").alias("n"))
+    """The collections left, a folder each, after one of them is deleted."""
+    path = scratch(spark, "collections")
+    model.vectors(spark, sf_dir).withColumnRenamed("label", "collection").write.partitionBy("collection").parquet(path)
+    retrieval.delete_collection(spark, path, "3")
+    left = spark.read.schema("doc_id long, embedding array<float>, collection string").parquet(path)
+    return left.groupBy("collection").agg(F.count("*").alias("n"))
 
 
 @R.query("v06_v07_index_chunks", "SELECT doc_id AS page_id, CASE WHEN length(text) <= 2048 THEN 1 ELSE ceil((length(text) - 2048) / 1848.0)::BIGINT + 1 END AS chunks FROM documents WHERE length(text) > 0")
@@ -437,10 +441,13 @@ def v06(spark, sf_dir):
     return rows.groupBy(F.col("payload")["pageId"].cast("long").alias("page_id")).agg(F.count("*").alias("chunks"))
 
 
-@R.query("v08_delete_index", "SELECT count(*) AS n FROM documents WHERE false")
+@R.query("v08_delete_index", "SELECT 'kept' AS repo, sum(CASE WHEN length(text) <= 2048 THEN 1 ELSE ceil((length(text) - 2048) / 1848.0)::BIGINT + 1 END)::BIGINT AS chunks FROM documents WHERE length(text) > 0")
 def v08(spark, sf_dir):
-    """Deleting a repository's index by its path leaves nothing of it."""
-    return retrieval.delete(retrieval.index_pages(model.pages(spark, sf_dir), "repo"), {"repoPath": "repo"}).agg(F.count("*").alias("n"))
+    """Of two repositories' chunks those of one go, by its path."""
+    pages = model.pages(spark, sf_dir)
+    both = retrieval.index_pages(pages, "kept").unionByName(retrieval.index_pages(pages, "dropped"))
+    left = retrieval.delete(both, {"repoPath": "dropped"})
+    return left.groupBy(F.col("payload")["repoPath"].alias("repo")).agg(F.count("*").alias("chunks"))
 
 
 @R.query("v09_rag_context", f"SELECT string_agg('Source [' || r || ']: Page ' || i || chr(10) || 'text ' || i || chr(10) || '---' || chr(10), '' ORDER BY r) AS context FROM (SELECT v.vec_id AS i, row_number() OVER (ORDER BY {_COS} DESC, v.vec_id) AS r FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) WHERE r <= 5")
@@ -525,14 +532,12 @@ def u01(spark, sf_dir):
     return spark.createDataFrame([(n, (f.__doc__ or "").strip()) for n, f in sorted(all_queries().items())], "name string, description string")
 
 
-@R.query("s10_s11_graph_index", on_graph("SELECT src, dst, type FROM edges WHERE type = 'ChildOf'"))
+@R.query("s10_s11_graph_index", on_graph("SELECT src, dst, type FROM edges"))
 def s10(spark, sf_dir):
     """A graph through its JSON index and back."""
     from ..sources import index
 
-    g = model.graph(spark, sf_dir)
-    small = model.Graph(g.nodes.filter("type in ('Domain', 'Entity')"), g.edges.filter("type = 'ChildOf'"), g.adjacency)
-    return index.from_json(index.to_json(small)).edges.select("src", "dst", "type")
+    return index.from_json(index.to_json(model.graph(spark, sf_dir))).edges.select("src", "dst", "type")
 
 
 @R.query("f13_first_match_rows", "SELECT l_suppkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1")
