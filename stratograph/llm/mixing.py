@@ -68,7 +68,7 @@ def mix_plan(
     order; sources without words get no copies; an empty table gives no rows; repeated rows
     count each; equal ids in one class are ordered by text hash.  Documents are numbered in
     cells (source, size class, hash), so a source holding most rows spreads over many tasks;
-    only one row per cell, at most 64 * 32 * 256 a source, is summed in one task.
+    one task sums up one row per size class of a source, at most 64 * 32, or the 256 cells of one.
     """
     text = col(text_col).cast("string")
     base = docs.select(
@@ -86,8 +86,12 @@ def mix_plan(
     cells = base.groupBy("source", "cell", "sub").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     goal = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     goal = goal.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    before = Window.partitionBy("source").orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("source", "cell", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    classes = cells.groupBy("source", "cell").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.select(F.col("source").alias("s"), F.col("cell").alias("k"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    before = Window.partitionBy("source", "cell").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("source", "cell", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("inner"))
+    cells = cells.join(classes, F.expr("source <=> s and cell = k")).select("source", "cell", "sub", (F.col("base") + F.col("inner")).alias("start"))
     cells = cells.alias("c").join(goal.alias("g"), F.expr("c.source <=> g.source")).select("c.*", "g.source_size", "g.target", "g.rate")
 
     inside = Window.partitionBy("source", "cell", "sub").orderBy("doc_id", "t")
