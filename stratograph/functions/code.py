@@ -219,6 +219,40 @@ ENTRY_LINES = {
 QUALIFIED = r"\b(\w+)\.\w+"
 
 
+#: Comments and strings of brace languages.
+BLANKS = r"""/\*[\s\S]*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'"""
+#: Decision points of the walker, of a type's body and of a script; methods and properties.
+WALKER = r"\b(?:if|for|foreach|while|case|catch)\b"
+TYPE_POINTS, SWITCH, TERNARY = r"\b(?:if|while|for|foreach)\b", r"\bswitch\b", r"[^?]\?[^?.\[:]"
+SCRIPT_POINTS, LOGICAL, BIT_AND = r"\b(?:if|for|while|do|case|catch|switch)\b", r"&&|\|\|", r"[^&]&[^&]"
+METHOD = r"\b(\w+)\s*(?:<[^>()]*>)?\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:where[^{]*|=>|throws[^{]*)?\s*\{"
+NO_METHOD = ("if", "for", "foreach", "while", "switch", "catch", "using", "lock", "return", "new", "else")
+PROPERTY = r"\b\w+\s*\{\s*(?:public|private|protected|internal)?\s*(?:get|set|init)\b"
+DECORATOR = r"(?m)^[ \t]*@(\w+)"
+
+
+def blanked(text: Column) -> Column:
+    """The text with comments and strings as spaces."""
+    return F.regexp_replace(text, BLANKS, " ")
+
+
+def walker_complexity(text: Column) -> Column:
+    return matches(blanked(text), WALKER) + 1
+
+
+def type_complexity(text: Column) -> Column:
+    """Decision points, operators, methods and properties; switches count twice."""
+    code = blanked(text)
+    methods = F.filter(F.regexp_extract_all(code, F.lit(METHOD), F.lit(1)), lambda x: ~x.isin(*NO_METHOD))
+    return F.lit(1) + matches(code, TYPE_POINTS) + matches(code, SWITCH) * 2 + matches(code, LOGICAL) + matches(code, TERNARY) + F.size(methods) + matches(code, PROPERTY)
+
+
+def script_complexity(text: Column) -> Column:
+    """Decision nodes of a script; logical operators count once more as binary ones."""
+    code = blanked(text)
+    return F.lit(1) + matches(code, SCRIPT_POINTS) + matches(code, TERNARY) + matches(code, LOGICAL) * 2 + matches(code, BIT_AND)
+
+
 def line_names(text: Column, pattern: str, groups: int = 1) -> Column:
     """Per line the first match's first non-empty group; lines without one are left out."""
     def name(x: Column) -> Column:

@@ -6,9 +6,9 @@ from ..registry import Query
 
 
 def _registries():
-    from . import clustering, graph, lookup, quality, storage, text
+    from . import agents, clustering, graph, lookup, quality, storage, text
 
-    return [lookup.R, graph.R, quality.R, text.R, storage.R, clustering.R]
+    return [lookup.R, graph.R, quality.R, text.R, storage.R, clustering.R, agents.R]
 
 
 def all_queries() -> dict[str, Query]:

@@ -214,19 +214,39 @@ def x28(spark, sf_dir):
     return rows.select("doc_id", F.posexplode(prose.fixed_chunks(F.col("t"), 500, 50)).alias("chunk_no", "chunk")).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), "chunk")
 
 
-@R.query("x29_semantic_split")
+def _cut(x: str, size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"list_transform(range(0, CASE WHEN length({x}) <= {size} THEN 1 ELSE ceil((length({x}) - {size}) / {step}.0)::INT + 1 END), lambda k: substring({x}, k * {step} + 1, {size}))"
+
+
+_CHUNKS = "SELECT doc_id, (generate_subscripts(c, 1) - 1)::INT AS chunk_no, unnest(c) AS chunk FROM"
+
+
+@R.query("x29_semantic_split", "WITH RECURSIVE " + _TEXTS + f""", p AS (SELECT doc_id, t, list_filter(string_split(regexp_replace(t, '(?m)^(#+\\s+)', chr(1) || '\\1', 'g'), chr(1)), lambda x: x <> '') AS ps, regexp_matches(t, '(?m)^#+\\s+') AS headed FROM tx),
+  f AS (SELECT doc_id, 0 AS i, '' AS held, []::VARCHAR[] AS o, ps FROM p WHERE headed UNION ALL SELECT doc_id, i + 1, CASE WHEN length(x) > 60 THEN '' WHEN length(held) + length(x) > 60 THEN x ELSE held || x END,
+    CASE WHEN length(x) > 60 THEN o || CASE WHEN held <> '' THEN [held] ELSE [] END || {_cut('x', 60, 10)} WHEN length(held) + length(x) > 60 THEN o || [held] ELSE o END, ps FROM (SELECT *, ps[i + 1] AS x FROM f WHERE i < len(ps)))
+  {_CHUNKS} (SELECT doc_id, CASE WHEN held <> '' THEN o || [held] ELSE o END AS c FROM f WHERE i = len(ps) UNION ALL SELECT doc_id, {_cut('t', 60, 10)} FROM p WHERE NOT headed AND t <> '')""")
 def x29(spark, sf_dir):
     """Sections by Markdown header, merged and cut to 60 characters."""
     return prose.chunked(_texts(spark, sf_dir), "semantic", "t", size=60, overlap=10).select("doc_id", "chunk_no", "chunk")
 
 
-@R.query("x30_line_chunks")
+@R.query("x30_line_chunks", """WITH RECURSIVE p AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE regexp_matches(text, '\\S')),
+  f AS (SELECT doc_id, 0 AS i, '' AS held, 1 AS first, []::STRUCT(c VARCHAR, a INT, b INT)[] AS o, ls FROM p WHERE length(text) // 4 > 128 UNION ALL
+    SELECT doc_id, i + 1, CASE WHEN full_ THEN x ELSE held || x END, CASE WHEN full_ THEN i + 1 ELSE first END, CASE WHEN full_ THEN o || [struct_pack(c := held, a := first, b := i)] ELSE o END, ls
+    FROM (SELECT *, held <> '' AND (length(held) + length(x)) // 4 > 128 AS full_ FROM (SELECT *, ls[i + 1] || chr(10) AS x FROM f WHERE i < len(ls)))),
+  r AS (SELECT doc_id, o || [struct_pack(c := held, a := first, b := len(ls)::INT)] AS c FROM f WHERE i = len(ls) UNION ALL SELECT doc_id, [struct_pack(c := text, a := 1, b := len(ls)::INT)] FROM p WHERE length(text) // 4 <= 128)
+  SELECT doc_id, chunk_no, x.c AS chunk, x.a::BIGINT AS first_line, x.b::BIGINT AS last_line FROM (SELECT doc_id, (generate_subscripts(c, 1) - 1)::INT AS chunk_no, unnest(c) AS x FROM r)""")
 def x30(spark, sf_dir):
     """Lines packed to 128 tokens, with true line numbers."""
     return prose.chunked(_docs(spark, sf_dir), "lines", "t", most=128)
 
 
-@R.query("x31_paragraph_chunks")
+@R.query("x31_paragraph_chunks", f"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_matches(x, '\\S')) AS ps FROM documents WHERE text IS NOT NULL),
+  f AS (SELECT doc_id, 0 AS i, '' AS held, []::VARCHAR[] AS o, ps FROM p UNION ALL SELECT doc_id, i + 1, CASE WHEN long THEN '' WHEN held <> '' AND NOT full_ THEN held || chr(10) || chr(10) || x ELSE x END,
+    CASE WHEN long THEN o || CASE WHEN held <> '' THEN [held] ELSE [] END || {_cut('x', 2048, 200)} WHEN full_ THEN o || [held] ELSE o END, ps
+    FROM (SELECT *, held <> '' AND (length(held) + 2 + length(x)) // 4 > 512 AS full_ FROM (SELECT *, ps[i + 1] AS x, length(ps[i + 1]) // 4 > 512 AS long FROM f WHERE i < len(ps))))
+  {_CHUNKS} (SELECT doc_id, CASE WHEN held <> '' THEN o || [held] ELSE o END AS c FROM f WHERE i = len(ps))""")
 def x31(spark, sf_dir):
     """Paragraphs packed to 512 tokens."""
     return prose.chunked(_docs(spark, sf_dir), "paragraphs", "t").select("doc_id", "chunk_no", "chunk")
@@ -280,7 +300,13 @@ def x36_places(spark, sf_dir):
     return references.places(_docs(spark, sf_dir).withColumnRenamed("doc_id", "id"), names)
 
 
-@R.query("x37_enriched_links")
+def _linked(name: str, target: str) -> str:
+    """Boundaries of the parts around a name tell whether it stands in brackets."""
+    parts = f"string_split_regex(t, '\\b{name}\\b')"
+    return f"""SELECT doc_id, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || CASE WHEN i = len(p) THEN '' WHEN p[i] LIKE '%[' OR p[i + 1] LIKE ']%' THEN '{name}' ELSE '[{name}]({target})' END), '') AS t FROM (SELECT doc_id, {parts} AS p FROM """
+
+
+@R.query("x37_enriched_links", _on(_linked("User", "u.md") + "(" + _linked("Redis", "redis.md") + "(" + _linked("UserService", "user.md") + "tx)))))"))
 def x37(spark, sf_dir):
     """Names as links, the longest first, bracketed ones left alone."""
     from ..operators import references

@@ -6,7 +6,7 @@ decision points inside.  Files are parsed where they lie, a batch of rows at a t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,13 +17,15 @@ from .model import Graph, build
 
 _BLANK = re.compile(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|/\*[\s\S]*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`')
 _HASH = re.compile(r"#[^\n]*")
-_TYPE = re.compile(r"((?:^[ \t]*[\[@][^\n]*\n)*)[^\n;{}]*?\b(class|interface|struct|enum|record)\s+(\w+)(?:<[^>{]*>)?\s*(?:\([^)]*\))?\s*(?::|extends|implements)?\s*([^{;]*)\{", re.M)
+_TYPE = re.compile(r"\b(class|interface|struct|enum|record)\s+(\w+)(?:<[^>{]*>)?\s*(?:\([^)]*\))?\s*(?::|extends|implements)?\s*([^{;]*)\{")
 _METHOD = re.compile(r"\b(?!(?:if|for|foreach|while|switch|catch|using|lock|return|new|else)\b)(\w+)\s*(?:<[^>()]*>)?\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:where[^{]*|=>|throws[^{]*)?\s*\{")
-_PROPERTY = re.compile(r"\b\w[\w<>,?\[\] ]*\s+\w+\s*\{\s*(?:public|private|protected|internal)?\s*(?:get|set|init)\b")
+_PROPERTY = re.compile(r"\b\w+\s*\{\s*(?:public|private|protected|internal)?\s*(?:get|set|init)\b")
 _PY_TYPE = re.compile(r"^([ \t]*)class\s+(\w+)\s*(?:\(([^)]*)\))?\s*:", re.M)
 _PY_DEF = re.compile(r"^([ \t]*)(?:async\s+)?def\s+(\w+)\s*\(", re.M)
 _WALK = re.compile(r"\b(?:if|for|foreach|while|case|catch)\b")
 _PY_WALK = re.compile(r"\b(?:if|elif|for|while|except|and|or)\b")
+#: Times a file's parser is tried.
+ATTEMPTS = 3
 #: The language's name in the tables of import patterns.
 _NAMES = {"C#": "csharp", "JavaScript": "javascript", "TypeScript": "javascript", "Java": "java", "Python": "python", "C": "c", "C++": "c"}
 
@@ -47,6 +49,18 @@ def body_end(code: str, start: int) -> int:
     return len(code)
 
 
+def attributes_before(code: str, at: int) -> str:
+    """The lines above a declaration that begin with an attribute or an annotation."""
+    start = code.rfind("\n", 0, at) + 1
+    first = start
+    while first:
+        above = code.rfind("\n", 0, first - 1) + 1
+        if code[above:first].lstrip()[:1] not in ("[", "@"):
+            break
+        first = above
+    return code[first:start]
+
+
 def walker_complexity(code: str) -> int:
     return 1 + len(_WALK.findall(code))
 
@@ -77,6 +91,10 @@ def component_type(kind: str, name: str, attributes: str) -> str:
     return kind.capitalize()
 
 
+#: Parsers by language, (path, language, text) -> (nodes, arcs), that stand in for the light one.
+PARSERS: dict[str, Callable[[str, str, str], tuple[list[tuple], list[tuple]]]] = {}
+
+
 def parse_file(path: str, lang: str, text: str) -> tuple[list[tuple], list[tuple]]:
     """(nodes, arcs): nodes (id, type, name, lines, complexity), arcs (src, name of target, type).
 
@@ -95,7 +113,7 @@ def parse_file(path: str, lang: str, text: str) -> tuple[list[tuple], list[tuple
                 found.append(("function", m.group(2), "", "", ""))
     else:
         for m in _TYPE.finditer(code):
-            found.append((m.group(2), m.group(3), m.group(4), m.group(1), code[m.end() - 1 : body_end(code, m.end() - 1)]))
+            found.append((m.group(1), m.group(2), m.group(3), attributes_before(code, m.start()), code[m.end() - 1 : body_end(code, m.end() - 1)]))
     for kind, name, bases, attributes, body in found:
         node = f"{path}::{name}"
         complexity = 1 + len(_PY_WALK.findall(body)) if lang == "Python" else type_complexity(body)
@@ -108,8 +126,21 @@ def parse_file(path: str, lang: str, text: str) -> tuple[list[tuple], list[tuple
     return nodes, arcs
 
 
-def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, arcs by name) of files (path, content), ignored paths and unknown languages left out."""
+def _tried(parser, path: str, lang: str, text: str) -> tuple[list[tuple], list[tuple]]:
+    for _ in range(ATTEMPTS):
+        try:
+            return parser(path, lang, text)
+        except (ValueError, OSError, RecursionError):
+            continue
+    return [], []
+
+
+def parsed(files: DataFrame, parsers: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, arcs by name) of files (path, content), ignored paths and unknown languages left out.
+
+    parsers: by language, in place of the light parser; a parser that fails is tried
+    ATTEMPTS times, then the file alone is left out, so one bad file stops no job."""
+    own = {**PARSERS, **(parsers or {})}
     rows = files.filter(~ignored_in_graph(F.col("path"))).withColumn("language", language(F.col("path"), GRAPH_LANGUAGES)).filter("language <> 'Unknown'")
     rows = rows.select("path", "language", F.coalesce("content", F.lit("")).alias("content"))
 
@@ -118,7 +149,7 @@ def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             out = []
             for path, lang, text in zip(batch.path, batch.language, batch.content):
-                nodes, arcs = parse_file(path, lang, text)
+                nodes, arcs = _tried(own.get(lang, parse_file), path, lang, text)
                 out += [("node", path, lang, *n) for n in nodes]
                 out += [("arc", path, lang, a[0], a[2], a[1], 0, 0) for a in arcs]
             yield pd.DataFrame(out, columns=names)

@@ -49,6 +49,43 @@ def reindexed(graph: Graph, changed: DataFrame, nodes: DataFrame, arcs: DataFram
     return Graph(all_nodes, kept.edges.unionByName(arcs.select(kept.edges.columns)), kept.adjacency.unionByName(arcs.select("src", "dst")))
 
 
+def index_states(events: DataFrame) -> DataFrame:
+    """(key, state, pending) of indexes from events (key, seq, kind, path): kinds started,
+    completed, changed and indexed.
+
+    Only the last start and completion, and what changed after both, matter, so the fold is
+    an aggregate: Initializing before any, Indexing after a start, Ready after a completion,
+    Stale once a file changed after that.  pending: files changed, not indexed since."""
+    last = events.groupBy("key").agg(*[F.max(F.when(F.col("kind") == k, F.col("seq"))).alias(k) for k in ("started", "completed", "changed")])
+    reset = last.select("key", F.greatest("started", "completed").alias("reset"))
+    files = events.join(reset, "key").filter("kind in ('changed', 'indexed') and (reset is null or seq > reset)")
+    files = files.groupBy("key", "path").agg(F.max_by("kind", "seq").alias("kind")).filter("kind = 'changed'")
+    pending = files.groupBy("key").agg(F.count("*").alias("pending"))
+    state = (
+        F.when(F.col("started").isNull() & F.col("completed").isNull(), "Initializing")
+        .when(F.col("completed").isNull() | (F.col("started") > F.col("completed")), "Indexing")
+        .when(F.col("changed") > F.col("completed"), "Stale").otherwise("Ready")
+    )
+    return last.join(pending, "key", "left").select("key", state.alias("state"), F.coalesce("pending", F.lit(0)).cast("long").alias("pending"))
+
+
+def refreshed(graph: Graph, scope: str, path: str | None, nodes: DataFrame, arcs: DataFrame) -> Graph:
+    """The graph after a refresh: scope all, file or directory; nodes and arcs are those of the
+    files parsed again.  file and directory need a path."""
+    scope = scope.lower()
+    if scope not in ("all", "file", "directory"):
+        raise ValueError(f"scope must be all, file or directory, not {scope}")
+    if scope == "all":
+        return reindexed(graph, graph.nodes.select("file_path"), nodes, arcs)
+    if not path:
+        raise ValueError(f"scope {scope} needs a path")
+    below = path.rstrip("/\\").lower()
+    low = F.lower("file_path")
+    inside = (low == below) if scope == "file" else (low.startswith(below + "/") | low.startswith(below + "\\"))
+    changed = graph.nodes.filter(inside).select("file_path").unionByName(nodes.select("file_path"))
+    return reindexed(graph, changed, nodes, arcs)
+
+
 class IndexState:
     """Initializing, Indexing, Ready, Stale: the states of an index and what moves it on."""
 
