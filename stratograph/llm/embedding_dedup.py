@@ -64,20 +64,24 @@ def links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", v
     rows = base.select("vec_id", "v", "ok")
     rows = rows.select("vec_id", F.when(F.col("ok"), v).alias("v"), F.when(F.col("ok"), F.xxhash64(v)).alias("h1"), F.when(F.col("ok"), F.xxhash64(F.reverse(v))).alias("h2"))
     classes = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("v").alias("v"))
-    classes = written(classes, "vectors")
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "vectors")  # numbers that the write fixes
     keys = rows.select("vec_id", "h1", "h2")
     found = spark.createDataFrame([], "id long, links long, label long")
     for dim, n in classes.groupBy(F.size("v").alias("d")).count().filter("count > 1").orderBy("d").collect():
         found = found.unionByName(_joined(classes.filter(F.size("v") == dim), n, dim, threshold))
     found = written(found, "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    mapped = keys.filter("h1 is not null").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
-    edges = found.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(mapped)
-    reached = components(edges)
-
-    info = classes.select("h1", "h2", "rep", "w").join(counts, F.col("rep") == F.col("id"), "left")
+    mapped = written(keys.filter("h1 is not null").join(classes.select("h1", "h2", "class"), ["h1", "h2"]).select("vec_id", "class").distinct(), "classes")
+    several = mapped.groupBy("vec_id").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo <> hi").select("vec_id", "lo")
+    ties = mapped.join(several, "vec_id").select(F.col("class").alias("a"), F.col("lo").alias("b"))  # ids of several vectors
+    reached = components(found.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(ties))
+
+    home = classes.select("class", "rep").join(reached, F.col("class") == F.col("node"), "left").select("class", "rep", F.coalesce("component", "class").alias("home"))
+    least = home.groupBy("home").agg(F.min("rep").alias("component"))
+    of_id = mapped.join(home.join(least, "home").select("class", "component"), "class").groupBy("vec_id").agg(F.min("component").alias("component"))
+    info = classes.select("h1", "h2", "class", "w").join(counts, F.col("class") == F.col("id"), "left")
     info = info.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
-    out = keys.join(info, ["h1", "h2"], "left").join(reached, F.col("vec_id") == F.col("node"), "left")
+    out = keys.join(info, ["h1", "h2"], "left").join(of_id, "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
         "vec_id",
@@ -88,10 +92,10 @@ def links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", v
 
 
 def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
-    """Rows (id, links, label): links of representatives, weighted by their classes, and
+    """Rows (id, links, label): links of classes of equal vectors, weighted by their sizes, and
     labels that connect them; a label that fell is tied to the lower one by a row of no links."""
     reach = float(np.arccos(min(1.0, threshold)))
-    picked = classes.orderBy(F.xxhash64("rep", F.lit("pivot")), "rep").limit(int(min(MOST_PIVOTS, -(-n // CELL)))).select("v").toArrow()
+    picked = classes.orderBy(F.xxhash64("h1", F.lit("pivot")), "h1", "h2").limit(int(min(MOST_PIVOTS, -(-n // CELL)))).select("v").toArrow()
     pivots = _unit(picked["v"].combine_chunks(), dim)
     m = len(pivots)
 
@@ -204,5 +208,5 @@ def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame
         ids, count, label = np.append(ids[linked], fell[:, 0]), np.append(count[linked], np.zeros(len(fell), np.int64)), np.append(label[linked], fell[:, 1])
         return pa.table({"id": ids, "links": count, "label": label})
 
-    packed = by_arrow(classes.select("rep", "w", "v"), deal, _PACK)
+    packed = by_arrow(classes.select("class", "w", "v"), deal, _PACK)
     return packed.groupBy("cell", "block", "chunk").applyInArrow(join, "id long, links long, label long")
