@@ -72,6 +72,8 @@ def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         finally:
             trim()
 
+    if any("." in c or "`" in c for c in df.columns):  # such names are not found there; batches go by place
+        df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return df.mapInArrow(run, schema)
 
 

@@ -77,7 +77,7 @@ def _grams(texts: list[str | None], settings: Settings):
     has = np.bincount(row, letter, len(low)) > 0
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one space stands for whatever lies between words
-    keep[0] = True
+    keep[np.cumsum(sizes) - sizes] = True  # the one before each text's first word, wherever the text lies
     codes, row = np.where(letter, codes, np.uint32(32))[keep].astype(np.uint64), row[keep]
     mask = np.uint64(settings.features - 1)
     found, rows = [], []
