@@ -1,11 +1,12 @@
 """Blocks of text and the packed exchange of fingerprints between them.
 
 Documents are packed, in order of id, into blocks of about a megabyte; the blocks are a table
-bucketed by block number, so joining answers to it shuffles the answers alone.  In a round
-each block sends the fingerprints it has questions about, without repeats, packed by bucket of
-the fingerprint; each bucket sorts what it got and answers with one bit per fingerprint: asked
-by more than one, or asked earlier.  A fingerprint that a third of all documents share is sent
-once a block, and no task sees more than its bucket.
+bucketed by block number, so joining to it moves what is joined alone.  In a step each block
+works out its state and the fingerprints it has questions about, both kept in a table of the
+same buckets; the fingerprints, without repeats, go packed to buckets of their own, each
+sorts what it got and answers: asked by more than one, asked earlier, or a global name.  The
+next step starts from state and answers.  A fingerprint that a third of all documents share
+is sent once a block, and no task sees more than its bucket.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_arrow, partitions, release, written
+from .common import by_arrow, drop_path, partitions, release, scratch
 
 #: Bytes of text in a block (a longer document makes a block of its own), bytes of text in a
 #: bucket of the block table, and bytes of fingerprints in a bucket of a round.
@@ -34,7 +35,10 @@ _SEED = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 LONG_WORD = 256
 #: Slices of a vector that is summed over partitions.
 SLICES = 64
-_REPLY = "array<struct<bucket:int,bits:binary>>"
+_REPLY = "array<struct<bucket:int,found:binary>>"
+#: What a step asks: whether another question has the fingerprint, whether an earlier one has,
+#: or a name for it that is the same everywhere.
+AGAIN, EARLIER, NAMES = "again", "earlier", "names"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -132,26 +136,31 @@ class Block:
         self.has_id = np.frombuffer(ids, np.bool_, offset=8 * len(self.ids))
         self.ends = np.frombuffer(ends, np.int64)
         self.data = np.frombuffer(data, np.uint8)
-        self.memo: dict = {}  # what later rounds use again
 
 
 @dataclass
-class Round:
-    """Rows (block, bucket, bits), the number of buckets, and what a bit says."""
+class Step:
+    """What a step left: the table of (block, state, asks), the answers (block, bucket, found),
+    where those lie, how many buckets there are, and the kind of the answers."""
 
+    table: str
     answers: DataFrame
+    path: str
     buckets: int
-    earlier: bool
+    kind: str
 
 
 class Reply:
-    """What a round answered to one block."""
+    """What the buckets answered to one block."""
 
-    def __init__(self, rows: list[dict], buckets: int, earlier: bool):
-        self.rows, self.buckets, self.earlier = rows, buckets, earlier
+    def __init__(self, rows: list[dict], buckets: int, kind: str | None):
+        self.rows, self.buckets, self.kind = rows, buckets, kind
 
     def to(self, asked: Questions) -> np.ndarray:
-        return asked.answers(self.rows, self.buckets, self.earlier)
+        """For each fingerprint whether it holds, or a pair (name, shared) of arrays."""
+        if self.kind == NAMES:
+            return asked.names(self.rows, self.buckets)
+        return asked.answers(self.rows, self.buckets, self.kind == EARLIER)
 
 
 class Blocks:
@@ -164,53 +173,65 @@ class Blocks:
         self.name = f"blocks_{uuid.uuid4().hex}"
         order = ["doc_id", F.xxhash64("data")]
         rows = docs.repartitionByRange(partitions(self.spark), *order).sortWithinPartitions(*order)
-        rows = by_arrow(rows, _pack, "block long, ids binary, ends binary, data binary")
-        rows.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "block").saveAsTable(self.name)
+        self._save(by_arrow(rows, _pack, "block long, ids binary, ends binary, data binary"), self.name)
         release(self.spark)
 
-    def rows(self, *rounds: Round) -> DataFrame:
-        rows = self.spark.table(self.name)
-        for i, r in enumerate(rounds):
-            r = r.answers.repartition(self.buckets, "block").groupBy("block")
-            rows = rows.join(r.agg(F.collect_list(F.struct("bucket", "bits")).alias(f"r{i}")), "block", "left")
-        for i in range(len(rounds)):
-            rows = rows.withColumn(f"r{i}", F.coalesce(f"r{i}", F.expr(f"cast(array() as {_REPLY})")))
-        return rows
+    def _save(self, rows: DataFrame, name: str) -> None:
+        rows.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "block").saveAsTable(name)
 
-    def map(self, f: Callable[..., Iterator[pa.RecordBatch]], schema: str, *rounds: Round) -> DataFrame:
-        """f(block, *replies) -> record batches, over all blocks; a reply is that of a round."""
-        kinds = [(r.buckets, r.earlier) for r in rounds]
+    def _rows(self, text: bool, before: Step | None) -> DataFrame:
+        rows = self.spark.table(self.name) if text else None
+        empty = F.expr(f"cast(array() as {_REPLY})")
+        if before is None:
+            return rows.select("*", F.lit(b"").alias("state"), empty.alias("reply"))
+        state = self.spark.table(before.table).select("block", "state")
+        rows = state if rows is None else rows.join(state, "block")
+        got = before.answers.repartition(self.buckets, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "found")).alias("got"))
+        return rows.join(got, "block", "left").withColumn("reply", F.coalesce("got", empty)).drop("got")
+
+    def map(self, f: Callable[..., Iterator[pa.RecordBatch]], schema: str, before: Step | None = None, text: bool = True) -> DataFrame:
+        """f(block, state, reply) -> record batches, over all blocks; without ``text`` a block is its number alone."""
+        buckets, kind = (before.buckets, before.kind) if before else (0, None)
 
         def run(batches):
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = [batch.column(k)[i] for k in range(batch.num_columns)]
-                    block = Block(row[0].as_py(), row[1].as_buffer(), row[2].as_buffer(), row[3].as_buffer())
-                    yield from f(block, *[Reply(r.as_py(), *k) for r, k in zip(row[4:], kinds)])
+                    number = row[0].as_py()
+                    block = Block(number, row[1].as_buffer(), row[2].as_buffer(), row[3].as_buffer()) if text else number
+                    yield from f(block, row[-2].as_buffer(), Reply(row[-1].as_py(), buckets, kind))
 
-        return by_arrow(self.rows(*rounds), run, schema)
+        return by_arrow(self._rows(text, before), run, schema)
 
-    def ask(self, question: Callable[..., Questions], density: float, earlier: bool, what: str, *rounds: Round) -> Round:
-        """A round.  question(block, *replies) gives a block's Questions.
+    def step(self, f: Callable[..., tuple[bytes, Questions]], kind: str, density: float, what: str, before: Step | None = None, text: bool = True) -> Step:
+        """f(block, state, reply) -> (state, questions), and the answers to them of that kind.
 
-        The answer to each is whether another question, in this block or elsewhere, has the
-        same fingerprint; with ``earlier``, whether one has that comes before in order of
-        block and place.  density: bytes of fingerprints expected for a byte of text."""
+        density: bytes of fingerprints expected for a byte of text.  The tables of the step
+        before go once this one's are there."""
         n = int(max(64, -(-self.bytes * density // ROUND_BUCKET)))
 
-        def send(block, *replies):
-            yield from question(block, *replies).packed(block.number, n)
+        def send(block, state, reply):
+            state, asked = f(block, state, reply)
+            buckets, counts, blobs = asked.packed(n)
+            asks = pa.StructArray.from_arrays([pa.array(buckets, pa.int32()), pa.array(counts, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "n", "keys"])
+            asks = pa.ListArray.from_arrays(pa.array([0, len(buckets)], pa.int32()), asks)
+            number = block if isinstance(block, int) else block.number
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([state], pa.binary()), asks], names=["block", "state", "asks"])
 
         def solve(table: pa.Table) -> pa.Table:
-            return _solve(table, earlier)
-
-        sent = self.map(send, "bucket int, block long, n int, keys binary", *rounds)
-        found = written(sent.groupBy("bucket").applyInArrow(solve, "block long, bucket int, bits binary"), what)
+            return _solve(table, kind)
+
+        name = f"{what.replace('-', '_')}_{uuid.uuid4().hex}"
+        self._save(self.map(send, "block long, state binary, asks array<struct<bucket:int,n:int,keys:binary>>", before, text), name)
+        sent = self.spark.table(name).select("block", F.inline("asks"))
+        path = scratch(self.spark, what)
+        solved = sent.groupBy("bucket").applyInArrow(solve, "block long, bucket int, found binary")
+        solved.write.parquet(path)
+        if before is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS {before.table}")
+            drop_path(self.spark, before.path)
         release(self.spark)
-        return Round(found, n, earlier)
-
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        return Step(name, self.spark.read.schema(solved.schema).parquet(path), path, n, kind)
 
 
 def _pack(batches):
@@ -288,9 +309,10 @@ class Questions:
         bucket = ((self.high[self.first] >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
         return np.bincount(bucket.astype(np.int64), minlength=n)
 
-    def packed(self, number: int, n: int):
+    def packed(self, n: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(buckets, numbers of keys, keys) of the buckets that get any."""
         if not len(self.high):
-            return
+            return np.zeros(0, np.int32), np.zeros(0, np.int32), []
         count = self._counts(n)
         high = np.ascontiguousarray(self.high[self.first].astype("<u8")).view(np.uint8).reshape(-1, 8)
         if self.low is None:
@@ -301,11 +323,7 @@ class Questions:
         keys = np.ascontiguousarray(keys).tobytes()
         some = np.flatnonzero(count)
         stop = np.cumsum(count) * width
-        blobs = [keys[stop[b] - count[b] * width : stop[b]] for b in some]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), number)), pa.array(count[some].astype(np.int32)), pa.array(blobs, pa.binary())],
-            names=["bucket", "block", "n", "keys"],
-        )
+        return some.astype(np.int32), count[some].astype(np.int32), [keys[stop[b] - count[b] * width : stop[b]] for b in some]
 
     def answers(self, reply: list[dict], n: int, earlier: bool) -> np.ndarray:
         """One bool for each fingerprint, from the rows that the buckets sent back."""
@@ -316,7 +334,7 @@ class Questions:
         flags = np.zeros(len(self.high), bool)
         for r in reply:
             b = r["bucket"]
-            bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(count[b])).view(bool)
+            bits = np.unpackbits(np.frombuffer(r["found"], np.uint8), count=int(count[b])).view(bool)
             flags[self.first[start[b] : start[b] + count[b]]] = bits
         out = flags[self.leader]
         if earlier:
@@ -324,8 +342,26 @@ class Questions:
         return out | self.again
 
 
-def _solve(table: pa.Table, earlier: bool) -> pa.Table:
-    """Sort one bucket; equal keys are neighbours, in order of block and place."""
+    def names(self, reply: list[dict], n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(name, shared) of each fingerprint: bucket and number in it, and whether any other has it."""
+        if not len(self.high):
+            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        count = self._counts(n)
+        start = np.cumsum(count) - count
+        names, shared = np.zeros(len(self.high), np.uint64), np.zeros(len(self.high), bool)
+        for r in reply:
+            b = r["bucket"]
+            found = np.frombuffer(r["found"], "<u4").astype(np.uint64)
+            at = self.first[start[b] : start[b] + count[b]]
+            names[at] = (np.uint64(b) << np.uint64(32)) | (found >> np.uint64(1))
+            shared[at] = found & np.uint64(1) == 1
+        return names[self.leader], shared[self.leader] | self.again
+
+
+def _solve(table: pa.Table, kind: str) -> pa.Table:
+    """Sort one bucket; equal keys are neighbours, in order of block and place.
+
+    A name is the number of the key among the bucket's, and a bit that says whether several asked."""
     numbers = table["block"].to_numpy()
     order = np.argsort(numbers, kind="stable")
     counts = table["n"].to_numpy()[order].astype(np.int64)
@@ -351,22 +387,65 @@ def _solve(table: pa.Table, earlier: bool) -> pa.Table:
         else:
             at = np.argsort(high, kind="stable")
             same = np.append(False, high[at[1:]] == high[at[:-1]])
-    flag = np.zeros(total, bool)
-    flag[at] = same
-    if not earlier:
-        flag[at[:-1]] |= same[1:]
     stop = np.cumsum(counts)
-    bits = [np.packbits(flag[b - c : b]).tobytes() for b, c in zip(stop.tolist(), counts.tolist())]
+    ends = list(zip(stop.tolist(), counts.tolist()))
+    if kind == NAMES:
+        run = np.cumsum(~same) - 1
+        name = np.empty(total, "<u4")
+        name[at] = run << 1 | (np.bincount(run)[run] > 1)
+        found = [name[b - c : b].tobytes() for b, c in ends]
+    else:
+        flag = np.zeros(total, bool)
+        flag[at] = same
+        if kind == AGAIN:
+            flag[at[:-1]] |= same[1:]
+        found = [np.packbits(flag[b - c : b]).tobytes() for b, c in ends]
     bucket = table["bucket"][0].as_py()
     return pa.table(
         {
             "block": pa.array(numbers[order], pa.int64()),
-            "bucket": pa.array(np.full(len(bits), bucket, np.int32)),
-            "bits": pa.array(bits, pa.binary()),
+            "bucket": pa.array(np.full(len(found), bucket, np.int32)),
+            "found": pa.array(found, pa.binary()),
         }
     )
 
 
+def kept_state(*arrays: np.ndarray) -> bytes:
+    """Arrays as one byte string; bools as bits, numbers in the fewest bytes that hold them."""
+    head, parts = [len(arrays)], []
+    for x in arrays:
+        kind = -1
+        if x.dtype == bool:
+            data = np.packbits(x)
+        else:
+            kind = next(k for k, t in enumerate(_WIDTHS) if not len(x) or (x.min() >= np.iinfo(t).min and x.max() <= np.iinfo(t).max))
+            data = x.astype(_WIDTHS[kind])
+        head += [kind, len(x)]
+        parts.append(data.tobytes())
+    return np.array(head, np.int64).tobytes() + b"".join(parts)
+
+
+_WIDTHS = (np.uint8, np.uint16, np.int32, np.int64, np.uint64)
+
+
+def from_state(state) -> list[np.ndarray]:
+    """The arrays again, numbers as int64 or uint64."""
+    many = int(np.frombuffer(state, np.int64, 1)[0])
+    head = np.frombuffer(state, np.int64, 1 + 2 * many)[1:].reshape(-1, 2).tolist()
+    at, out = 8 * (1 + 2 * many), []
+    for kind, n in head:
+        if kind < 0:
+            size = -(-n // 8)
+            out.append(np.unpackbits(np.frombuffer(state, np.uint8, size, at), count=n).view(bool))
+        else:
+            t = _WIDTHS[kind]
+            size = n * np.dtype(t).itemsize
+            x = np.frombuffer(bytes(memoryview(state)[at : at + size]), t)
+            out.append(x.astype(np.uint64 if t is np.uint64 else np.int64))
+        at += size
+    return out
+
+
 def id_column(block: Block) -> pa.Array:
     return pa.array(block.ids, mask=~block.has_id)
 

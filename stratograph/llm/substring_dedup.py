@@ -1,18 +1,20 @@
 """Long repeated word sequences by recompression.
 
-A text is a sequence of words; rounds replace runs of one symbol, then pairs of a symbol of
-the left class and one of the right class, by new symbols.  A symbol's name is a hash of the
-words it stands for and its class is a bit of that hash, so every block names runs and pairs
-alike without asking, and equal substrings get equal symbols but near their ends.  After a
-few rounds symbols are short; one that, with the words that decided it, occurs nowhere else
-proves that no window around it repeats.  After many rounds they are long; a pair of
-neighbours that occurred before reveals that all windows inside it repeat.  The windows left
-between the two are compared themselves.  All comparisons that decide are of 96-bit hashes.
+A text is a sequence of words.  In each round Spark names, alike over all blocks, the runs of
+one symbol and the pairs of a symbol of the left class and one of the right class, which take
+their place; a symbol's class is a bit of a hash of its name, so equal substrings get equal
+symbols but near their ends.  A word, run or pair that occurs once proves that no window
+around it, with the words that decided that it exists, repeats: such symbols and windows drop
+out, and the rounds go on with what several texts share.  Stretches of the symbols that are
+left, seen before, reveal that all windows inside them repeat; the windows left between are
+verified by their own words.  Names are numbers dealt by the buckets that sort all runs and
+pairs, told apart by 96-bit fingerprints without linear structure.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
@@ -21,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col
-from .exchange import Block, Blocks, Hashes, Questions, Reply, covered, id_column, word_names
+from .exchange import AGAIN, EARLIER, NAMES, Block, Blocks, Hashes, Questions, Reply, covered, from_state, id_column, kept_state, mixed, word_names
 
-#: Rounds until a symbol and its surroundings still fit a window of 20 words, and rounds
-#: until symbols are as long as such windows.
-FEW, MANY = 3, 11
+#: Rounds of naming, and symbols of a stretch: together they are longer than a window of 20 words.
+ROUNDS, STRETCH = 3, 24
+#: Where the words that decide on a symbol lie when something unknown decides on it as well.
+NOWHERE = 1 << 30
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -53,7 +56,6 @@ class Words:
         self.ends = np.searchsorted(self.text, np.arange(len(block.ids) + 1))
         self.hashes = [Hashes(x, k) for k, x in enumerate(word_names(data, first, stop, lanes))]
         self.n = len(first)
-        self.memo: dict = {}
 
     def name(self, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return self.hashes[0].of(first, stop)
@@ -63,98 +65,183 @@ class Words:
         return Questions(self.name(first, stop), (low >> np.uint64(32)).astype(np.uint32))
 
 
+@dataclass
 class Symbols:
-    """Symbols first..stop of words; from..to are the words that decide that they exist."""
-
-    def __init__(self, words: Words):
-        self.words = words
-        at = np.arange(words.n)
-        self.first, self.stop, self.from_, self.to = at, at + 1, at, at + 1
-        self.text = words.text
-
-    def _step(self, keep: np.ndarray, grown: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-        """keep: symbols that begin a new one; grown: how many they swallow besides; left,
-        right: whether the new one's existence rests on its left or right neighbour too."""
-        last = keep + grown
-        n = len(self.first)
+    """Symbols of words first..stop that are shared; from_..to are the words that decide that
+    they exist.  Symbols that dropped out leave gaps."""
+
+    name: np.ndarray
+    first: np.ndarray
+    stop: np.ndarray
+    from_: np.ndarray
+    to: np.ndarray
+    text: np.ndarray
+
+    def kept(self) -> tuple[np.ndarray, ...]:
+        return self.name, np.diff(self.first, prepend=0), self.stop - self.first, self.first - self.from_, self.to - self.stop, np.diff(self.text, prepend=0)
+
+    @classmethod
+    def of(cls, name, first, size, before, behind, text) -> Symbols:
+        first = np.cumsum(first)
+        return cls(name.astype(np.uint64), first, first + size, first - before, first + size + behind, np.cumsum(text))
+
+    def only(self, keep: np.ndarray) -> Symbols:
+        return Symbols(*[x[keep] for x in (self.name, self.first, self.stop, self.from_, self.to, self.text)])
+
+    def touching(self) -> np.ndarray:
+        """Whether each symbol but the last is followed at once by the next."""
+        return (self.stop[:-1] == self.first[1:]) & (self.text[:-1] == self.text[1:])
+
+    def grouped(self, keep: np.ndarray, grown: np.ndarray, left: np.ndarray, right: np.ndarray) -> Symbols:
+        """keep: symbols that begin a new one; grown: how many they swallow besides; left, right:
+        whether the new one's existence rests on what lies to its left or right as well."""
+        last, n = keep + grown, len(self.first)
+        near = np.zeros(n + 1, bool)
+        near[1:-1] = self.touching()
         before, after = np.maximum(keep - 1, 0), np.minimum(last + 1, n - 1)
-        text = self.text[keep]
-        no_before = (keep == 0) | (self.text[before] != text)
-        no_after = (last == n - 1) | (self.text[after] != text)
-        from_ = np.where(left, np.where(no_before, -1, self.from_[before]), self.from_[keep])
-        to = np.where(right, np.where(no_after, self.words.n + 1, self.to[after]), self.to[last])
-        self.from_, self.to = np.minimum(from_, self.from_[keep]), np.maximum(to, self.to[last])
-        self.first, self.stop, self.text = self.first[keep], self.stop[last], text
-
-    def round(self, number: int) -> None:
-        if not len(self.first):
-            return
-        name = self.words.name(self.first, self.stop)
-        new = np.ones(len(name), bool)
-        new[1:] = (name[1:] != name[:-1]) | (self.text[1:] != self.text[:-1])
-        keep = np.flatnonzero(new)
-        every = np.ones(len(keep), bool)
-        self._step(keep, np.diff(np.append(keep, len(name))) - 1, every, every)
-        name = self.words.name(self.first, self.stop)
-        right = (name >> np.uint64(number + 8)) & np.uint64(1) == 1
-        joined = np.zeros(len(name), bool)
-        joined[:-1] = ~right[:-1] & right[1:] & (self.text[1:] == self.text[:-1])
-        swallowed = np.zeros(len(name), bool)
-        swallowed[1:] = joined[:-1]
-        keep = np.flatnonzero(~swallowed)
-        pair, r = joined[keep], right[keep]
-        self._step(keep, pair.astype(np.int64), ~pair & r, ~pair & ~r)
+        from_ = np.where(left, np.where(near[keep], self.from_[before], -NOWHERE), NOWHERE)
+        to = np.where(right, np.where(near[last + 1], self.to[after], NOWHERE), -NOWHERE)
+        return Symbols(self.name[keep], self.first[keep], self.stop[last], np.minimum(from_, self.from_[keep]), np.maximum(to, self.to[last]), self.text[keep])
+
+
+@dataclass
+class Proposal:
+    """The symbols after a round, which of them are new, and the question for the new ones' names."""
+
+    symbols: Symbols
+    new: np.ndarray
+    asked: Questions
+
+
+def propose(symbols: Symbols, number: int, other: np.ndarray | None = None) -> Proposal:
+    """Runs, then pairs.  other: the second lane of the words' names, before they have numbers."""
+    n = len(symbols.name)
+    if not n:
+        return Proposal(symbols, np.zeros(0, bool), Questions(np.zeros(0, np.uint64), np.zeros(0, np.uint32)))
+    lanes = (symbols.name, symbols.name if other is None else other)
+    fresh = np.ones(n, bool)
+    fresh[1:] = ~(symbols.touching() & (symbols.name[1:] == symbols.name[:-1]))
+    run = np.flatnonzero(fresh)
+    size = np.diff(np.append(run, n))
+    every = np.ones(len(run), bool)
+    runs = symbols.grouped(run, size - 1, every, every)
+    one = [mixed(x[run] + size.astype(np.uint64) * _STEP) for x in lanes]  # a run's content
+    right = (mixed(one[0] + np.uint64(number)) >> np.uint64(32)) & np.uint64(1) == 1
+    joined = np.zeros(len(run), bool)
+    joined[:-1] = ~right[:-1] & right[1:] & runs.touching()
+    swallowed = np.zeros(len(run), bool)
+    swallowed[1:] = joined[:-1]
+    keep = np.flatnonzero(~swallowed)
+    pair, r = joined[keep], right[keep]
+    out = runs.grouped(keep, pair.astype(np.int64), ~pair & r, ~pair & ~r)
+    new = pair | (size[keep] > 1)
+    at = keep[new]
+    second = np.minimum(at + 1, len(run) - 1)
+    high, low = (mixed(x[at] * _STEP + np.where(pair[new], mixed(x[second] + _STEP), np.uint64(0))) for x in one)
+    return Proposal(out, new, Questions(high, (low >> np.uint64(32)).astype(np.uint32)))
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def accept(proposal: Proposal, number: int, answer: tuple[np.ndarray, np.ndarray], open_: np.ndarray, window: int) -> tuple[Symbols, np.ndarray]:
+    """(symbols, open windows) once the new ones have names: what occurs once closes the windows
+    that hold it with all that decided on it, and symbols in no open window drop out."""
+    found, shared = answer
+    s = proposal.symbols
+    s.name[proposal.new] = (np.uint64(number) << np.uint64(58)) | found
+    live = np.ones(len(s.name), bool)
+    live[proposal.new] = shared
+    open_ = open_ & ~closed(s.from_[~live], s.to[~live], len(open_), window)
+    return s.only(live & needed(s, open_, window)), open_
+
+
+def closed(first: np.ndarray, stop: np.ndarray, n: int, window: int) -> np.ndarray:
+    """True at the first words of the windows that hold any of [first, stop)."""
+    fits = (first >= 0) & (stop <= n) & (stop - first <= window)
+    return covered(n, np.maximum(0, stop[fits] - window), first[fits] + 1)
+
+
+def needed(s: Symbols, open_: np.ndarray, window: int) -> np.ndarray:
+    """Whether an open window holds any word of a symbol."""
+    before = np.concatenate([[0], np.cumsum(open_)])
+    return before[s.stop] > before[np.maximum(0, s.first - window + 1)]
 
 
 class Plan:
-    """What the rounds ask of a block.  Steps that later ones build on are kept in words.memo."""
+    """What the steps ask of a block."""
 
     def __init__(self, window: int):
         self.window = window
 
-    def short(self, words: Words) -> tuple[np.ndarray, np.ndarray, Questions]:
-        """Symbols that a window can hold with all that decided them, and their names."""
-        if "short" not in words.memo:
-            symbols = Symbols(words)
-            for k in range(FEW):
-                symbols.round(k)
-            fits = (symbols.from_ >= 0) & (symbols.to <= words.n) & (symbols.to - symbols.from_ <= self.window)
-            first, stop = symbols.from_[fits], symbols.to[fits]
-            words.memo["symbols"] = symbols
-            words.memo["short"] = first, stop, Questions(words.name(first, stop))
-        return words.memo["short"]
-
-    def open(self, words: Words, reply: Reply) -> np.ndarray:
-        """True at the first words of windows that hold no symbol of a unique name."""
-        if "open" not in words.memo:
-            at = np.arange(words.n)
-            whole = at + self.window <= words.ends[words.text + 1] if words.n else np.zeros(0, bool)
-            first, stop, asked = self.short(words)
-            lone = ~reply.to(asked)
-            first, stop = first[lone], stop[lone]
-            words.memo["open"] = whole & ~covered(words.n, np.maximum(0, stop - self.window), first + 1)
-        return words.memo["open"]
-
-    def long(self, words: Words, reply: Reply) -> tuple[np.ndarray, np.ndarray, Questions]:
-        """Pairs of neighbouring long symbols of which every window is open."""
-        open_ = self.open(words, reply)
-        symbols = words.memo["symbols"]
-        for k in range(FEW, MANY):
-            symbols.round(k)
-        first, stop = symbols.first[:-1], symbols.stop[1:]
-        good = (symbols.text[:-1] == symbols.text[1:]) & (stop - first >= self.window)
-        first, stop = first[good], stop[good]
-        closed = np.concatenate([[0], np.cumsum(~open_)])
-        good = closed[stop - self.window + 1] == closed[first]
-        first, stop = first[good], stop[good]
-        return first, stop, words.questions(first, stop)
-
-    def left(self, words: Words, one: Reply, two: Reply) -> tuple[np.ndarray, np.ndarray, Questions]:
-        first, stop, asked = self.long(words, one)
-        seen = two.to(asked)
-        settled = covered(words.n, first[seen], stop[seen] - self.window + 1)
-        at = np.flatnonzero(self.open(words, one) & ~settled)
-        return settled, at, words.questions(at, at + self.window)
+    def words(self, block: Block, state, reply: Reply) -> tuple[bytes, Questions]:
+        """Which words occur more than once."""
+        return b"", Questions(Words(block, lanes=1).hashes[0].levels[0])
+
+    def first(self, block: Block, state, reply: Reply) -> tuple[bytes, Questions]:
+        """The first round, over the words that occur more than once."""
+        words = Words(block)
+        names, other = (h.levels[0] for h in words.hashes)
+        live = reply.to(Questions(names))
+        at = np.arange(words.n)
+        whole = at + self.window <= words.ends[words.text + 1] if words.n else np.zeros(0, bool)
+        lone = np.flatnonzero(~live)
+        open_ = whole & ~closed(lone, lone + 1, words.n, self.window)
+        symbols = Symbols(names, at, at + 1, at, at + 1, words.text)
+        keep = live & needed(symbols, open_, self.window)
+        symbols = symbols.only(keep)
+        return self._state(symbols, open_, other[keep]), propose(symbols, 1, other[keep]).asked
+
+    @staticmethod
+    def _state(symbols: Symbols, open_: np.ndarray, *other: np.ndarray) -> bytes:
+        return kept_state(open_, *symbols.kept(), *other)
+
+    def _accepted(self, state, reply: Reply, number: int) -> tuple[Symbols, np.ndarray]:
+        open_, *arrays = from_state(state)
+        symbols = Symbols.of(*arrays[:6])
+        proposal = propose(symbols, number, arrays[6].astype(np.uint64) if len(arrays) > 6 else None)
+        return accept(proposal, number, reply.to(proposal.asked), open_, self.window)
+
+    def round(self, number: int):
+        """A step that takes the names of the round before and asks for those of this one."""
+
+        def step(block: int, state, reply: Reply) -> tuple[bytes, Questions]:
+            symbols, open_ = self._accepted(state, reply, number - 1)
+            return self._state(symbols, open_), propose(symbols, number).asked
+
+        return step
+
+    def stretches(self, block: int, state, reply: Reply) -> tuple[bytes, Questions]:
+        """After the last round: STRETCH symbols in a row, from each symbol on."""
+        symbols, open_ = self._accepted(state, reply, ROUNDS)
+        first, stop, asked = self._stretches(symbols)
+        return kept_state(open_, symbols.name, np.diff(symbols.first, prepend=0), symbols.stop - symbols.first, np.diff(symbols.text, prepend=0)), asked
+
+    def _stretches(self, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, Questions]:
+        n = len(symbols.name)
+        gaps = np.concatenate([[0], np.cumsum(~symbols.touching())]) if n else np.zeros(0, np.int64)
+        at = np.arange(max(0, n - STRETCH + 1))
+        at = at[gaps[at + STRETCH - 1] == gaps[at]]
+        first, stop = symbols.first[at], symbols.stop[at + STRETCH - 1]
+        long = stop - first >= self.window
+        at, first, stop = at[long], first[long], stop[long]
+        high, low = (Hashes(mixed(symbols.name + np.uint64(k)), k).of(at, at + STRETCH) for k in (0, 1))
+        return first, stop, Questions(high, (low >> np.uint64(32)).astype(np.uint32))
+
+    def left(self, block: Block, state, reply: Reply) -> tuple[bytes, Questions]:
+        """State: the windows known to repeat and those still open, which are asked."""
+        open_, name, first, size, text = from_state(state)
+        first = np.cumsum(first)
+        symbols = Symbols(name.astype(np.uint64), first, first + size, first, first + size, np.cumsum(text))
+        first, stop, asked = self._stretches(symbols)
+        seen = reply.to(asked)
+        settled = covered(len(open_), first[seen], stop[seen] - self.window + 1)
+        open_ &= ~settled
+        return kept_state(settled, open_), self._windows(Words(block), open_)
+
+    def _windows(self, words: Words, open_: np.ndarray) -> Questions:
+        at = np.flatnonzero(open_)
+        return words.questions(at, at + self.window)
 
 
 def repeated_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,14 +260,17 @@ def repeated_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     )
     total = docs.select(F.sum(F.octet_length(col(text_col).cast("string")))).first()[0] or 0
     blocks, plan = Blocks(rows, total), Plan(window)
-    first = blocks.ask(lambda b: plan.short(Words(b))[2], 0.4, False, "symbols")
-    second = blocks.ask(lambda b, r: plan.long(Words(b), r)[2], 0.1, True, "long-symbols", first)
-    third = blocks.ask(lambda b, r, s: plan.left(Words(b), r, s)[2], 0.4, True, "windows", first, second)
-
-    def cut(block: Block, r: Reply, s: Reply, t: Reply):
+    step = blocks.step(plan.words, AGAIN, 1.0, "words")
+    step = blocks.step(plan.first, NAMES, 0.5, "round-1", step)
+    for k in range(2, ROUNDS + 1):
+        step = blocks.step(plan.round(k), NAMES, 0.5 / k, f"round-{k}", step, text=False)
+    step = blocks.step(plan.stretches, EARLIER, 0.2, "stretches", step, text=False)
+    step = blocks.step(plan.left, EARLIER, 0.3, "windows", step)
+
+    def cut(block: Block, state, reply: Reply):
         words = Words(block)
-        settled, at, asked = plan.left(words, r, s)
-        settled[at[t.to(asked)]] = True
+        settled, open_ = from_state(state)
+        settled[np.flatnonzero(open_)[reply.to(plan._windows(words, open_))]] = True
         at = np.flatnonzero(settled)
         gone = covered(words.n, at, at + window)
         stay = (~gone).tolist()
@@ -196,7 +286,7 @@ def repeated_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
             names=["doc_id", "n_words", "n_removed", "kept"],
         )
 
-    out = blocks.map(cut, "doc_id long, n_words long, n_removed long, kept binary", first, second, third)
+    out = blocks.map(cut, "doc_id long, n_words long, n_removed long, kept binary", step)
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 

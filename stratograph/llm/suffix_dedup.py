@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col
-from .exchange import Block, Blocks, Questions, Reply, byte_names, covered, id_column, spans
+from .exchange import AGAIN, EARLIER, Block, Blocks, Questions, Reply, byte_names, covered, from_state, id_column, kept_state, spans
 
 #: Planar difference sets (modulus: residues); every difference occurs.
 COVERS = {
@@ -51,37 +51,37 @@ class Plan:
         tile[list(self.cover)] = True
         return np.flatnonzero(np.tile(tile, -(-n // self.modulus))[:n]) if n else np.zeros(0, np.int64)
 
-    def ranked(self, block: Block) -> tuple[np.ndarray, Questions]:
-        """Sample positions with ``depth`` bytes left in their text, and their ranks."""
+    def ranked(self, block: Block, state, reply: Reply) -> tuple[bytes, Questions]:
+        """Sample positions with ``depth`` bytes left in their text, by their ranks at that depth."""
+        return b"", self._ranks(block)[1]
+
+    def _ranks(self, block: Block) -> tuple[np.ndarray, Questions]:
         at = self.sample(block)
         at = at[at + self.depth <= _end(block, at)]
         return at, Questions(byte_names(block.data, at, self.depth, 1)[0])
 
-    def shared(self, block: Block, first: Reply) -> np.ndarray:
-        """Sample positions whose rank another has; worked out once for a block."""
-        if "shared" not in block.memo:
-            at, asked = self.ranked(block)
-            block.memo["shared"] = at[first.to(asked)]
-        return block.memo["shared"]
-
-    def deep(self, block: Block, first: Reply) -> tuple[np.ndarray, Questions]:
-        """Shared sample positions with ``DEEP`` windows left, and their ranks at that depth."""
-        at = self.shared(block, first)
-        at = at[at + DEEP * self.length <= _end(block, at)]
+    def deep(self, block: Block, state, reply: Reply) -> tuple[bytes, Questions]:
+        """Of the positions whose rank another has, those with ``DEEP`` windows left, by rank at that depth."""
+        at, asked = self._ranks(block)
+        shared = at[reply.to(asked)]
+        return kept_state(np.diff(shared, prepend=0)), self._deep(block, shared)[1]
+
+    def _deep(self, block: Block, shared: np.ndarray) -> tuple[np.ndarray, Questions]:
+        at = shared[shared + DEEP * self.length <= _end(block, shared)]
         return at, _strings(block, at, DEEP * self.length)
 
-    def left(self, block: Block, first: Reply, second: Reply) -> tuple[np.ndarray, np.ndarray, Questions]:
-        """(settled, at, suffixes): windows known to repeat, and the ones still to be sorted."""
+    def left(self, block: Block, state, reply: Reply) -> tuple[bytes, Questions]:
+        """State: the windows known to repeat and the suffixes still to be sorted, which are asked."""
         n = len(block.data)
-        at, asked = self.deep(block, first)
-        at = at[second.to(asked)]
+        shared = np.cumsum(from_state(state)[0])
+        at, asked = self._deep(block, shared)
+        at = at[reply.to(asked)]
         settled = covered(n, at, at + (DEEP - 1) * self.length + 1)
-        shared = self.shared(block, first)
         begin = block.ends[np.searchsorted(block.ends, shared, "right") - 1]
-        open_ = covered(n, np.maximum(begin, shared - self.modulus + 1), shared + 1) & ~settled
-        at = np.flatnonzero(open_)
-        at = at[at + self.length <= _end(block, at)]
-        return settled, at, _strings(block, at, self.length)
+        at = np.flatnonzero(covered(n, np.maximum(begin, shared - self.modulus + 1), shared + 1) & ~settled)
+        open_ = np.zeros(n, bool)
+        open_[at[at + self.length <= _end(block, at)]] = True
+        return kept_state(settled, open_), _strings(block, np.flatnonzero(open_), self.length)
 
 
 def _end(block: Block, at: np.ndarray) -> np.ndarray:
@@ -111,14 +111,16 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     total = docs.select(F.sum(F.octet_length(col(text_col).cast("string")))).first()[0] or 0
     blocks, plan = Blocks(rows, total), Plan(length)
     share = len(plan.cover) / plan.modulus
-    first = blocks.ask(lambda b: plan.ranked(b)[1], 5 * share, False, "cover")
-    second = blocks.ask(lambda b, r: plan.deep(b, r)[1], 3 * share, True, "deep", first)
-    third = blocks.ask(lambda b, r, s: plan.left(b, r, s)[2], 1.0, True, "suffixes", first, second)
+    step = blocks.step(plan.ranked, AGAIN, 5 * share, "cover")
+    step = blocks.step(plan.deep, EARLIER, 3 * share, "deep", step)
+    step = blocks.step(plan.left, EARLIER, 1.0, "suffixes", step)
 
-    def cut(block: Block, r: Reply, s: Reply, t: Reply):
-        settled, at, asked = plan.left(block, r, s)
+    def cut(block: Block, state, reply: Reply):
+        settled, open_ = from_state(state)
+        at = np.flatnonzero(open_)
+        asked = _strings(block, at, length)
         window = settled
-        window[at[t.to(asked)]] = True
+        window[at[reply.to(asked)]] = True
         at = np.flatnonzero(window)
         gone = covered(len(block.data), at, at + length)
         row, begin, stop = spans(gone, block.ends)
@@ -130,7 +132,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
             names=["doc_id", "n_bytes", "spans", "kept"],
         )
 
-    out = blocks.map(cut, "doc_id long, n_bytes long, spans array<struct<first:long,stop:long>>, kept binary", first, second, third)
+    out = blocks.map(cut, "doc_id long, n_bytes long, spans array<struct<first:long,stop:long>>, kept binary", step)
     return out
 
 
