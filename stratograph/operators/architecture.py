@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.model import Graph
+from ..sources.tables import cut
+from .folds import folded
 
 #: Keywords of each layer, in the order they are tried.
 LAYERS = {
@@ -134,20 +135,22 @@ def thirds(members: DataFrame) -> DataFrame:
 def patterns(graph: Graph, members: DataFrame) -> DataFrame:
     """(community, pattern, confidence): Microservices, Event-Driven, Clean Architecture,
     Model-View-Controller, Layered Architecture, in that order, else Unknown."""
-    nodes = members.join(graph.nodes.select("node_id", "type"), "node_id").withColumn("layer", layer())
-    nodes = nodes.withColumn("service", mentions(SERVICE) & ~mentions(NOT_SERVICE)).withColumn("event", mentions(EVENT))
+    flags = graph.nodes.select("node_id", "type").join(members.select("node_id", "community"), "node_id", "left").withColumn("layer", layer())
+    flags = flags.withColumn("service", mentions(SERVICE) & ~mentions(NOT_SERVICE)).withColumn("event", mentions(EVENT)).withColumn("target", mentions(EVENT_TARGET))
+    flags = flags.select("*", *[mentions(words).alias(name) for name, words in (("m", MODEL), ("v", VIEW), ("c", CONTROLLER))]).drop("type")
+    flags = cut(flags, "flags")  # every pattern is matched once a node; the arcs join narrow rows
+    nodes = flags.filter("community is not null")
     size = nodes.groupBy("community").agg(
         F.count("*").alias("n"),
         F.count_if("service").alias("services"),
         F.count_if("event").alias("events"),
         F.count_if(F.col("layer") == "Domain").alias("domains"),
         F.countDistinct(F.when(F.col("layer") != "Unknown", F.col("layer"))).alias("layers"),
-        *[F.max(mentions(words)).alias(name) for name, words in (("m", MODEL), ("v", VIEW), ("c", CONTROLLER))],
+        *[F.max(name).alias(name) for name in "mvc"],
     )
     a = nodes.select(F.col("node_id").alias("src"), "community", "service", "event", "layer")
-    every = graph.nodes.select(F.col("node_id").alias("dst"), mentions(EVENT_TARGET).alias("target"))
-    inside = nodes.select(F.col("node_id").alias("dst"), F.col("community").alias("other"), F.col("service").alias("service_b"), F.col("layer").alias("to"))
-    arcs = graph.adjacency.join(a, "src").join(every, "dst").join(inside, "dst", "left")
+    b = flags.select(F.col("node_id").alias("dst"), "target", F.col("community").alias("other"), F.col("service").alias("service_b"), F.col("layer").alias("to"))
+    arcs = graph.adjacency.join(a, "src").join(b, "dst")
     same = F.coalesce(F.col("community") == F.col("other"), F.lit(False))
     allowed = F.lit(False)
     for source, to in FLOWS.items():
@@ -234,38 +237,30 @@ def sanitised(path: Column) -> Column:
 
 
 def packed(members: DataFrame, most: float, tokens: str = "est_tokens") -> DataFrame:
-    """Greedy packing in order of id: a node that would exceed ``most`` opens the next part.
+    """Greedy packing in order of id: a node that would exceed ``most`` opens the next part."""
 
-    A fold over the rows of one community, in one task: a community is a module, of bounded size."""
+    def pack(state, row):
+        part, size = state
+        t = getattr(row, tokens)
+        if size + t > most and size > 0:
+            part, size = part + 1, 0.0
+        return (part, size + t), part
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node_id")
-        part, size, parts = 0, 0.0, []
-        for t in rows[tokens]:
-            if size + t > most and size > 0:
-                part, size = part + 1, 0.0
-            size += t
-            parts.append(part)
-        return rows.assign(part=parts)[["community", "node_id", "part"]]
-
-    return members.groupBy("community").applyInPandas(pack, "community string, node_id string, part int")
+    rows = members.select("community", "node_id", tokens)
+    return folded(rows, "community", "node_id", lambda: (0, 0.0), pack, "part", "int").select("community", "node_id", "part")
 
 
 def merge_siblings(modules: DataFrame, small: float = 4000, most: float = 32768) -> DataFrame:
     """(module_id, merged_into): leaves below ``small`` tokens join the next small sibling of
     their parent, in order of id, while their sum stays below ``most``."""
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("module_id")
-        head, size, out = None, 0.0, []
-        for m, t, leaf in zip(rows.module_id, rows.est_tokens, rows.is_leaf):
-            if not leaf or t >= small:
-                out.append(m)
-                continue
-            if head is None or size + t >= most:
-                head, size = m, 0.0
-            size += t
-            out.append(head)
-        return rows.assign(merged_into=out)[["parent_id", "module_id", "merged_into"]]
-
-    return modules.groupBy("parent_id").applyInPandas(merge, "parent_id string, module_id string, merged_into string")
+    def merge(state, row):
+        head, size = state
+        if not row.is_leaf or row.est_tokens >= small:
+            return state, row.module_id
+        if head is None or size + row.est_tokens >= most:
+            head, size = row.module_id, 0.0
+        return (head, size + row.est_tokens), head
+
+    rows = modules.select("parent_id", "module_id", "est_tokens", "is_leaf")
+    return folded(rows, "parent_id", "module_id", lambda: (None, 0.0), merge, "merged_into", "string").select("parent_id", "module_id", "merged_into")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.code import text_tokens
+from .folds import folded
 
 #: Tokens kept for the answer and for prompt overhead.
 RESPONSE, MARGIN = 2048, 200
@@ -39,17 +40,16 @@ def compacted(findings: DataFrame, limit: float) -> DataFrame:
 
 
 def synthesis_batches(texts: DataFrame, context: int, share: float = 0.7) -> DataFrame:
-    """(key, seq, batch): greedy batches of up to ``share`` of the budget, in order; a fold per key."""
+    """(key, seq, batch): greedy batches of up to ``share`` of the budget, in order."""
     limit = int((context - RESPONSE - 300) * share)
-    rows = texts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "tokens"))).alias("t"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<seq:bigint,batch:int>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        new = (s["used"] > 0) & (s["used"] + x["tokens"] > limit)
-        batch = F.when(new, s["batch"] + 1).otherwise(s["batch"])
-        return F.struct(batch.alias("batch"), F.when(new, x["tokens"]).otherwise(s["used"] + x["tokens"]).cast("long").alias("used"), F.concat(s["out"], F.array(F.struct(x["seq"].alias("seq"), batch.alias("batch")))).alias("out"))
+    def pack(state, row):
+        batch, used = state
+        if used > 0 and used + row.tokens > limit:
+            batch, used = batch + 1, 0
+        return (batch, used + row.tokens), batch
 
-    return rows.select("key", F.inline(F.aggregate("t", start, step)["out"]))
+    return folded(texts.select("key", "seq", "tokens"), "key", "seq", lambda: (0, 0), pack, "batch", "int").select("key", "seq", "batch")
 
 
 def history_batches(turns: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from ..operators import analytics, clustering, traverse
 from ..registry import Registry
 from ..sources import model
 from .bindings import on_graph
+from .quality import PACKED
 
 R = Registry()
 
@@ -34,7 +35,16 @@ def g25(spark, sf_dir):
     return clustering.pipeline(model.graph(spark, sf_dir))
 
 
-@R.query("g28_token_limit")
+def _split_rounds(rounds: int = 5) -> list[str]:
+    tokens = "line_count * 1.3::DOUBLE + complexity * 10"
+    out = [f"t0 AS (SELECT node_id, split_part(node_id, '::', 1) AS community, string_split(file_path, '/') AS p, {tokens} AS est_tokens FROM nodes)"]
+    for k in range(1, rounds + 1):
+        part = f"coalesce(p[{k + 1}], '')"
+        out.append(f"t{k} AS (SELECT node_id, CASE WHEN sum(est_tokens) OVER (PARTITION BY community) > 32768 THEN community || '/' || {part} ELSE community END AS community, p, est_tokens FROM t{k - 1})")
+    return [*out, f"t AS (SELECT community, node_id, est_tokens FROM t{rounds})"]
+
+
+@R.query("g28_token_limit", on_graph("SELECT node_id, community || '#' || part AS community FROM f JOIN r USING (community, i)", *_split_rounds(), PACKED))
 def g28(spark, sf_dir):
     """Modules split until each fits the token limit."""
     g = model.graph(spark, sf_dir)

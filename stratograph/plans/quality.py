@@ -311,7 +311,14 @@ def g27(spark, sf_dir):
     return _members(g).join(g.nodes, "node_id").groupBy(F.col("community").alias("module_id")).agg(F.count("*").alias("members"), F.lit(1).alias("level"), F.sum("complexity").alias("complexity"))
 
 
-@R.query("g30_size_packing")
+#: Greedy packing of rows t (community, node_id, est_tokens) in order of id.
+PACKED = """r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY node_id) AS i FROM t),
+  f AS (SELECT community, i, 0 AS part, est_tokens AS size FROM r WHERE i = 1 UNION ALL SELECT r.community, r.i, part + (size > 0 AND size + est_tokens > 32768)::INT,
+    CASE WHEN size > 0 AND size + est_tokens > 32768 THEN est_tokens ELSE size + est_tokens END FROM f JOIN r ON r.community = f.community AND r.i = f.i + 1)"""
+_TOKENS = "line_count * 1.3::DOUBLE + complexity * 10"
+
+
+@R.query("g30_size_packing", on_graph("SELECT community, node_id, part FROM f JOIN r USING (community, i)", _M, f"t AS (SELECT community, node_id, {_TOKENS} AS est_tokens FROM m JOIN nodes USING (node_id))", PACKED))
 def g30(spark, sf_dir):
     """Greedy packing of a module's nodes by tokens."""
     g = model.graph(spark, sf_dir)
@@ -319,7 +326,10 @@ def g30(spark, sf_dir):
     return architecture.packed(rows, 32768)
 
 
-@R.query("g29_merged_siblings")
+@R.query("g29_merged_siblings", """WITH RECURSIVE r AS (SELECT p_brand AS parent_id, p_partkey::VARCHAR AS module_id, p_size * 130.0::DOUBLE AS t, p_partkey % 5 <> 0 AND p_size * 130.0 < 4000 AS small, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey::VARCHAR) AS i FROM part),
+  f AS (SELECT parent_id, 0::BIGINT AS i, NULL::VARCHAR AS head, 0.0::DOUBLE AS size, NULL::VARCHAR AS into_ FROM r WHERE i = 1 UNION ALL SELECT parent_id, i, CASE WHEN new_ THEN module_id ELSE head END, CASE WHEN NOT small THEN size WHEN new_ THEN t ELSE size + t END,
+    CASE WHEN NOT small OR new_ THEN module_id ELSE head END FROM (SELECT r.parent_id, r.i, r.module_id, r.t, r.small, f.head, f.size, r.small AND (f.head IS NULL OR f.size + r.t >= 32768) AS new_ FROM f JOIN r ON r.parent_id = f.parent_id AND r.i = f.i + 1))
+  SELECT parent_id, module_id, into_ AS merged_into FROM f JOIN r USING (parent_id, i)""")
 def g29(spark, sf_dir):
     """Small sibling modules merged up to the token limit."""
     rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("parent_id"), F.col("p_partkey").cast("string").alias("module_id"), (F.col("p_size") * 130.0).cast("double").alias("est_tokens"), (F.col("p_partkey") % 5 != 0).alias("is_leaf"))

@@ -332,7 +332,9 @@ def c05(spark, sf_dir):
     return budget.compacted(rows, 300).select(F.col("key").alias("conv_id"), F.col("seq").alias("turn"), "compact")
 
 
-@R.query("c06_synthesis_batches")
+@R.query("c06_synthesis_batches", """WITH RECURSIVE r AS (SELECT conv_id AS key, turn AS seq, length(text) // 4 AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+  f AS (SELECT key, i, 0 AS batch, t AS used FROM r WHERE i = 1 UNION ALL SELECT r.key, r.i, batch + (used > 0 AND used + t > 316)::INT, CASE WHEN used > 0 AND used + t > 316 THEN t ELSE used + t END FROM f JOIN r ON r.key = f.key AND r.i = f.i + 1)
+  SELECT key, seq, batch FROM f JOIN r USING (key, i)""")
 def c06(spark, sf_dir):
     """Greedy batches of texts for synthesis."""
     rows = t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("seq"), text_tokens(F.col("text")).alias("tokens"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +10,6 @@ from pyspark.sql import functions as F
 #: File name extensions of source code.
 CODE_EXTENSIONS = ("cs", "js", "ts", "py", "java", "cpp", "cc", "c", "h", "hpp")
 
-_own_dir: str | None = None
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,12 +30,8 @@ def markdown_context(spark: SparkSession, root: str, most_bytes: int = 20000) ->
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in ``spark.checkpoint.dir``, or where that is unset in a temporary folder."""
-    global _own_dir
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        _own_dir = _own_dir or tempfile.mkdtemp(prefix="stratograph-")
-        top = _own_dir
+    """A new path in ``spark.checkpoint.dir``, or where that is unset in the warehouse, which all executors share too."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
