@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import json
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,21 +14,11 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: str | None = None
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the cluster names none (tests, local mode) a temporary folder stands in.
-    """
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="stratograph-")
-    return _own_dir
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where the
+    cluster names none a folder in the warehouse, which they share as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    return named.rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import by_arrow, col, components, written
 
-#: Vectors of a cell aimed at, pivots at most, vectors of a block, and visitors of a task.
+#: Vectors of a cell aimed at, pivots at most, and, for vectors of 64 numbers, vectors of a
+#: block and visitors of a task; of longer vectors so many fewer.
 CELL, MOST_PIVOTS, NATIVES, VISITORS = 2048, 1024, 4096, 65536
 _SLACK = 1e-7
-_PACK = "cell int, block int, chunk int, native boolean, n int, ids binary, weights binary, rows binary"
+_PACK = "cell int, block int, chunk int, native boolean, wide boolean, ids binary, weights binary, rows binary"
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -115,8 +116,9 @@ def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame
     sizes = by_arrow(classes.select("v"), measure, "cell long, n long, radius double")
     sizes = sizes.groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius")).orderBy("cell").toArrow()
     radius = sizes["radius"].to_numpy()
-    parts = np.maximum(1, -(-sizes["n"].to_numpy() // NATIVES))
-    chunks = -(-n // VISITORS)
+    longer = max(1, dim // 64)
+    parts = np.maximum(1, -(-sizes["n"].to_numpy() // max(1, NATIVES // longer)))
+    chunks = -(-n // max(1, VISITORS // longer))
 
     def deal(batches):
         for batch in batches:
@@ -125,6 +127,9 @@ def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame
             ids, weights = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             x = _unit(batch.column(2), dim)
             raw = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(-1, dim)
+            short = raw.astype("<f4")
+            wide = bool((short != raw).any())  # numbers that were single precision travel as such
+            raw = raw if wide else short
             a = angles(x)
             cell = a.argmin(axis=1)
             own = a[np.arange(len(cell)), cell]
@@ -132,7 +137,7 @@ def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame
             out = []
 
             def pack(c, b, k, native, at):
-                out.append((c, b, k, native, len(at), ids[at].astype("<i8").tobytes(), weights[at].astype("<i8").tobytes(), raw[at].tobytes()))
+                out.append((c, b, k, native, wide, ids[at].astype("<i8").tobytes(), weights[at].astype("<i8").tobytes(), raw[at].tobytes()))
 
             for c in range(m):
                 visits = (c > cell) & (a[:, c] <= radius[c] + reach + _SLACK) & (a[:, c] - own <= 2 * reach + _SLACK)
@@ -146,8 +151,8 @@ def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame
                         at = np.flatnonzero(come & (chunk == k))
                         if len(at):
                             pack(c, b, k, False, at)
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            names = ["cell", "block", "chunk", "native", "n", "ids", "weights", "rows"]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+            names = ["cell", "block", "chunk", "native", "wide", "ids", "weights", "rows"]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), kinds)], names=names)
 
     def side(table, native):
@@ -157,7 +162,8 @@ def _joined(classes: DataFrame, n: int, dim: int, threshold: float) -> DataFrame
             return np.frombuffer(b"".join(x.as_buffer() for x in part[name]), kind)
 
         ids, weights = joined("ids", "<i8"), joined("weights", "<i8")
-        x = joined("rows", "<f8").reshape(-1, dim)
+        x = [np.frombuffer(r.as_buffer(), "<f8" if w else "<f4").astype(np.float64) for r, w in zip(part["rows"], part["wide"].to_pylist())]
+        x = np.concatenate([np.zeros(0), *x]).reshape(-1, dim)
         if len(x):
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))

@@ -4,9 +4,13 @@ Language ID, retrieval, the placing of shards, BPE and byte windows are held by
 
 from __future__ import annotations
 
-from .mixing import _offset
+import random
+
 from .mixing import SHARE, WEIGHTS
 
+#: The random offset of seed 17, a multiple of 2^-20.
+_OFFSET = random.Random(17).randrange(1, 1 << 20) / (1 << 20)
+
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -20,7 +24,7 @@ t AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target F
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
     row_number() OVER (PARTITION BY d.source ORDER BY length(bin(d.size)) * 32 + floor(d.size / pow(2, greatest(0, length(bin(d.size)) - 5)))::INT, ('0x' || h[1:2])::INT, d.doc_id) AS rn
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target, size * (floor(rn * rate + {_offset(17)!r}::DOUBLE) - floor((rn - 1) * rate + {_offset(17)!r}::DOUBLE))::BIGINT AS taken FROM r
+SELECT doc_id, size::BIGINT AS size, source_size, target, size * (floor(rn * rate + {_OFFSET!r}::DOUBLE) - floor((rn - 1) * rate + {_OFFSET!r}::DOUBLE))::BIGINT AS taken FROM r
 """
 
 _REACH = """reach AS (SELECT id, id AS to_id FROM nodes UNION SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.to_id)"""
