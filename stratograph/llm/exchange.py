@@ -141,9 +141,11 @@ class Block:
 @dataclass
 class Step:
     """What a step left: the table of (block, state, asks), the answers (block, bucket, found),
-    where those lie, how many buckets there are, and the kind of the answers."""
+    where those lie, how many buckets there are, and the kind of the answers.
 
-    table: str
+    Without a table the states are among the answers, with a bucket below 0."""
+
+    table: str | None
     answers: DataFrame
     path: str
     buckets: int
@@ -174,6 +176,7 @@ class Blocks:
         order = ["doc_id", F.xxhash64("data")]
         rows = docs.repartitionByRange(partitions(self.spark), *order).sortWithinPartitions(*order)
         self._save(by_arrow(rows, _pack, "block long, ids binary, ends binary, data binary"), self.name)
+        del rows, docs
         release(self.spark)
 
     def _save(self, rows: DataFrame, name: str) -> None:
@@ -184,14 +187,18 @@ class Blocks:
         empty = F.expr(f"cast(array() as {_REPLY})")
         if before is None:
             return rows.select("*", F.lit(b"").alias("state"), empty.alias("reply"))
+        got = before.answers.repartition(self.buckets, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "found")).alias("got"))
+        if before.table is None:
+            rows = got if rows is None else rows.join(got, "block")
+            return rows.withColumn("state", F.lit(b"")).withColumn("reply", F.col("got")).drop("got")
         state = self.spark.table(before.table).select("block", "state")
         rows = state if rows is None else rows.join(state, "block")
-        got = before.answers.repartition(self.buckets, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "found")).alias("got"))
         return rows.join(got, "block", "left").withColumn("reply", F.coalesce("got", empty)).drop("got")
 
     def map(self, f: Callable[..., Iterator[pa.RecordBatch]], schema: str, before: Step | None = None, text: bool = True) -> DataFrame:
         """f(block, state, reply) -> record batches, over all blocks; without ``text`` a block is its number alone."""
         buckets, kind = (before.buckets, before.kind) if before else (0, None)
+        among = before is not None and before.table is None
 
         def run(batches):
             for batch in batches:
@@ -199,17 +206,33 @@ class Blocks:
                     row = [batch.column(k)[i] for k in range(batch.num_columns)]
                     number = row[0].as_py()
                     block = Block(number, row[1].as_buffer(), row[2].as_buffer(), row[3].as_buffer()) if text else number
-                    yield from f(block, row[-2].as_buffer(), Reply(row[-1].as_py(), buckets, kind))
+                    state, reply = row[-2].as_buffer(), row[-1].as_py()
+                    if among:
+                        state = next(r["found"] for r in reply if r["bucket"] < 0)
+                        reply = [r for r in reply if r["bucket"] >= 0]
+                    yield from f(block, state, Reply(reply, buckets, kind))
 
         return by_arrow(self._rows(text, before), run, schema)
 
-    def step(self, f: Callable[..., tuple[bytes, Questions]], kind: str, density: float, what: str, before: Step | None = None, text: bool = True) -> Step:
+    def step(self, f: Callable[..., tuple[bytes, Questions]], kind: str, density: float, what: str, before: Step | None = None, text: bool = True, saved: bool = True) -> Step:
         """f(block, state, reply) -> (state, questions), and the answers to them of that kind.
 
-        density: bytes of fingerprints expected for a byte of text.  The tables of the step
-        before go once this one's are there."""
+        density: bytes of fingerprints expected for a byte of text.  saved: states and
+        questions are written to a table; else they go straight to the buckets, which suits
+        large questions and small states.  The tables of the step before go once this one's
+        are there."""
         n = int(max(64, -(-self.bytes * density // ROUND_BUCKET)))
 
+        homes = self.buckets
+
+        def straight(block, state, reply):
+            state, asked = f(block, state, reply)
+            buckets, counts, blobs = asked.packed(n)
+            number = block if isinstance(block, int) else block.number
+            buckets, counts = np.append(buckets, -1 - number % homes), np.append(counts, 0)
+            cols = [pa.array(buckets, pa.int32()), pa.array(np.full(len(buckets), number)), pa.array(counts, pa.int32()), pa.array([*blobs, state], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "block", "n", "keys"])
+
         def send(block, state, reply):
             state, asked = f(block, state, reply)
             buckets, counts, blobs = asked.packed(n)
@@ -221,17 +244,23 @@ class Blocks:
         def solve(table: pa.Table) -> pa.Table:
             return _solve(table, kind)
 
-        name = f"{what.replace('-', '_')}_{uuid.uuid4().hex}"
-        self._save(self.map(send, "block long, state binary, asks array<struct<bucket:int,n:int,keys:binary>>", before, text), name)
-        sent = self.spark.table(name).select("block", F.inline("asks"))
+        name = f"{what.replace('-', '_')}_{uuid.uuid4().hex}" if saved else None
+        if saved:
+            self._save(self.map(send, "block long, state binary, asks array<struct<bucket:int,n:int,keys:binary>>", before, text), name)
+            sent = self.spark.table(name).select("block", F.inline("asks"))
+        else:
+            sent = self.map(straight, "bucket int, block long, n int, keys binary", before, text)
         path = scratch(self.spark, what)
         solved = sent.groupBy("bucket").applyInArrow(solve, "block long, bucket int, found binary")
         solved.write.parquet(path)
+        schema = solved.schema
+        del sent, solved
         if before is not None:
-            self.spark.sql(f"DROP TABLE IF EXISTS {before.table}")
+            if before.table is not None:
+                self.spark.sql(f"DROP TABLE IF EXISTS {before.table}")
             drop_path(self.spark, before.path)
         release(self.spark)
-        return Step(name, self.spark.read.schema(solved.schema).parquet(path), path, n, kind)
+        return Step(name, self.spark.read.schema(schema).parquet(path), path, n, kind)
 
 
 def _pack(batches):
@@ -362,6 +391,8 @@ def _solve(table: pa.Table, kind: str) -> pa.Table:
     """Sort one bucket; equal keys are neighbours, in order of block and place.
 
     A name is the number of the key among the bucket's, and a bit that says whether several asked."""
+    if table["bucket"][0].as_py() < 0:  # states on their way to the next step
+        return table.select(["block", "bucket", "keys"]).rename_columns(["block", "bucket", "found"])
     numbers = table["block"].to_numpy()
     order = np.argsort(numbers, kind="stable")
     counts = table["n"].to_numpy()[order].astype(np.int64)

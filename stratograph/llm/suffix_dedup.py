@@ -111,9 +111,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     total = docs.select(F.sum(F.octet_length(col(text_col).cast("string")))).first()[0] or 0
     blocks, plan = Blocks(rows, total), Plan(length)
     share = len(plan.cover) / plan.modulus
-    step = blocks.step(plan.ranked, AGAIN, 5 * share, "cover")
-    step = blocks.step(plan.deep, EARLIER, 3 * share, "deep", step)
-    step = blocks.step(plan.left, EARLIER, 1.0, "suffixes", step)
+    step = blocks.step(plan.ranked, AGAIN, 5 * share, "cover", saved=False)
+    step = blocks.step(plan.deep, EARLIER, 3 * share, "deep", step, saved=False)
+    step = blocks.step(plan.left, EARLIER, 1.0, "suffixes", step, saved=False)
 
     def cut(block: Block, state, reply: Reply):
         settled, open_ = from_state(state)
