@@ -27,8 +27,9 @@ from .exchange import AGAIN, EARLIER, NAMES, Block, Blocks, Hashes, Questions, R
 
 #: Rounds of naming, and symbols of a stretch: together they are longer than a window of 20 words.
 ROUNDS, STRETCH = 3, 24
-#: Where the words that decide on a symbol lie when something unknown decides on it as well.
-NOWHERE = 1 << 30
+#: Where the words that decide on a symbol lie when something unknown decides on it as well,
+#: and how far off they are kept: beyond a window it makes no difference.
+NOWHERE, FAR = 1 << 30, 255
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -78,12 +79,15 @@ class Symbols:
     text: np.ndarray
 
     def kept(self) -> tuple[np.ndarray, ...]:
-        return self.name, np.diff(self.first, prepend=0), self.stop - self.first, self.first - self.from_, self.to - self.stop, np.diff(self.text, prepend=0)
+        before, behind = np.minimum(self.first - self.from_, FAR), np.minimum(self.to - self.stop, FAR)
+        return self.name, np.diff(self.first, prepend=0), self.stop - self.first, before, behind, np.diff(self.text, prepend=0)
 
     @classmethod
     def of(cls, name, first, size, before, behind, text) -> Symbols:
         first = np.cumsum(first)
-        return cls(name.astype(np.uint64), first, first + size, first - before, first + size + behind, np.cumsum(text))
+        from_ = np.where(before < FAR, first - before, -NOWHERE)
+        to = np.where(behind < FAR, first + size + behind, NOWHERE)
+        return cls(name.astype(np.uint64), first, first + size, from_, to, np.cumsum(text))
 
     def only(self, keep: np.ndarray) -> Symbols:
         return Symbols(*[x[keep] for x in (self.name, self.first, self.stop, self.from_, self.to, self.text)])
@@ -181,39 +185,39 @@ class Plan:
     def first(self, block: Block, state, reply: Reply) -> tuple[bytes, Questions]:
         """The first round, over the words that occur more than once."""
         words = Words(block)
-        names, other = (h.levels[0] for h in words.hashes)
-        live = reply.to(Questions(names))
+        live = reply.to(Questions(words.hashes[0].levels[0]))
         at = np.arange(words.n)
         whole = at + self.window <= words.ends[words.text + 1] if words.n else np.zeros(0, bool)
         lone = np.flatnonzero(~live)
         open_ = whole & ~closed(lone, lone + 1, words.n, self.window)
-        symbols = Symbols(names, at, at + 1, at, at + 1, words.text)
-        keep = live & needed(symbols, open_, self.window)
-        symbols = symbols.only(keep)
-        return self._state(symbols, open_, other[keep]), propose(symbols, 1, other[keep]).asked
+        before = np.concatenate([[0], np.cumsum(open_)])
+        keep = live & (before[1:] > before[np.maximum(0, at - self.window + 1)])
+        return kept_state(open_, keep), self._of_words(words, keep).asked  # the words are named again in the next step
 
     @staticmethod
-    def _state(symbols: Symbols, open_: np.ndarray, *other: np.ndarray) -> bytes:
-        return kept_state(open_, *symbols.kept(), *other)
+    def _of_words(words: Words, keep: np.ndarray) -> Proposal:
+        at = np.flatnonzero(keep)
+        names, other = (h.levels[0][at] for h in words.hashes)
+        return propose(Symbols(names, at, at + 1, at, at + 1, words.text[at]), 1, other)
 
-    def _accepted(self, state, reply: Reply, number: int) -> tuple[Symbols, np.ndarray]:
+    def _accepted(self, block, state, reply: Reply, number: int) -> tuple[Symbols, np.ndarray]:
+        """Symbols and open windows after round ``number``, of which the names have come."""
         open_, *arrays = from_state(state)
-        symbols = Symbols.of(*arrays[:6])
-        proposal = propose(symbols, number, arrays[6].astype(np.uint64) if len(arrays) > 6 else None)
+        proposal = self._of_words(Words(block), arrays[0]) if number == 1 else propose(Symbols.of(*arrays), number)
         return accept(proposal, number, reply.to(proposal.asked), open_, self.window)
 
     def round(self, number: int):
         """A step that takes the names of the round before and asks for those of this one."""
 
-        def step(block: int, state, reply: Reply) -> tuple[bytes, Questions]:
-            symbols, open_ = self._accepted(state, reply, number - 1)
-            return self._state(symbols, open_), propose(symbols, number).asked
+        def step(block, state, reply: Reply) -> tuple[bytes, Questions]:
+            symbols, open_ = self._accepted(block, state, reply, number - 1)
+            return kept_state(open_, *symbols.kept()), propose(symbols, number).asked
 
         return step
 
     def stretches(self, block: int, state, reply: Reply) -> tuple[bytes, Questions]:
         """After the last round: STRETCH symbols in a row, from each symbol on."""
-        symbols, open_ = self._accepted(state, reply, ROUNDS)
+        symbols, open_ = self._accepted(block, state, reply, ROUNDS)
         first, stop, asked = self._stretches(symbols)
         return kept_state(open_, symbols.name, np.diff(symbols.first, prepend=0), symbols.stop - symbols.first, np.diff(symbols.text, prepend=0)), asked
 
@@ -260,12 +264,12 @@ def repeated_words(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     )
     total = docs.select(F.sum(F.octet_length(col(text_col).cast("string")))).first()[0] or 0
     blocks, plan = Blocks(rows, total), Plan(window)
-    step = blocks.step(plan.words, AGAIN, 1.0, "words")
-    step = blocks.step(plan.first, NAMES, 0.5, "round-1", step)
+    step = blocks.step(plan.words, AGAIN, 0.3, "words", saved=False)
+    step = blocks.step(plan.first, NAMES, 0.3, "round-1", step, saved=False)
     for k in range(2, ROUNDS + 1):
-        step = blocks.step(plan.round(k), NAMES, 0.5 / k, f"round-{k}", step, text=False)
-    step = blocks.step(plan.stretches, EARLIER, 0.2, "stretches", step, text=False)
-    step = blocks.step(plan.left, EARLIER, 0.3, "windows", step)
+        step = blocks.step(plan.round(k), NAMES, 0.1 / (k - 1), f"round-{k}", step, text=k == 2)
+    step = blocks.step(plan.stretches, EARLIER, 0.1, "stretches", step, text=ROUNDS == 1)
+    step = blocks.step(plan.left, EARLIER, 0.2, "windows", step, saved=False)
 
     def cut(block: Block, state, reply: Reply):
         words = Words(block)
