@@ -60,8 +60,12 @@ def likely_entry_point() -> Column:
     return is_public() | (F.lower("type") == "controller") | F.col("node_id").contains("Main") | F.col("node_id").contains("Entry")
 
 
+#: Types and ends of names that are public.
+PUBLIC_TYPES, PUBLIC_NAMES = ("controller", "service"), "(service|controller|manager)$"
+
+
 def is_public() -> Column:
-    return F.lower("type").isin("controller", "service") | F.lower("name").rlike("(service|controller|manager)$")
+    return F.lower("type").isin(*PUBLIC_TYPES) | F.lower("name").rlike(PUBLIC_NAMES)
 
 
 #: Parts of names of entry points.
