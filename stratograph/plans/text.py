@@ -291,7 +291,12 @@ def x36(spark, sf_dir):
     return references.counted(_docs(spark, sf_dir).withColumnRenamed("doc_id", "id"), names).select(F.col("id").alias("doc_id"), "name", "n")
 
 
-@R.query("x36_reference_places")
+@R.query("x36_reference_places", r"""WITH d AS (SELECT DISTINCT regexp_extract(text, '^[A-Z][a-z]+') AS name FROM benchmark),
+  w AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS ws, string_split_regex(text, '[\p{L}\p{N}_]+') AS seps FROM documents),
+  u AS (SELECT doc_id, unnest(ws) AS name, unnest(seps[1:len(ws)]) AS sep, generate_subscripts(ws, 1) AS i FROM w),
+  o AS (SELECT doc_id, name, sum(length(sep) + length(name)) OVER (PARTITION BY doc_id ORDER BY i) - length(name) AS start FROM u)
+  SELECT o.doc_id AS id, name, start::BIGINT AS "offset", length(name) AS length, regexp_replace(replace(text[greatest(0, start - 20)::BIGINT + 1:(start + 50)::BIGINT], chr(10), ' '), '^\s+|\s+$', '', 'g') AS context
+  FROM o JOIN d USING (name) JOIN documents ON documents.doc_id = o.doc_id WHERE length(name) > 2""")
 def x36_places(spark, sf_dir):
     """Offset, length and context of each reference."""
     from ..operators import references
