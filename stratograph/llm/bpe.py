@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import unicodedata
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +18,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LETTER, _NUMBER, _SPACE, _OTHER, _ODD = 1, 2, 3, 4, 5
 _LIMIT = 0x250
-#: Bytes of text handled at a time; known words, their bytes and their ids, beyond any of
-#: which the table starts anew.
-PIECE, MOST_WORDS, MOST_BYTES, MOST_IDS = 1 << 18, 1 << 19, 1 << 25, 1 << 22
+#: Bytes of text handled at a time; ids of known words, and number and bytes of long known
+#: words, beyond any of which all are forgotten.
+PIECE, MOST_IDS, MOST_WORDS, MOST_BYTES = 1 << 18, 1 << 24, 1 << 17, 1 << 25
 #: Slots, as a power of two, of the table of words of 16 bytes at most, which are compared as two numbers.
-SLOT_BITS = 18
+SLOT_BITS = 21
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
@@ -59,11 +58,10 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}  # a word's number; its ids lie in the pool
-        self.count, self.place = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.bytes = np.zeros(0, np.int32), 0
-        self.one, self.two = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint64)
-        self.size, self.number = np.zeros(1 << SLOT_BITS, np.int64), np.zeros(1 << SLOT_BITS, np.int64)
+        # a row: the word as two numbers; its size, its number of ids and their place in the pool
+        self.table = np.zeros((1 << SLOT_BITS, 3), np.uint64)
+        self.known: dict[bytes, tuple[int, int]] = {}  # the same for longer words
+        self.pool, self.used, self.bytes = np.empty(1 << 16, np.int32), 0, 0
 
     def pieces(self, texts: pa.StringArray):
         """(first, number) of runs of rows of about PIECE bytes."""
@@ -108,7 +106,7 @@ class Encoder:
             out[step + skipped[word]] = self.pool[step + (where - before)[word]]
         for i, ids in whole.items():
             out[offsets[i] : offsets[i + 1] - 1] = ids
-        if len(self.known) > MOST_WORDS or self.bytes > MOST_BYTES or len(self.pool) > MOST_IDS:
+        if self.used > MOST_IDS or len(self.known) > MOST_WORDS or self.bytes > MOST_BYTES:
             self._forget()
         return out, offsets
 
@@ -159,27 +157,31 @@ class Encoder:
         two = eights[np.minimum(first + 8, len(data))] & _MASKS[np.clip(size - 8, 0, 8)]
         slot = (((one * _FACTOR) ^ two ^ size.astype(np.uint64)) * _FACTOR) >> np.uint64(64 - SLOT_BITS)
         slot = slot.astype(np.int64)
-        at = np.where((self.one[slot] == one) & (self.two[slot] == two) & (self.size[slot] == size), self.number[slot], -1)
-        rest = np.flatnonzero(at < 0)
+        row = self.table[slot]
+        what = row[:, 2]
+        hit = (row[:, 0] == one) & (row[:, 1] == two) & ((what >> np.uint64(48)).astype(np.int64) == size)
+        count, place = ((what >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.int64), (what & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        rest = np.flatnonzero(~hit)
         if not len(rest):
-            return self.count[at], self.place[at]
+            return count, place
         text = data.tobytes()
         words = [text[a:b] for a, b in zip(first[rest].tolist(), stop[rest].tolist())]
-        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            lost = [words[i] for i in missing.tolist()]
-            new = list(dict.fromkeys(lost))
-            ids = [x.ids for x in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.place = np.concatenate([self.place, len(self.pool) + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.int32, int(count.sum()))])
-            self.bytes += sum(map(len, new))
-            found[missing] = np.fromiter(map(self.known.__getitem__, lost), np.int64, len(lost))
-        at[rest] = found
-        rest = rest[size[rest] <= 16]
-        put = slot[rest]
-        self.one[put], self.two[put], self.size[put], self.number[put] = one[rest], two[rest], size[rest], at[rest]
-        return self.count[at], self.place[at]
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        ids = [x.ids for x in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+        many = np.fromiter(map(len, ids), np.int64, len(ids))
+        need = self.used + int(many.sum())
+        if need > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(max(need, len(self.pool)), np.int32)])
+        self.pool[self.used : need] = np.fromiter((i for x in ids for i in x), np.int32, need - self.used)
+        where = dict(zip(new, zip((self.used + np.cumsum(many) - many).tolist(), many.tolist())))
+        self.used = need
+        found = np.array([where.get(w) or self.known[w] for w in words], np.int64).reshape(-1, 2)
+        place[rest], count[rest] = found[:, 0], found[:, 1]
+        long = [w for w in new if len(w) > 16]
+        self.known.update((w, where[w]) for w in long)
+        self.bytes += sum(map(len, long))
+        put = rest[size[rest] <= 16]
+        at = slot[put]
+        self.table[at, 0], self.table[at, 1] = one[put], two[put]
+        self.table[at, 2] = (size[put] << 48 | count[put] << 32 | place[put]).astype(np.uint64)
+        return count, place
