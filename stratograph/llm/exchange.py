@@ -503,30 +503,43 @@ def spans(mask: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row, first - ends[row], stop - ends[row]
 
 
+def _slice(x: np.ndarray) -> bytes:
+    some = np.flatnonzero(x)
+    return kept_state(np.diff(some, prepend=0), x[some]) if 3 * len(some) < len(x) else kept_state(x)
+
+
+def _whole(arrays: list[np.ndarray], width: int, kind: str) -> np.ndarray:
+    out = np.zeros(width, kind)
+    *places, numbers = arrays
+    out[np.cumsum(places[0]) if places else slice(None)] = numbers.astype(kind)
+    return out
+
+
 def summed(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], length: int, kind: str) -> np.ndarray:
     """The sum over all partitions of count(batches), a vector of ``length`` numbers of ``kind``.
 
-    Partitions send slices, their numbers in the fewest bytes that hold them, that are added
-    in two steps, so what one task adds up is bounded by 1/64 of the partitions' slices; the
-    driver gets the one sum."""
+    Partitions send slices, of sparse ones only what is not 0, numbers in the fewest bytes
+    that hold them, so what they send grows with what they count.  Slices are added in two
+    steps, so what one task adds up is bounded by 1/64 of the partitions' slices; the driver
+    gets the one sum."""
     width = -(-length // SLICES)
 
     def send(batches):
         total = np.zeros(width * SLICES, kind)
         total[:length] = count(batches)
         at = [TaskContext.get().partitionId() % 64] * SLICES
-        parts = [kept_state(total[i * width : (i + 1) * width]) for i in range(SLICES)]
+        parts = [_slice(total[i * width : (i + 1) * width]) for i in range(SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(at, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "part", "total"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(width, kind)
         for x in table["total"]:
-            total += from_state(x.as_buffer())[0].astype(kind)
-        return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "total": pa.array([kept_state(total)], pa.binary())})
+            total += _whole(from_state(x.as_buffer()), width, kind)
+        return pa.table({"slice": table["slice"][:1], "part": table["part"][:1], "total": pa.array([_slice(total)], pa.binary())})
 
     schema = "slice int, part int, total binary"
     parts = by_arrow(rows, send, schema).groupBy("slice", "part").applyInArrow(add, schema)
     found = parts.groupBy("slice").applyInArrow(add, schema).orderBy("slice").toArrow()
     if not found.num_rows:
         return np.zeros(length, kind)
-    return np.concatenate([from_state(x.as_buffer())[0].astype(kind) for x in found["total"]])[:length]
+    return np.concatenate([_whole(from_state(x.as_buffer()), width, kind) for x in found["total"]])[:length]

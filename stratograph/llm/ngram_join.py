@@ -287,9 +287,11 @@ def link_documents(
     release(spark)
     labelled = labelled.withColumn("band", band)  # similar sets are in one band of sizes or in neighbouring ones
     x = labelled.select("token", "band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("lo").alias("la"), F.col("hi").alias("ha"), F.col("size").alias("sa"))
-    y = labelled.select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.col("size").alias("sb"))
+    beside = F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("same")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("same"))))
+    y = labelled.withColumn("at", beside).select("token", "at.band", "at.same", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"), F.col("size").alias("sb"))
     apart = F.least("la", "lb") != F.greatest("ha", "hb")
-    leading = x.join(y, ["token", "band"]).filter((F.col("a") < F.col("b")) & apart & near("a", "b")).select("a", "b", ((F.col("sa") > 1) | (F.col("sb") > 1)).alias("more")).distinct()
+    leading = x.join(y, ["token", "band"]).filter((~F.col("same") | (F.col("a") < F.col("b"))) & apart & near("a", "b"))
+    leading = leading.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), ((F.col("sa") > 1) | (F.col("sb") > 1)).alias("more")).distinct()
     # a pair tried in vain says nothing of the groups' other members
     leading = leading.join(tried.withColumn("tried", F.lit(True)), ["a", "b"], "left").filter("tried is null or more").select("a", "b")
     leading = promising(leading, "rest")
