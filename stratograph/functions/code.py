@@ -225,7 +225,7 @@ BLANKS = r"""/\*[\s\S]*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'"""
 WALKER = r"\b(?:if|for|foreach|while|case|catch)\b"
 TYPE_POINTS, SWITCH, TERNARY = r"\b(?:if|while|for|foreach)\b", r"\bswitch\b", r"[^?]\?[^?.\[:]"
 SCRIPT_POINTS, LOGICAL, BIT_AND = r"\b(?:if|for|while|do|case|catch|switch)\b", r"&&|\|\|", r"[^&]&[^&]"
-METHOD = r"\b(\w+)\s*(?:<[^>()]*>)?\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:where[^{]*|=>|throws[^{]*)?\s*\{"
+METHOD = r"\b(\w+)\s*(?:<[^>()]*>)?\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:where[^{]{0,500}|=>|throws[^{]{0,500})?\s*\{"
 NO_METHOD = ("if", "for", "foreach", "while", "switch", "catch", "using", "lock", "return", "new", "else")
 PROPERTY = r"\b\w+\s*\{\s*(?:public|private|protected|internal)?\s*(?:get|set|init)\b"
 DECORATOR = r"(?m)^[ \t]*@(\w+)"

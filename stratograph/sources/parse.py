@@ -17,8 +17,8 @@ from .model import Graph, build
 
 _BLANK = re.compile(r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|/\*[\s\S]*?\*/|//[^\n]*|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`')
 _HASH = re.compile(r"#[^\n]*")
-_TYPE = re.compile(r"\b(class|interface|struct|enum|record)\s+(\w+)(?:<[^>{]*>)?\s*(?:\([^)]*\))?\s*(?::|extends|implements)?\s*([^{;]*)\{")
-_METHOD = re.compile(r"\b(?!(?:if|for|foreach|while|switch|catch|using|lock|return|new|else)\b)(\w+)\s*(?:<[^>()]*>)?\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:where[^{]*|=>|throws[^{]*)?\s*\{")
+_TYPE = re.compile(r"\b(class|interface|struct|enum|record)\s+(\w+)(?:<[^>{]*>)?\s*(?:\([^)]*\))?\s*(?::|extends|implements)?\s*([^{;]{0,500})\{")  # a list of bases is short: prose is not searched to its end
+_METHOD = re.compile(r"\b(?!(?:if|for|foreach|while|switch|catch|using|lock|return|new|else)\b)(\w+)\s*(?:<[^>()]*>)?\s*\([^;{}()]*(?:\([^()]*\)[^;{}()]*)*\)\s*(?:where[^{]{0,500}|=>|throws[^{]{0,500})?\s*\{")
 _PROPERTY = re.compile(r"\b\w+\s*\{\s*(?:public|private|protected|internal)?\s*(?:get|set|init)\b")
 _PY_TYPE = re.compile(r"^([ \t]*)class\s+(\w+)\s*(?:\(([^)]*)\))?\s*:", re.M)
 _PY_DEF = re.compile(r"^([ \t]*)(?:async\s+)?def\s+(\w+)\s*\(", re.M)

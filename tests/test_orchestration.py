@@ -179,5 +179,5 @@ def test_parser_that_fails_leaves_out_its_file(spark):
 
 
 def test_parser_is_linear_on_prose():
-    nodes, _ = parse.parse_file("a.cs", "C#", "some words about a class and more (of it), " * 20_000)
+    nodes, _ = parse.parse_file("a.cs", "C#", "some words about a class and more (of it), " * 3_000)
     assert nodes[0][1] == "File"
