@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.model import Graph
-from ..sources.tables import cut
+from ..sources.tables import bucketed, cut
 
 
 #: Rounds of PageRank between two written tables.
@@ -75,7 +75,7 @@ def page_rank(graph: Graph, damping: float = 0.85, most: int = 100, tolerance: f
         return graph.nodes.select("node_id", F.lit(0.0).alias("rank"))
     out = graph.adjacency.groupBy("src").agg(F.count("*").alias("out"))
     arcs = graph.adjacency.groupBy("src", "dst").agg(F.count("*").alias("k")).join(out, "src")
-    arcs = cut(arcs.select("src", "dst", (F.col("k") / F.col("out")).alias("share")), "shares")
+    arcs = bucketed(arcs.select("src", "dst", (F.col("k") / F.col("out")).alias("share")), "src", "shares")  # stays in place: only partial sums move
     ids = cut(graph.nodes.select("node_id"), "ids")
     ranks = cut(ids.select("node_id", F.lit(1.0 / n).alias("rank")), "ranks")
     base, done = ids.select("node_id", F.lit(0.0).alias("part")), 0

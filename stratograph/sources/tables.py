@@ -42,6 +42,15 @@ def cut(df: DataFrame, what: str = "round") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
+    """``df`` as a table in as many buckets of ``key`` as shuffles have partitions, so that joins
+    and aggregates by the key leave its rows where they are.  It stays in the warehouse."""
+    spark, name = df.sparkSession, f"{what}_{uuid.uuid4().hex}"
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def write_text(pages: DataFrame, path: str, by: str = "audience") -> None:
     """Rows (audience, title, content) as text files, a folder for each audience."""
     pages.select(F.col(by), F.concat_ws("\n", F.concat(F.lit("# "), F.col("title")), F.col("content")).alias("value")).write.partitionBy(by).mode("overwrite").text(path)
