@@ -68,3 +68,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(upto) FILTER (role = 'assistant' OR i = n)::BIGINT AS formatted_chars FROM c GROUP BY conv_id
 """
+
+HISTORY = """
+WITH c AS (SELECT doc_id, source, j, ('0x' || sha256(doc_id::VARCHAR || ':' || j::VARCHAR)[1:12])::BIGINT AS h FROM documents, (VALUES (0), (1)) t(j) WHERE doc_id IS NOT NULL),
+e AS (SELECT doc_id - doc_id % 10 AS k, h % 60 AS s, (h // 1000) % 10 BETWEEN 2 AND 4 AS late, (h // 1000) % 10 < 2 AS gone, source AS v, row_number() OVER (ORDER BY h, doc_id, j, source NULLS FIRST) AS n FROM c),
+p AS (SELECT k, d, max(n) FILTER (WHERE late AND d BETWEEN s AND s + 9) AS cn, max(s * 1000000000000 + n) FILTER (WHERE NOT late AND s <= d) % 1000000000000 AS bn
+  FROM e, (SELECT unnest(range(80)) AS d) GROUP BY k, d),
+q AS (SELECT p.k, d, v FROM p JOIN e ON e.n = coalesce(cn, bn) WHERE NOT gone),
+r AS (SELECT *, sum(CASE WHEN d - 1 = pd AND v IS NOT DISTINCT FROM pv THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY d) AS version
+  FROM (SELECT *, lag(d) OVER w AS pd, lag(v) OVER w AS pv FROM q WINDOW w AS (PARTITION BY k ORDER BY d)))
+SELECT k AS doc_id, version::INT AS version, min(d) AS valid_from, CASE WHEN max(d) < 79 THEN max(d) + 1 END AS valid_to, any_value(v) AS value FROM r GROUP BY k, version
+"""
