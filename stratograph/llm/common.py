@@ -6,6 +6,7 @@ import ctypes
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,33 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@dataclass(frozen=True)
+class Bucketed:
+    """A table of ``bucketed``: its rows, and how to delete it once no later plan reads it."""
+
+    rows: DataFrame
+    name: str
+    path: str
+
+    def drop(self) -> None:
+        spark = self.rows.sparkSession
+        spark.sql(f"DROP TABLE {self.name}")
+        drop_path(spark, self.path)
+
+
+def bucketed(df: DataFrame, key: str, what: str, dealt: bool = False) -> Bucketed:
+    """``df`` as a table in the shared folder, in as many buckets of ``key`` as shuffles have partitions.
+
+    Joins of such tables by the key move no rows.  ``dealt``: the rows come from such a join and
+    lie in their buckets already, so they are not shuffled first."""
+    spark, n = df.sparkSession, partitions(df.sparkSession)
+    name = f"{what}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    rows = df if dealt else df.repartition(n, key)
+    rows.write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(name)
+    return Bucketed(spark.table(name), name, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later plan reads."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

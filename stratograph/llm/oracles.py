@@ -79,3 +79,21 @@ r AS (SELECT *, sum(CASE WHEN d - 1 = pd AND v IS NOT DISTINCT FROM pv THEN 0 EL
   FROM (SELECT *, lag(d) OVER w AS pd, lag(v) OVER w AS pv FROM q WINDOW w AS (PARTITION BY k ORDER BY d)))
 SELECT k AS doc_id, version::INT AS version, min(d) AS valid_from, CASE WHEN max(d) < 79 THEN max(d) + 1 END AS valid_to, any_value(v) AS value FROM r GROUP BY k, version
 """
+
+
+def _lloyd(k: int, rounds: int, dim: int, scale: int) -> str:
+    """Rounds of Lloyd, every vector compared with every centroid."""
+    finite = "len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+    out = [f"v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(v, lambda x: floor({scale} * x)::BIGINT) AS x FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) WHERE len(v) = {dim} AND {finite})"]
+    out.append(f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id::VARCHAR), x) - 1 AS c, x AS y FROM v QUALIFY c < {k})")
+    for i in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+        out.append(f"a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, min((d, c)) AS near FROM (SELECT r, vec_id, c, {far} AS d FROM v, c{i}) GROUP BY r)")
+        if i < rounds:
+            mean = f"m{i} AS MATERIALIZED (SELECT c, list(m ORDER BY p) AS y FROM (SELECT near[2] AS c, p, sum(x[p]) // count(*) - CASE WHEN sum(x[p]) % count(*) < 0 THEN 1 ELSE 0 END AS m FROM a{i} JOIN v USING (r), (SELECT unnest(range(1, {dim + 1})) AS p) GROUP BY 1, 2) GROUP BY c)"
+            out += [mean, f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m{i}.y, c{i}.y) AS y FROM c{i} LEFT JOIN m{i} USING (c))"]
+    last = f"SELECT vec_id, c::INT AS cluster, near[1] AS distance, sum(near[1]) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(near[1]) OVER ()::BIGINT AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c = near[2]"
+    return f"WITH {', '.join(out)} {last}"
+
+
+CENTROIDS = _lloyd(16, 3, 64, 64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, dimension_history, embedding_dedup, language_id, mixing, ngram_join, oracles, sharding, substring_dedup, suffix_dedup, token_output
+from . import centroid_clustering, chat_format, decontamination, dimension_history, embedding_dedup, language_id, mixing, ngram_join, oracles, sharding, substring_dedup, suffix_dedup, token_output
 
 #: The tokenizer file; a parameter of the operator, never copied here.
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,6 +63,10 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.format_conversations(turns.unionByName(extra))
 
 
+def op11_centroid_clustering(spark, sf_dir):
+    return centroid_clustering.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_dimension_history(spark, sf_dir):
     return dimension_history.document_history(_table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_output": op9_token_output,
     "op10_chat_format": op10_chat_format,
+    "op11_centroid_clustering": op11_centroid_clustering,
     "op12_dimension_history": op12_dimension_history,
 }
 
@@ -87,5 +92,6 @@ ORACLE: dict[str, str] = {
     "op3_embedding_dedup": oracles.EMBEDDINGS,
     "op8_substring_dedup": oracles.SUBSTRINGS,
     "op10_chat_format": oracles.CHAT,
+    "op11_centroid_clustering": oracles.CENTROIDS,
     "op12_dimension_history": oracles.HISTORY,
 }
