@@ -97,3 +97,10 @@ def _lloyd(k: int, rounds: int, dim: int, scale: int) -> str:
 
 
 CENTROIDS = _lloyd(16, 3, 64, 64)
+
+SEARCH = """
+WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(v, lambda x: floor(1024 * x)) AS x FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+  WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.r ORDER BY list_inner_product(q.x, c.x) DESC, c.vec_id)::INT AS rank, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.x) = len(c.x) QUALIFY rank <= 10
+"""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import centroid_clustering, chat_format, decontamination, dimension_history, embedding_dedup, language_id, mixing, ngram_join, oracles, sharding, substring_dedup, suffix_dedup, token_output
+from . import centroid_clustering, chat_format, decontamination, dimension_history, embedding_dedup, exact_search, language_id, mixing, ngram_join, oracles, sharding, substring_dedup, suffix_dedup, token_output
 
 #: The tokenizer file; a parameter of the operator, never copied here.
 TOKENIZER = "byte_bpe_50k.json"
@@ -71,6 +72,10 @@ def op12_dimension_history(spark, sf_dir):
     return dimension_history.document_history(_table(spark, sf_dir, "documents"))
 
 
+def op13_exact_search(spark, sf_dir):
+    return exact_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_ngram_join": op2_ngram_join,
@@ -84,6 +89,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_dimension_history": op12_dimension_history,
+    "op13_exact_search": op13_exact_search,
 }
 
 ORACLE: dict[str, str] = {
@@ -94,4 +100,5 @@ ORACLE: dict[str, str] = {
     "op10_chat_format": oracles.CHAT,
     "op11_centroid_clustering": oracles.CENTROIDS,
     "op12_dimension_history": oracles.HISTORY,
+    "op13_exact_search": oracles.SEARCH,
 }
