@@ -10,7 +10,7 @@ from ..registry import Registry
 from ..sources import model, parse, stores, tables
 from ..sources.tables import scratch, table
 from ..streaming import events as streams
-from .bindings import on_graph
+from .bindings import OCCURRENCES, names, on_graph
 from .text import _count, _on, _q, _texts
 
 R = Registry()
@@ -140,14 +140,13 @@ def x44(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", *[F.array_join(F.regexp_extract_all(t, F.lit(p), F.lit(1)), ",").alias(k) for k, p in found.items()])
 
 
-@R.query("j09_dictionary_links", """WITH w AS (SELECT DISTINCT regexp_extract(text, '^[A-Z][a-z]+') AS name FROM benchmark), d AS (SELECT name, lower(name) || '.md' AS target FROM w WHERE length(name) > 2)
-  SELECT doc_id, target, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+')) AS name FROM documents) JOIN d USING (name) GROUP BY ALL""")
+@R.query("j09_dictionary_links", f"WITH {OCCURRENCES} SELECT doc_id, lower(name) || '.md' AS target, count(*) AS n FROM occurrences GROUP BY ALL")
 def j09(spark, sf_dir):
     """Pages that each text refers to by a name of the dictionary."""
-    names = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", "^[A-Z][a-z]+", 0).alias("name")).filter("length(name) > 2").distinct()
-    found = references.counted(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")), names)
-    links = names.select("name", F.concat(F.lower("name"), F.lit(".md")).alias("target"))
-    return found.join(links, "name").select(F.col("id").alias("doc_id"), "target", "n")
+    known = names(spark, sf_dir).select("name").distinct()
+    found = references.counted(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")), known)
+    links = known.select("name", F.concat(F.lower("name"), F.lit(".md")).alias("target"))
+    return found.join(links, "name").groupBy(F.col("id").alias("doc_id"), "target").agg(F.sum("n").alias("n"))
 
 
 # stores and orchestration

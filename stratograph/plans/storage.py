@@ -13,7 +13,7 @@ from ..registry import Registry
 from ..sources import model
 from ..sources.tables import scratch, table
 from ..streaming import events as streams
-from .bindings import on_graph
+from .bindings import OCCURRENCES, names, on_graph
 
 R = Registry()
 
@@ -93,13 +93,13 @@ def g06(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").select(a.alias("src"), b.alias("dst"), dependency_weight(a % 2 == b % 2, F.lit(3)).cast("double").alias("weight")).distinct()
 
 
-@R.query("j03_text_references", """WITH n AS (SELECT item_id, regexp_extract(text, '^[\\p{L}]+') AS name FROM benchmark)
-  SELECT doc_id AS src, 'b' || item_id AS dst, least(count(*), 10)::DOUBLE AS strength FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}]+')) AS name FROM documents) JOIN n USING (name) GROUP BY ALL""")
+@R.query("j03_text_references", f"WITH {OCCURRENCES} SELECT doc_id AS src, 'b' || item_id AS dst, name, least(count(*), 10)::DOUBLE AS strength FROM occurrences JOIN names USING (name) GROUP BY ALL")
 def j03(spark, sf_dir):
-    """References of texts to names, ten at most, by words instead of patterns."""
-    names = t(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), F.regexp_extract("text", r"^[\p{L}]+", 0).alias("name"), F.lit("Class").alias("type"))
+    """References of texts to names of any shape, ten at most."""
+    found = names(spark, sf_dir).select(F.concat(F.lit("b"), "item_id", F.lit("/"), "name").alias("id"), "name", F.lit("Class").alias("type"))
     texts = t(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("t"))
-    return references.strengths(texts, names).select(F.substring("src", 2, 20).cast("long").alias("src"), "dst", "strength")
+    parts = F.split("dst", "/")
+    return references.strengths(texts, found).select(F.substring("src", 2, 20).cast("long").alias("src"), parts[0].alias("dst"), parts[1].alias("name"), "strength")
 
 
 @R.query("j04_import_to_file", """SELECT d AS dependency, min(f) AS target FROM (SELECT DISTINCT regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS d FROM part), (SELECT DISTINCT p_name || '/' || split_part(p_name, ' ', 1) || '.py' AS f, lower(split_part(p_name, ' ', 1)) AS s FROM part)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code, prose
+from ..operators import references
 from ..registry import Registry
 from ..sources import model
 from ..sources.tables import table
-from .bindings import on_graph
+from .bindings import OCCURRENCES, names, on_graph
 
 R = Registry()
 
@@ -281,28 +282,18 @@ def x35(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", prose.first_paragraph(F.col("t")).alias("summary"))
 
 
-@R.query("x36_cross_references", """WITH w AS (SELECT item_id, regexp_extract(text, '^[A-Z][a-z]+') AS name FROM benchmark), d AS (SELECT DISTINCT name FROM w WHERE length(name) > 2)
-  SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}_]+')) AS name FROM documents) JOIN d USING (name) GROUP BY ALL""")
+@R.query("x36_cross_references", f"WITH {OCCURRENCES} SELECT doc_id, name, count(*) AS n FROM occurrences GROUP BY ALL")
 def x36(spark, sf_dir):
-    """How often each name of a dictionary occurs in each text, as a whole word."""
-    from ..operators import references
+    """How often each name of a dictionary, of one word or several, occurs in each text."""
+    found = references.counted(_docs(spark, sf_dir).withColumnRenamed("doc_id", "id"), names(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "name", "n")
 
-    names = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", "^[A-Z][a-z]+", 0).alias("name")).filter("length(name) > 2").distinct()
-    return references.counted(_docs(spark, sf_dir).withColumnRenamed("doc_id", "id"), names).select(F.col("id").alias("doc_id"), "name", "n")
 
-
-@R.query("x36_reference_places", r"""WITH d AS (SELECT DISTINCT regexp_extract(text, '^[A-Z][a-z]+') AS name FROM benchmark),
-  w AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+') AS ws, string_split_regex(text, '[\p{L}\p{N}_]+') AS seps FROM documents),
-  u AS (SELECT doc_id, unnest(ws) AS name, unnest(seps[1:len(ws)]) AS sep, generate_subscripts(ws, 1) AS i FROM w),
-  o AS (SELECT doc_id, name, sum(length(sep) + length(name)) OVER (PARTITION BY doc_id ORDER BY i) - length(name) AS start FROM u)
-  SELECT o.doc_id AS id, name, start::BIGINT AS "offset", length(name) AS length, regexp_replace(replace(text[greatest(0, start - 20)::BIGINT + 1:(start + 50)::BIGINT], chr(10), ' '), '^\s+|\s+$', '', 'g') AS context
-  FROM o JOIN d USING (name) JOIN documents ON documents.doc_id = o.doc_id WHERE length(name) > 2""")
+@R.query("x36_reference_places", rf"""WITH {OCCURRENCES} SELECT doc_id AS id, name, start AS "offset", length(name) AS length,
+  regexp_replace(replace(text[greatest(0, start - 20) + 1:start + 50], chr(10), ' '), '^\s+|\s+$', '', 'g') AS context FROM occurrences JOIN documents USING (doc_id)""")
 def x36_places(spark, sf_dir):
     """Offset, length and context of each reference."""
-    from ..operators import references
-
-    names = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", "^[A-Z][a-z]+", 0).alias("name")).filter("length(name) > 2").distinct()
-    return references.places(_docs(spark, sf_dir).withColumnRenamed("doc_id", "id"), names)
+    return references.places(_docs(spark, sf_dir).withColumnRenamed("doc_id", "id"), names(spark, sf_dir))
 
 
 def _linked(name: str, target: str) -> str:
@@ -314,11 +305,33 @@ def _linked(name: str, target: str) -> str:
 @R.query("x37_enriched_links", _on(_linked("User", "u.md") + "(" + _linked("Redis", "redis.md") + "(" + _linked("UserService", "user.md") + "tx)))))"))
 def x37(spark, sf_dir):
     """Names as links, the longest first, bracketed ones left alone."""
-    from ..operators import references
-
     return _texts(spark, sf_dir).select("doc_id", references.linked(F.col("t"), {"UserService": "user.md", "User": "u.md", "Redis": "redis.md"}).alias("t"))
 
 
+def _decided(rounds: int) -> str:
+    """Which occurrences become links: a round keeps those whose betters are all dropped and drops those in a kept one's way."""
+    out = ["s0 AS MATERIALIZED (SELECT doc_id, n, NULL::BOOLEAN AS kept FROM free)"]
+    for i in range(rounds):
+        kept = "CASE WHEN any_value(s.kept) IS NOT NULL THEN any_value(s.kept) WHEN bool_or(coalesce(h.kept, false)) THEN false WHEN bool_and(h.n IS NULL OR coalesce(NOT h.kept, false)) THEN true END"
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT s.doc_id, s.n, {kept} AS kept FROM s{i} s LEFT JOIN clash c ON c.doc_id = s.doc_id AND c.b = s.n LEFT JOIN s{i} h ON h.doc_id = c.doc_id AND h.n = c.a GROUP BY s.doc_id, s.n)")
+    return ", ".join(out)
+
+
+@R.query("x37_links_from_a_table", rf"""WITH {OCCURRENCES},
+  free AS MATERIALIZED (SELECT doc_id, name, start, start + length(name) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY length(name) DESC, name, start) AS n FROM occurrences JOIN documents USING (doc_id)
+    WHERE text[start:start] <> '[' AND text[start + length(name) + 1:start + length(name) + 1] <> ']'),
+  clash AS MATERIALIZED (SELECT a.doc_id, a.n AS a, b.n AS b FROM (SELECT *, unnest(range(start, stop)) AS c FROM free) a JOIN (SELECT *, unnest(range(start, stop)) AS c FROM free) b ON a.doc_id = b.doc_id AND a.c = b.c AND a.n < b.n GROUP BY ALL),
+  {_decided(8)},
+  kept AS (SELECT doc_id, name, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM free JOIN s8 USING (doc_id, n) WHERE kept),
+  done AS (SELECT doc_id, string_agg(text[before + 1:start] || '[' || name || '](' || lower(replace(name, ' ', '-')) || '.md)', '' ORDER BY start) AS t, max(stop) AS stop FROM kept JOIN documents USING (doc_id) GROUP BY doc_id)
+  SELECT doc_id, CASE WHEN t IS NULL THEN text ELSE t || text[stop + 1:] END AS t FROM documents LEFT JOIN done USING (doc_id)""")
+def x37_table(spark, sf_dir):
+    """Names of a table, of one word or several, as links in every text."""
+    found = names(spark, sf_dir).select("name").distinct()
+    links = found.select("name", F.concat(F.lower(F.replace("name", F.lit(" "), F.lit("-"))), F.lit(".md")).alias("target"))
+    return references.enriched(_docs(spark, sf_dir).withColumnRenamed("doc_id", "id"), links).select(F.col("id").alias("doc_id"), "t")
+
+
 @R.query("x38_clean_page", _on("""SELECT doc_id, '# Title' || chr(10) || chr(10) || trim(array_to_string(list_filter(string_split(t, chr(10)), lambda x: lower(trim(regexp_replace(x, '^\\s*#\\s*', ''))) <> 'title'), chr(10))) AS t
   FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(trim(t), '^```markdown[\\r\\n]*', ''), '\\s*```$', ''), '(?is)<details>\\s*<summary>\\s*Relevant source files\\s*</summary>.*?</details>', '', 'g')) AS t FROM tx)"""))
 def x38(spark, sf_dir):
