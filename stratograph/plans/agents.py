@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code, prose
-from ..operators import agents, references, retrieval
+from ..operators import agents, references, retrieval, syntax
 from ..registry import Registry
 from ..sources import model, parse, stores, tables
 from ..sources.tables import scratch, table
@@ -109,6 +109,66 @@ def u02(spark, sf_dir):
     return nodes.select("file_path", F.col("complexity").cast("long").alias("complexity"))
 
 
+def _sources(spark, sf_dir):
+    """Every whole text and its snippet as a file of one of three languages."""
+    i = F.pmod("doc_id", F.lit(3)).cast("int")
+    pick = lambda *words: F.get(F.array(*map(F.lit, words)), i)
+    path = F.concat(F.lit("src/"), "doc_id", F.lit("."), pick("cs", "js", "java"))
+    return _texts(spark, sf_dir).select(path.alias("path"), pick("C#", "JavaScript", "Java").alias("language"), F.col("t").alias("content"))
+
+
+def _of(list_: str, *words: str) -> str:
+    return f"len(list_filter({list_}, lambda x: x IN ({', '.join(map(_q, words))})))"
+
+
+_NOT = ", ".join(map(_q, syntax.CONTROL))
+_RUN = "PARTITION BY path ORDER BY"
+#: Statements s, types y with their spans, members m with theirs, by joins on spans.
+_SYNTAX = (
+    "f AS (SELECT 'src/' || doc_id || '.' || (['cs', 'js', 'java'])[doc_id % 3 + 1] AS path, (['C#', 'JavaScript', 'Java'])[doc_id % 3 + 1] AS language, t FROM tx)",
+    f"k AS (SELECT path, language, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM (SELECT path, language, regexp_extract_all(t, {_q(syntax.DIRECTIVES)}) AS w FROM f WHERE language = 'C#' UNION ALL SELECT path, language, regexp_extract_all(t, {_q(syntax.BRACES)}) FROM f WHERE language <> 'C#'))",
+    f"l AS (SELECT *, 1 + coalesce(sum(length(tok) - length(replace(tok, chr(10), ''))) OVER ({_RUN} i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM k)",
+    f"n AS (SELECT *, sum((tok = '{{')::INT - (tok = '}}')::INT) OVER w AS level, sum((tok = '(')::INT - (tok = ')')::INT) OVER w AS depth FROM l WHERE tok <> chr(10) AND NOT regexp_matches(tok, {_q(syntax.COMMENT)}) WINDOW w AS ({_RUN} i))",
+    "o AS (SELECT *, tok IN ('{', '}') OR (tok = ';' AND depth <= coalesce(last_value(CASE WHEN tok = '{' THEN depth END IGNORE NULLS) OVER (PARTITION BY path, level ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)) AS b FROM n)",
+    f"p AS (SELECT *, coalesce(sum(b::INT) OVER ({_RUN} i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seq FROM o)",
+    rf"""q AS (SELECT path, language, seq, coalesce(string_agg(CASE WHEN NOT b THEN CASE WHEN regexp_matches(tok, {_q(syntax.STRING)}) THEN '""' ELSE tok END END, ' ' ORDER BY i), '') AS head, coalesce(max(CASE WHEN b THEN tok END), '') AS ends, min(line) AS line, max(line) AS last_line FROM p GROUP BY ALL)""",
+    f"r AS (SELECT *, regexp_replace(head, {_q(syntax.ATTRIBUTES)}, '') AS bare, string_split(head, ' ') AS words, sum(CASE ends WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER ({_RUN} seq) AS level, lead(head) OVER ({_RUN} seq) AS following, max(seq) OVER (PARTITION BY path) AS top FROM q)",
+    "s AS (SELECT r.*, CASE WHEN ends = '{' THEN coalesce(stop, top) END AS stop FROM r LEFT JOIN (SELECT o.path, o.seq, min(c.seq) AS stop FROM r o JOIN r c ON c.path = o.path AND o.ends = '{' AND c.ends = '}' AND c.level + 1 = o.level AND c.seq > o.seq GROUP BY o.path, o.seq) USING (path, seq))",
+    rf"y AS (SELECT *, regexp_extract(bare, {_q(syntax.TYPE)}, 1) AS word, regexp_extract(bare, {_q(syntax.TYPE)}, 2) AS name FROM s WHERE regexp_matches(bare, {_q(syntax.TYPE)}) AND (ends = '{{' OR (ends = ';' AND regexp_matches(bare, '(^| )record .*\)( : .*)?$'))))",
+    """u AS (SELECT s.*, home FROM s LEFT JOIN (SELECT s.path, s.seq, max_by((y.name, y.level), y.seq) AS home FROM s JOIN y ON y.path = s.path AND y.ends = '{' AND y.seq < s.seq AND s.seq <= y.stop GROUP BY s.path, s.seq) USING (path, seq))""",
+    rf"""v AS (SELECT u.*, home[2] = level - (ends = '{{')::INT + (ends = '}}')::INT AS direct, regexp_extract(bare, {_q(syntax.NAMED)}, 1) AS before, regexp_extract(bare, {_q(syntax.NAMED)}, 2) AS called, language = 'JavaScript' AS script,
+      {_of('words', '(')} = {_of('words', ')')} AS even, (path, seq) IN (SELECT (path, seq) FROM y) AS typed FROM u)""",
+    rf"""w AS (SELECT *, called <> '' AND called NOT IN ({_NOT}) AND even AND NOT typed AND NOT regexp_matches(before, '(^| )(new|return|throw|await|yield|else|case|if|for|while) |[.?+\-/!]') AS fit, regexp_matches(before, '([\p{{L}}\p{{N}}_$>\]*&?]| ::) $') AS typing, regexp_extract(bare, {_q(syntax.ASSIGNED)}, 1) AS given, regexp_matches(bare, '\) =>') AS arrow FROM v)""",
+    rf"""m AS (SELECT *, CASE WHEN typed THEN NULL WHEN ends = '{{' AND script AND given <> '' THEN given WHEN ends = '{{' AND regexp_matches(before, '(^| )function (\* )?$') AND fit THEN called WHEN ends = '{{' AND direct AND fit THEN called
+      WHEN ends = '{{' AND NOT script AND fit AND typing AND (level = 1 OR home IS NULL) THEN called
+      WHEN ends = ';' AND direct AND called <> '' AND called NOT IN ({_NOT}) AND NOT regexp_matches(before, '(^| )(new|return|throw) |[.?]') AND (typing OR script OR arrow) AND (even OR arrow) THEN called END AS member FROM w)""",
+    """a AS (SELECT m.*, inside FROM m LEFT JOIN (SELECT m.path, m.seq, max(h.seq) AS inside FROM m JOIN m h ON h.path = m.path AND h.member IS NOT NULL AND h.ends = '{' AND h.seq < m.seq AND m.seq <= h.stop GROUP BY m.path, m.seq) USING (path, seq))""",
+    rf"""b AS (SELECT *, inside IS NOT NULL AND NOT script AND member IS NOT NULL AND NOT coalesce(direct, false) AS nested, CASE WHEN coalesce(direct, false) THEN home[1] ELSE nullif(regexp_extract(before, '([\p{{L}}_$][\p{{L}}\p{{N}}_$]*) :: $', 1), '') END AS scope,
+      CASE WHEN member IS NULL AND NOT typed THEN nullif(CASE WHEN ends = '{{' AND direct AND NOT regexp_matches(bare, '[()=]') AND regexp_matches(following, {_q(syntax.ACCESSOR)}) THEN regexp_extract(bare, '([\p{{L}}_$][\p{{L}}\p{{N}}_$]*)$', 1)
+        WHEN ends = ';' AND direct AND language = 'C#' AND regexp_matches(bare, '^[^()=]* =>') THEN regexp_extract(bare, '([\p{{L}}_$][\p{{L}}\p{{N}}_$]*) =>', 1) END, '') END AS field FROM a)""",
+    rf"""d AS (SELECT b.*, coalesce(y.word, CASE WHEN member IS NOT NULL AND NOT nested THEN CASE WHEN scope IS NULL THEN 'Function' WHEN member IN ('constructor', '__init__') OR member = home[1] THEN 'Constructor' ELSE 'Method' END END, CASE WHEN field IS NOT NULL THEN 'Property' END) AS kind, coalesce(y.name, CASE WHEN NOT nested THEN member END, field) AS own,
+      {_of('b.words', 'if', 'elif', 'for', 'foreach', 'while', '&&', '||')} + 2 * {_of('b.words', 'switch')} + least({_of('b.words', '?')}, {_of('b.words', ':')}) AS points, {_of('b.words', 'if', 'elif', 'for', 'foreach', 'while', 'case', 'catch', 'except')} AS walk FROM b LEFT JOIN y USING (path, seq))""",
+)
+
+
+@R.query("s09_syntax_elements", _on("""SELECT d.path, d.kind, d.own AS name, CASE WHEN d.kind IN ('Method', 'Constructor', 'Property') THEN d.scope END AS owner, d.line::BIGINT AS line, max(coalesce(e.last_line, d.last_line))::BIGINT AS end_line,
+  1 + coalesce(sum(e.points + (coalesce(e.kind, '') IN ('Method', 'Property'))::INT), 0)::BIGINT AS complexity, 1 + coalesce(sum(e.walk), 0)::BIGINT AS walk
+  FROM d LEFT JOIN d e ON e.path = d.path AND d.ends = '{' AND e.seq > d.seq AND e.seq <= d.stop WHERE d.kind IS NOT NULL GROUP BY d.path, d.seq, d.kind, d.own, d.scope, d.line""", *_SYNTAX))
+def s09_elements(spark, sf_dir):
+    """Types and members of every text as a source file, with spans and complexity."""
+    found = syntax.elements(syntax.blocks(syntax.statements(_sources(spark, sf_dir))))
+    kind = F.when(syntax.is_type_name(F.col("kind")), F.lower("kind")).otherwise(F.col("kind"))
+    return found.select("path", kind.alias("kind"), "name", "owner", *[F.col(c).cast("long").alias(c) for c in ("line", "end_line", "complexity", "walk")])
+
+
+@R.query("x44_declared_attributes", _on(r"""SELECT d.path, d.own AS name, d.line::BIGINT AS line, array_to_string(list_transform(regexp_extract_all(d.head, '@ ([\p{L}\p{N}_$]+( \. [\p{L}\p{N}_$]+)*)', 1), lambda x: replace(x, ' ', '')), ',') AS attributes
+  FROM d WHERE d.kind IS NOT NULL AND d.language <> 'C#'""", *_SYNTAX))
+def x44_attributes(spark, sf_dir):
+    """Decorators and annotations of what scripts and Java files declare."""
+    found = syntax.elements(syntax.blocks(syntax.statements(_sources(spark, sf_dir)))).filter("language <> 'C#'")
+    return found.select("path", "name", F.col("line").cast("long").alias("line"), F.array_join("attributes", ",").alias("attributes"))
+
+
 _CODE = f"cd AS (SELECT doc_id, t, regexp_replace(t, {_q(code.BLANKS)}, ' ', 'g') AS c FROM tx)"
 
 
