@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, architecture, traverse
+from ..operators import analytics, architecture, traverse, trees
 from ..registry import Registry
 from ..sources import model
 from ..sources.tables import table
@@ -42,6 +42,42 @@ def g15(spark, sf_dir):
     return traverse.hierarchy(model.graph(spark, sf_dir), "part::2", ("Inherits", "Implements"), "both", 10)
 
 
+def _levels(name: str, types: str, depth: int, *ways: str) -> str:
+    """The levels of a walk one after another, each without what those before it met."""
+    out, parts = [f"root AS (SELECT min(node_id) AS node_id FROM nodes WHERE lower(node_id) = '{name}' OR lower(node_id) LIKE '%::{name}' OR lower(node_id) LIKE '%.{name}')"], []
+    for w in ways:
+        a, b = ("src", "dst") if w == "out" else ("dst", "src")
+        out.append(f"{w}_arc AS MATERIALIZED (SELECT DISTINCT {a} AS src, {b} AS dst FROM edges WHERE type IN ({types}))")
+        out.append(f"{w}_0 AS (SELECT node_id, NULL::VARCHAR AS parent_id, [node_id] AS path, false AS again FROM root)")
+        for k in range(1, depth + 1):
+            known = " UNION ALL ".join(f"SELECT node_id FROM {w}_{j} WHERE NOT again" for j in range(k))
+            out.append(f"""{w}_{k} AS MATERIALIZED (SELECT dst AS node_id, src AS parent_id, list_append(path, dst) AS path, dst IN ({known}) OR src <> min(src) OVER (PARTITION BY dst) AS again FROM {w}_arc JOIN {w}_{k - 1} l ON l.node_id = src AND NOT l.again)""")
+            parts.append(f"SELECT node_id, parent_id, {k} AS depth, array_to_string(path, '>') AS path, again, '{w}' AS direction FROM {w}_{k}")
+    return on_graph(" UNION ALL ".join(parts), *out)
+
+
+def _tree_rows(found):
+    return found.select("node_id", "parent_id", "depth", F.array_join("path", ">").alias("path"), "again", "direction")
+
+
+@R.query("g13_call_tree", _levels("part::4", "'Call', 'MethodCall'", 5, "out", "in"))
+def g13_tree(spark, sf_dir):
+    """Callers and callees of the first node of a name, with their paths."""
+    return _tree_rows(trees.hierarchy_tree(model.graph(spark, sf_dir), "PART::4", ("Calls",), "both", 5))
+
+
+@R.query("g14_dependency_paths", _levels("part::1023", "'Dependency'", 3, "out", "in"))
+def g14_tree(spark, sf_dir):
+    """What a node depends on and what depends on it, with paths."""
+    return _tree_rows(trees.hierarchy_tree(model.graph(spark, sf_dir), "part::1023", ("DependsOn",), "both", 3))
+
+
+@R.query("g15_type_tree", _levels("part::2", "'Inheritance', 'Implementation'", 10, "out", "in"))
+def g15_tree(spark, sf_dir):
+    """Ancestors and descendants of a type, with their paths."""
+    return _tree_rows(trees.hierarchy_tree(model.graph(spark, sf_dir), "part::2", ("Inherits", "Implements"), "both", 10))
+
+
 @R.query("a01_fan_in_fan_out", on_graph("""SELECT n.node_id, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out FROM nodes n
   LEFT JOIN (SELECT dst, count(*) AS i FROM adjacency GROUP BY dst) a ON a.dst = n.node_id
   LEFT JOIN (SELECT src, count(*) AS o FROM adjacency GROUP BY src) b ON b.src = n.node_id"""))

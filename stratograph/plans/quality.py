@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import prose
-from ..operators import architecture, quality
+from ..operators import architecture, quality, trees
 from ..registry import Registry
 from ..sources import model
 from ..sources.tables import table
@@ -193,6 +193,45 @@ def a27_single(spark, sf_dir):
     return quality.weighted_single(_requirements(spark, sf_dir)).select("parent_id", F.round("score", 9).alias("score"))
 
 
+#: A rubric of uneven depth over all parts; leaves have scores, some have failed.
+_RUBRIC = """tree AS (SELECT p_partkey AS node_id, CASE WHEN p_partkey > 0 THEN CASE WHEN p_partkey % 5 < 3 THEN p_partkey // 2 ELSE p_partkey // 7 END END AS parent_id, (p_size % 9)::DOUBLE AS weight FROM part),
+  leaf AS (SELECT p_partkey AS node_id, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_retailprice % 100 END::DOUBLE AS score, (p_size / 50.0)::DOUBLE AS u FROM part WHERE p_partkey NOT IN (SELECT parent_id FROM tree WHERE parent_id IS NOT NULL))"""
+
+
+def _rubric_sql(single: bool) -> str:
+    """Down from every node: the share of each leaf below it, and the squares of it."""
+    score = "coalesce(score, 0)" if single else "score"
+    return f"""WITH RECURSIVE {_RUBRIC}, l AS (SELECT node_id, {score} AS score, u FROM leaf),
+      v AS (SELECT t.node_id, t.parent_id, t.weight FROM tree t LEFT JOIN l USING (node_id) WHERE t.parent_id IS NOT NULL AND (l.node_id IS NULL OR l.score IS NOT NULL)),
+      share AS (SELECT node_id, parent_id, CASE WHEN sum(weight) OVER (PARTITION BY parent_id) > 0 THEN weight / sum(weight) OVER (PARTITION BY parent_id) ELSE 0 END AS w FROM v),
+      w AS (SELECT node_id AS top, node_id, 1.0::DOUBLE AS f, 0 AS depth FROM tree UNION ALL SELECT top, s.node_id, f * s.w, depth + 1 FROM w JOIN share s ON s.parent_id = w.node_id),
+      h AS (SELECT node_id AS top, node_id, 0 AS height FROM tree UNION ALL SELECT top, t.node_id, height + 1 FROM h JOIN tree t ON t.parent_id = h.node_id)
+      SELECT tree.node_id, round(CASE WHEN tree.node_id IN (SELECT node_id FROM l WHERE score IS NULL) THEN NULL ELSE coalesce(sum(f * l.score), 0) END, 6) AS score, round(coalesce(sqrt(sum(f * f * l.u * l.u)), 0), 6) AS uncertainty, any_value(m.height) AS height
+      FROM tree JOIN w ON w.top = tree.node_id LEFT JOIN l ON l.node_id = w.node_id JOIN (SELECT top, max(height) AS height FROM h GROUP BY top) m ON m.top = tree.node_id GROUP BY tree.node_id"""
+
+
+def _rubric(spark, sf_dir, one_judge):
+    k = F.col("p_partkey")
+    parent = F.when(k > 0, F.when(k % 5 < 3, F.floor(k / 2)).otherwise(F.floor(k / 7)))
+    rows = table(spark, sf_dir, "part")
+    tree = rows.select(k.alias("node_id"), parent.alias("parent_id"), (F.col("p_size") % 9).alias("weight"))
+    scores = rows.select(k.alias("node_id"), (F.col("p_retailprice") % 100).cast("double").alias("score"), (F.col("p_size") / 50.0).alias("uncertainty"), (k % 11 == 0).alias("failed"))
+    found = trees.rolled_up(tree, scores, one_judge)
+    return found.select("node_id", F.round("score", 6).alias("score"), F.round("uncertainty", 6).alias("uncertainty"), "height")
+
+
+@R.query("a27_a28_rubric_tree", _rubric_sql(False))
+def a27_tree(spark, sf_dir):
+    """Scores and uncertainties of every node of a rubric, failed leaves left out."""
+    return _rubric(spark, sf_dir, False)
+
+
+@R.query("a27_single_judge_tree", _rubric_sql(True))
+def a27_single_tree(spark, sf_dir):
+    """The same for one judge, failed leaves counting as 0."""
+    return _rubric(spark, sf_dir, True)
+
+
 @R.query("a29_reliability", f"WITH {_REQ} SELECT parent_id, round(avg(x), 9) AS reliability FROM (SELECT parent_id, CASE WHEN max(score) > min(score) THEN 1 - stddev_pop(score) / (max(score) - min(score)) ELSE 1 END AS x FROM r GROUP BY parent_id, category) GROUP BY 1")
 def a29(spark, sf_dir):
     """Reliability over categories."""

@@ -347,6 +347,67 @@ def c07(spark, sf_dir):
     return budget.history_batches(t(spark, sf_dir, "conversations"))
 
 
+def _synthesis(context: int) -> str:
+    """Level after level, each batched by a recursion over its findings in order."""
+    room = context - budget.RESPONSE - 300
+    out = ["l0 AS (SELECT conv_id AS key, turn AS seq, length(text)::BIGINT AS length FROM conversations WHERE text IS NOT NULL)"]
+    for i in range(budget.LEVELS + 2):
+        out.append(f"s{i} AS MATERIALIZED (SELECT *, (sum(length) OVER w + 7 * (count(*) OVER w - 1)) // 4 <= {room * budget.FINAL}::DOUBLE AS fits, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM l{i} WINDOW w AS (PARTITION BY key))")
+        if i <= budget.LEVELS:
+            over = f"used + length // 4 > {room * budget.BATCH}::DOUBLE"
+            out.append(f"f{i} AS (SELECT key, i, 0 AS batch, length // 4 AS used FROM s{i} WHERE i = 1 AND NOT fits UNION ALL SELECT s{i}.key, s{i}.i, batch + ({over})::INT, CASE WHEN {over} THEN length // 4 ELSE used + length // 4 END FROM f{i} JOIN s{i} ON s{i}.key = f{i}.key AND s{i}.i = f{i}.i + 1)")
+            out.append(f"l{i + 1} AS (SELECT key, batch::BIGINT AS seq, least(ceil((sum(length) + 2 * (count(*) - 1)) / 2)::BIGINT, {int(room * budget.COMPACT) * 4}) AS length FROM f{i} JOIN s{i} USING (key, i) GROUP BY key, batch)")
+    parts = []
+    for i in range(budget.LEVELS + 2):
+        ends = "fits" if i <= budget.LEVELS else "true"
+        parts.append(f"SELECT key, {i} AS level, seq, length, -1 AS batch, NOT fits AS forced FROM s{i} WHERE {ends}")
+        if i <= budget.LEVELS:
+            parts.append(f"SELECT key, {i} AS level, seq, length, batch, false AS forced FROM f{i} JOIN s{i} USING (key, i)")
+    return f"WITH RECURSIVE {', '.join(out)} {' UNION ALL '.join(parts)}"
+
+
+@R.query("c06_synthesis_levels", _synthesis(2500))
+def c06_levels(spark, sf_dir):
+    """Levels of synthesis until a conversation's findings fit one call."""
+    rows = t(spark, sf_dir, "conversations").filter("text is not null").select(F.col("conv_id").alias("key"), F.col("turn").alias("seq"), F.length("text").alias("length"))
+    return budget.synthesis_levels(rows, 2500)
+
+
+def _history(context: int, other: int) -> str:
+    room = context - budget.RESPONSE
+    out = [
+        "t AS (SELECT conv_id // 10 AS key, conv_id * 1000 + turn AS place, length(role) AS role, length(coalesce(text, ''))::BIGINT AS length FROM conversations)",
+        f"h0 AS MATERIALIZED (SELECT key, row_number() OVER (PARTITION BY key ORDER BY place) AS pos, role, length, place AS first, place AS last, false AS summarised, count(*) OVER w > 10 AND sum(length // 4) OVER w > {room} AS long FROM t WINDOW w AS (PARTITION BY key))",
+        "r0 AS (SELECT key, pos, role, length, first, last, summarised FROM h0 WHERE long)",
+    ]
+    for i in range(budget.PASSES + 1):
+        out.append(f"z{i} AS MATERIALIZED (SELECT *, sum(length // 4) OVER w + {other} < {room} AS fits, (pos - 1) // greatest(3, count(*) OVER w // 3) AS batch, (count(*) OVER w - 1) // greatest(3, count(*) OVER w // 3) AS final FROM r{i} WINDOW w AS (PARTITION BY key))")
+        out.append(f"""r{i + 1} AS MATERIALIZED (SELECT key, batch + row_number() OVER (PARTITION BY key ORDER BY pos) AS pos, role, length, first, last, summarised FROM z{i} WHERE NOT fits AND batch = final
+          UNION ALL SELECT key, batch + 1, 9, length('[Summary of ' || count(*) || ' messages]: ') + least(200, sum(role + 2 + length) + 2 * (count(*) - 1))::BIGINT, min(first), max(last), true FROM z{i} WHERE NOT fits AND batch < final GROUP BY key, batch)""")
+    parts = ["SELECT key, pos, first, last, length, summarised, 0 AS passes, false AS truncated FROM h0 WHERE NOT long"]
+    parts += [f"SELECT key, pos, first, last, length, summarised, {i}, false FROM z{i} WHERE fits" for i in range(budget.PASSES + 1)]
+    parts.append(f"SELECT key, row_number() OVER (PARTITION BY key ORDER BY pos), first, last, length, summarised, {budget.PASSES}, true FROM (SELECT * FROM z{budget.PASSES} WHERE NOT fits QUALIFY row_number() OVER (PARTITION BY key ORDER BY pos DESC) <= {budget.KEPT})")
+    return f"WITH {', '.join(out)} SELECT key, pos::INT AS pos, first, last, length, summarised, passes, truncated FROM ({' UNION ALL '.join(parts)})"
+
+
+def _histories(spark, sf_dir):
+    """Ten conversations after each other as one history."""
+    at = F.col("conv_id") * 1000 + F.col("turn")
+    return t(spark, sf_dir, "conversations").select(F.expr("conv_id div 10").alias("key"), at.alias("pos"), "role", F.length(F.coalesce("text", F.lit(""))).alias("length"))
+
+
+@R.query("c07_history_passes", _history(2600, 40))
+def c07_passes(spark, sf_dir):
+    """Passes over long histories until they fit, else their last messages."""
+    return budget.reduced_history(_histories(spark, sf_dir), 2600, 40)
+
+
+@R.query("c07_history_passes_tight", _history(2250, 0))
+def c07_tight(spark, sf_dir):
+    """The same where there is little room, so that passes run out."""
+    return budget.reduced_history(_histories(spark, sf_dir), 2250)
+
+
 @R.query("c09_message_validation", "SELECT conv_id, sum(length(text) // 4) AS tokens, sum(length(text) // 4) <= 2800 - 2048 AS valid FROM conversations GROUP BY 1")
 def c09(spark, sf_dir):
     """Tokens of a conversation against its budget."""
