@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import analytics, clustering, traverse
+from ..operators import analytics, clustering, splits, traverse
 from ..registry import Registry
 from ..sources import model
 from .bindings import on_graph
@@ -51,6 +51,44 @@ def g28(spark, sf_dir):
     return clustering.split_large(g, g.nodes.select("node_id", F.split_part("node_id", F.lit("::"), F.lit(1)).alias("community")))
 
 
+def _modules(g):
+    """Modules by top directory, by directory of suppliers, and of nations with their customers."""
+    top = g.nodes.select(F.concat(F.lit("top:"), F.split_part("file_path", F.lit("/"), F.lit(1))).alias("module"), "node_id")
+    own = g.nodes.filter("type = 'Service'").select(F.concat(F.lit("dir:"), F.split_part("file_path", F.lit("/"), F.lit(2))).alias("module"), "node_id")
+    star = g.edges.filter("src like 'customer::%' and dst like 'nation::%'")
+    star = star.select(F.concat(F.lit("star:"), "dst").alias("module"), F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    return top.unionByName(own).unionByName(star)
+
+
+def _same(a: str, b: str) -> str:
+    """Segments at the start of both lists."""
+    return f"coalesce(list_position(list_transform(range(1, greatest(len({a}), len({b})) + 1), lambda i: coalesce({a}[i] = {b}[i], false)), false) - 1, greatest(len({a}), len({b})))"
+
+
+@R.query("g33_delegation_stages", on_graph("""SELECT module, node_id, 'directory' AS stage, part FROM p2 WHERE parts > 1
+  UNION ALL SELECT module, node_id, 'dependencies', 'Cluster_' || part FROM c3 WHERE parts > 1
+  UNION ALL SELECT module, node_id, 'size', 'Part_' || ((row_number() OVER (PARTITION BY module ORDER BY node_id) - 1) // greatest(2, count(*) OVER (PARTITION BY module) // 3)) FROM c3 WHERE parts = 1""",
+  "mm AS (SELECT 'top:' || split_part(file_path, '/', 1) AS module, node_id FROM nodes UNION ALL SELECT 'dir:' || split_part(file_path, '/', 2), node_id FROM nodes WHERE type = 'Service' UNION SELECT 'star:' || dst, unnest([src, dst]) FROM edges WHERE src LIKE 'customer::%' AND dst LIKE 'nation::%')",
+  "p0 AS (SELECT module, node_id, list_filter(string_split(file_path, '/'), lambda x: x <> '') AS s FROM mm JOIN nodes USING (node_id))",
+  "p1 AS (SELECT *, s[1:len(s) - 1] AS d, min(s[1:len(s) - 2]) OVER (PARTITION BY module) AS lo, max(s[1:len(s) - 2]) OVER (PARTITION BY module) AS hi FROM p0)",
+  f"p2 AS (SELECT *, (SELECT count(DISTINCT part) FROM (SELECT module AS m, CASE WHEN {_same('lo', 'hi')} = 0 THEN 'Root' ELSE coalesce(d[{_same('lo', 'hi')} + 1], 'Root') END AS part FROM p1 x) y WHERE y.m = z.module) AS parts FROM (SELECT module, node_id, CASE WHEN {_same('lo', 'hi')} = 0 THEN 'Root' ELSE coalesce(d[{_same('lo', 'hi')} + 1], 'Root') END AS part FROM p1) z)",
+  "c0 AS (SELECT module, node_id FROM p2 WHERE parts = 1)",
+  "c1 AS (SELECT DISTINCT a.module, a.node_id AS a, b.node_id AS b FROM c0 a JOIN edges e ON e.src = a.node_id JOIN c0 b ON b.module = a.module AND b.node_id = e.dst)",
+  "c2 AS (SELECT module, node_id, node_id AS r FROM c0 UNION SELECT c2.module, c2.node_id, CASE WHEN c1.a = c2.r THEN c1.b ELSE c1.a END FROM c2 JOIN c1 ON c1.module = c2.module AND (c1.a = c2.r OR c1.b = c2.r))",
+  "c3 AS (SELECT module, node_id, dense_rank() OVER (PARTITION BY module ORDER BY low) - 1 AS part, (SELECT count(DISTINCT low) FROM (SELECT module AS m, node_id, min(r) AS low FROM c2 GROUP BY ALL) y WHERE y.m = z.module) AS parts FROM (SELECT module, node_id, min(r) AS low FROM c2 GROUP BY ALL) z)"))
+def g33_stages(spark, sf_dir):
+    """How modules are subdivided: by directory, else by dependencies, else in thirds."""
+    g = model.graph(spark, sf_dir)
+    return splits.delegated(g, _modules(g))
+
+
+@R.query("g28_token_limit_queue")
+def g28_queue(spark, sf_dir):
+    """Modules split by directory or by community until each fits or is indivisible."""
+    g = model.graph(spark, sf_dir)
+    return splits.within_limit(g, g.nodes.select(F.split_part("file_path", F.lit("/"), F.lit(1)).alias("module"), "node_id"), 3000.0)
+
+
 @R.query("g38_architecture_diagram", on_graph("SELECT node_id, depth FROM (SELECT node_id, min(depth) AS depth FROM w GROUP BY node_id)", "w AS (SELECT 'region::1' AS node_id, 0 AS depth UNION SELECT e.src, depth + 1 FROM w JOIN edges e ON e.dst = w.node_id WHERE depth < 2 AND e.type IN ('ChildOf', 'Contains'))"))
 def g38(spark, sf_dir):
     """Nested modules below a region."""
