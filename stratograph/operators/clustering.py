@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.model import Graph
 from ..sources.tables import cut
 from . import analytics, architecture
+from .folds import ranked
 
 
 def communities(graph: Graph, rounds: int = 10, least_gain: float = 1e-4) -> DataFrame:
@@ -17,12 +18,22 @@ def communities(graph: Graph, rounds: int = 10, least_gain: float = 1e-4) -> Dat
     row order) compare the gain of each neighbouring community, k_in / W - k K / 2 W^2, with
     that of their own, and move for more than ``least_gain``.  Communities are then split into
     connected parts.  Two joins and two aggregates a round; rounds are written tables."""
+    both, state, w = _weighted(graph)
+    return connected(graph, _moved(both, state, w, rounds, least_gain).select("node_id", "community"))
+
+
+def _weighted(graph: Graph) -> tuple[DataFrame, DataFrame, int]:
+    """(arcs (src, dst, n) both ways without loops, nodes (node_id, k, community) on their own, number of arcs)."""
     d = analytics.degrees(graph).withColumn("k", F.col("fan_in") + F.col("fan_out")).select("node_id", "k")
     w = max(1, graph.adjacency.count())
     arcs = graph.adjacency.filter("src <> dst")
     both = arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = cut(both.groupBy("src", "dst").agg(F.count("*").alias("n")), "arcs")
-    state = cut(d.withColumn("community", F.col("node_id")), "communities")
+    return both, cut(d.withColumn("community", F.col("node_id")), "communities"), w
+
+
+def _moved(both: DataFrame, state: DataFrame, w: int, rounds: int, least_gain: float) -> DataFrame:
+    """state (node_id, k, community) after rounds of moves to better neighbouring communities."""
     for i in range(rounds):
         totals = state.groupBy("community").agg(F.sum("k").alias("total"))
         near = both.join(state.select(F.col("node_id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node_id"), "community").agg(F.sum("n").alias("n"))
@@ -39,7 +50,67 @@ def communities(graph: Graph, rounds: int = 10, least_gain: float = 1e-4) -> Dat
         state = state2.select("node_id", "k", "community")
         if i % 2 and state2.filter("move").isEmpty():
             break
-    return connected(graph, state.select("node_id", "community"))
+    return state
+
+
+def multilevel(graph: Graph, levels: int = 10, rounds: int = 10, least_gain: float = 1e-6) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """((node_id, community), [(communities, modularity) of each level]).
+
+    Communities become the nodes of the next level, with the sums of their arcs and degrees, and
+    move again as wholes; a level that does not raise the modularity is not taken, and is the
+    last.  At the end communities are split into connected parts, which can only raise it.
+    Graphs of few nodes end after few levels, as each has fewer nodes than the one before."""
+    both, state, w = _weighted(graph)
+    labels = state.select("node_id", F.col("node_id").alias("community"))
+    loops = float(graph.adjacency.filter("src = dst").count())  # arcs that lie within what is now a node
+    inner, best, history = loops, None, []
+    for _ in range(levels):
+        moved = _moved(both, state, w, rounds, least_gain)
+        names = moved.select("node_id", "community")
+        ends = both.join(names.select(F.col("node_id").alias("src"), F.col("community").alias("a")), "src").join(names.select(F.col("node_id").alias("dst"), F.col("community").alias("b")), "dst")
+        arcs = cut(ends.groupBy("a", "b").agg(F.sum("n").alias("n")), "contracted")
+        nodes = cut(moved.groupBy("community").agg(F.sum("k").alias("k")), "supernodes")
+        within = inner + (arcs.filter("a = b").agg(F.sum("n")).first()[0] or 0) / 2
+        count, squares = nodes.agg(F.count("*"), F.sum(F.col("k").cast("double") * F.col("k"))).first()
+        quality = within / w - (squares or 0.0) / (4.0 * w * w)
+        if best is not None and quality <= best + least_gain:
+            break
+        best, inner = quality, within
+        history.append((count, quality))
+        labels = cut(labels.join(names.select(F.col("node_id").alias("community"), F.col("community").alias("next")), "community").select("node_id", F.col("next").alias("community")), "labels")
+        both = arcs.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"), "n")
+        if both.isEmpty():
+            break
+        state = nodes.select(F.col("community").alias("node_id"), "k", "community")
+    return connected(graph, labels), history
+
+
+def merged_by_name(graph: Graph, members: DataFrame, root: str = "") -> DataFrame:
+    """(node_id, cluster): members (node_id, community) by the names of their communities.
+
+    Communities of one name become one, which may have another name then; this is repeated
+    until no two have the same, so each round has fewer of them."""
+    while True:
+        names = cut(architecture.cluster_names(graph, members, root), "names")
+        several = names.groupBy("name").agg(F.count("*").alias("n"), F.min("community").alias("into"))
+        if several.filter("n > 1").isEmpty():
+            return members.join(names, "community").select("node_id", F.col("name").alias("cluster"))
+        into = names.join(several, "name").select("community", "into")
+        members = cut(members.join(into, "community").select("node_id", F.col("into").alias("community")), "merged")
+
+
+def semantic_clusters(graph: Graph, root: str = "") -> DataFrame:
+    """(node_id, cluster, stage) of every node: configuration, then cycles, then communities of
+    several levels among what is left, named and merged by name."""
+    config = graph.nodes.filter("type = 'Configuration'").select("node_id", F.lit("Project Infrastructure").alias("cluster"), F.lit("configuration").alias("stage"))
+    cycles = analytics.strong_components(graph.nodes, graph.edges).join(config.select("node_id"), "node_id", "left_anti")
+    cycles = cut(cycles.select("node_id", "component"), "cycles")
+    place = ranked(cycles.groupBy("component").agg(F.min("node_id").alias("first")).withColumn("all", F.lit("cycle")), "all", "first")
+    cycles = cycles.join(place, "component").select("node_id", F.concat(F.lit("Cycle_"), "nth").alias("cluster"), F.lit("cycle").alias("stage"))
+    taken = cut(config.unionByName(cycles), "taken")
+    rest = analytics.induced(graph, graph.nodes.select("node_id").join(taken.select("node_id"), "node_id", "left_anti"))
+    named = merged_by_name(graph, multilevel(rest)[0], root).withColumn("stage", F.lit("community"))
+    return taken.unionByName(named)
 
 
 def connected(graph: Graph, members: DataFrame) -> DataFrame:

@@ -35,6 +35,18 @@ def g25(spark, sf_dir):
     return clustering.pipeline(model.graph(spark, sf_dir))
 
 
+@R.query("g22_multilevel_communities")
+def g22(spark, sf_dir):
+    """Communities of communities, as long as they raise the modularity."""
+    return clustering.multilevel(model.graph(spark, sf_dir))[0]
+
+
+@R.query("g25_semantic_clusters")
+def g25_named(spark, sf_dir):
+    """Configuration, cycles and communities, named, those of one name merged."""
+    return clustering.semantic_clusters(model.graph(spark, sf_dir))
+
+
 def _split_rounds(rounds: int = 5) -> list[str]:
     tokens = "line_count * 1.3::DOUBLE + complexity * 10"
     out = [f"t0 AS (SELECT node_id, split_part(node_id, '::', 1) AS community, string_split(file_path, '/') AS p, {tokens} AS est_tokens FROM nodes)"]
