@@ -161,6 +161,24 @@ def s09_elements(spark, sf_dir):
     return found.select("path", kind.alias("kind"), "name", "owner", *[F.col(c).cast("long").alias(c) for c in ("line", "end_line", "complexity", "walk")])
 
 
+_CHUNKS = (
+    "e AS (SELECT d.path, d.path || '::' || CASE WHEN d.kind IN ('Method', 'Constructor', 'Property') AND d.scope IS NOT NULL THEN d.scope || '.' ELSE '' END || d.own AS id, d.line, coalesce(c.last_line, d.last_line) AS end_line FROM d LEFT JOIN d c ON c.path = d.path AND d.ends = '{' AND c.seq = d.stop WHERE d.kind IS NOT NULL)",
+    "g AS (SELECT path, unnest(string_split(t, chr(10))) AS text, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM f)",
+    "h AS (SELECT g.path, g.line, any_value(text) AS text, coalesce(max((e.line, -e.end_line, e.id))[3], g.path) AS own FROM g LEFT JOIN e ON e.path = g.path AND g.line BETWEEN e.line AND e.end_line GROUP BY g.path, g.line)",
+    "i AS (SELECT *, sum(change) OVER (PARTITION BY path ORDER BY line) AS run FROM (SELECT *, CASE WHEN lag(own) OVER (PARTITION BY path ORDER BY line) = own THEN 0 ELSE 1 END AS change FROM h))",
+    "j AS (SELECT *, length(text) + 1 AS size, row_number() OVER (PARTITION BY path, run ORDER BY line) AS nth FROM i)",
+    "z AS (SELECT path, run, nth, 0 AS chunk, size AS used FROM j WHERE nth = 1 UNION ALL SELECT j.path, j.run, j.nth, chunk + ((used + size) // 4 > 40)::INT, CASE WHEN (used + size) // 4 > 40 THEN size ELSE used + size END FROM z JOIN j ON j.path = z.path AND j.run = z.run AND j.nth = z.nth + 1)",
+)
+
+
+@R.query("v07_code_chunks", _on("SELECT path, own AS component_id, min(line)::BIGINT AS start_line, max(line)::BIGINT AS end_line, sha256(string_agg(text, chr(10) ORDER BY line)) AS text_sha256 FROM z JOIN j USING (path, run, nth) GROUP BY path, own, run, chunk HAVING trim(string_agg(text, chr(10) ORDER BY line)) <> ''", *_SYNTAX, *_CHUNKS).replace("WITH ", "WITH RECURSIVE ", 1))
+def v07_code(spark, sf_dir):
+    """Chunks of every text as a source file, cut along types and members."""
+    files = _sources(spark, sf_dir)
+    found = retrieval.code_chunks(files, syntax.elements(syntax.blocks(syntax.statements(files))), 40)
+    return found.select("path", "component_id", *[F.col(c).cast("long").alias(c) for c in ("start_line", "end_line")], F.sha2(F.encode("text", "utf-8"), 256).alias("text_sha256"))
+
+
 @R.query("x44_declared_attributes", _on(r"""SELECT d.path, d.own AS name, d.line::BIGINT AS line, array_to_string(list_transform(regexp_extract_all(d.head, '@ ([\p{L}\p{N}_$]+( \. [\p{L}\p{N}_$]+)*)', 1), lambda x: replace(x, ' ', '')), ',') AS attributes
   FROM d WHERE d.kind IS NOT NULL AND d.language <> 'C#'""", *_SYNTAX))
 def x44_attributes(spark, sf_dir):
