@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.code import text_tokens
-from ..operators import budget, joins, lookup, references, retrieval, storage
+from ..operators import budget, joins, lookup, neighbours, references, retrieval, storage
 from ..registry import Registry
 from ..sources import model
 from ..sources.tables import scratch, table
@@ -481,6 +481,30 @@ def v03_filtered(spark, sf_dir):
     return retrieval.top_k(_vectors(spark, sf_dir), _query(spark, sf_dir), 10, {"label": "3"}).select("doc_id", F.round("score", 6).alias("score"))
 
 
+_MANY = """m AS (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) DESC, v.vec_id)::INT AS rank, v.vec_id AS doc_id,
+  round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 QUALIFY rank <= 10)"""
+
+
+def _many(spark, sf_dir):
+    rows = model.vectors(spark, sf_dir)
+    queries = rows.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    return neighbours.nearest(neighbours.build(rows, 64), queries, 10)
+
+
+@R.query("v03_many_queries", f"WITH {_MANY} SELECT * FROM m")
+def v03_many(spark, sf_dir):
+    """The ten nearest of every hundredth vector among all, from an inverted file."""
+    return _many(spark, sf_dir).select("query_id", "rank", "doc_id", F.round("score", 9).alias("score"))
+
+
+@R.query("v09_many_contexts", f"WITH {_MANY} SELECT query_id, string_agg('Source [' || rank || ']: Page ' || doc_id || chr(10) || text || chr(10) || '---' || chr(10), '' ORDER BY rank) AS context FROM m JOIN documents USING (doc_id) WHERE text IS NOT NULL GROUP BY query_id")
+def v09_many(spark, sf_dir):
+    """The context of every query: the texts of its nearest vectors, numbered and titled."""
+    payload = F.create_map(F.lit("pageTitle"), F.concat(F.lit("Page "), "doc_id"))
+    documents = t(spark, sf_dir, "documents").select("doc_id", "text", payload.alias("payload"))
+    return neighbours.contexts(_many(spark, sf_dir), documents)
+
+
 @R.query("v04_delete_by_filter", "SELECT vec_id AS doc_id FROM embeddings WHERE label <> 4")
 def v04(spark, sf_dir):
     """What stays after a delete by payload."""
