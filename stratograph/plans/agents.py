@@ -19,13 +19,22 @@ R = Registry()
 # files
 
 
-@R.query("s01_source_scan", "SELECT lang, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY lang")
+def _line_digest(line):
+    """A number of a line, to be summed in any order."""
+    return F.conv(F.substring(F.md5(F.encode(line, "utf-8")), 1, 8), 16, 10).cast("long")
+
+
+_LINE_DIGEST = "sum(('0x' || md5(line)[1:8])::BIGINT)::BIGINT"
+
+
+@R.query("s01_source_scan", f"SELECT lang, sum(strlen(line) + 1)::BIGINT AS bytes, count(*) AS lines, {_LINE_DIGEST} AS digest FROM (SELECT lang, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY lang")
 def s01(spark, sf_dir):
-    """Source files found below a folder, whole texts of each language in one file."""
+    """Source files found below a folder, texts of each language in files of bounded size; every line is read back."""
     path = scratch(spark, "tree")
     stores.write_files(table(spark, sf_dir, "documents"), path, "lang", "text", ".py")
     files = tables.source_files(spark, path)
-    return files.groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")).agg(F.sum("length").alias("bytes"))
+    lines = files.select(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang"), F.explode(F.split(F.regexp_replace("content", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy("lang").agg(F.sum(F.octet_length("line") + 1).alias("bytes"), F.count("*").alias("lines"), F.sum(_line_digest(F.col("line"))).alias("digest"))
 
 
 @R.query("s15_markdown_scan", "SELECT item_id, strlen(text) + 1 AS bytes FROM benchmark WHERE strlen(text) + 1 <= 250")
@@ -37,14 +46,14 @@ def s15(spark, sf_dir):
     return found.select(F.regexp_extract("path", "item_id=([^/]+)/", 1).cast("long").alias("item_id"), F.octet_length("content").cast("long").alias("bytes"))
 
 
-@R.query("s16_page_sink", "SELECT lang AS audience, sum(strlen('# Page ' || doc_id || chr(10) || coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents GROUP BY lang")
+@R.query("s16_page_sink", f"SELECT lang AS audience, sum(strlen(line) + 1)::BIGINT AS bytes, count(*) AS lines, {_LINE_DIGEST} AS digest FROM (SELECT lang, unnest(string_split('# Page ' || doc_id || chr(10) || coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY lang")
 def s16(spark, sf_dir):
-    """Pages written as Markdown, a folder for each audience."""
+    """Pages written as Markdown, a folder for each audience, and every line of them read back."""
     path = scratch(spark, "pages")
     pages = model.pages(spark, sf_dir).select(F.col("language").alias("audience"), "title", F.coalesce("content", F.lit("")).alias("content"))
     tables.write_text(pages, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(path)
-    return files.groupBy(F.regexp_extract("path", "audience=([^/]+)/", 1).alias("audience")).agg(F.sum("length").alias("bytes"))
+    lines = spark.read.option("lineSep", "\n").schema("value string, audience string").text(path)
+    return lines.groupBy("audience").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.count("*").alias("lines"), F.sum(_line_digest(F.col("value"))).alias("digest"))
 
 
 @R.query("s17_diagram_export", on_graph("""SELECT region, '<!DOCTYPE html>' || chr(10) || '<html><head><title>' || region || '</title></head>' || chr(10) || '<body><pre class="mermaid">' || chr(10) || 'graph TD' || chr(10)

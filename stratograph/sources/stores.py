@@ -140,12 +140,15 @@ def diagram_page(title: Column, body: Column) -> Column:
     return F.concat(F.lit("<!DOCTYPE html>\n<html><head><title>"), title, F.lit('</title></head>\n<body><pre class="mermaid">\n'), body, F.lit("\n</pre></body></html>"))
 
 
-def write_files(rows: DataFrame, path: str, by: str, body: str, extension: str) -> None:
-    """One text file per value of ``by``, in a folder named after it, with that extension.
+def write_files(rows: DataFrame, path: str, by: str, body: str, extension: str, most: int = 1000) -> None:
+    """Text files of the rows of each value of ``by``, in a folder named after it, with that extension.
 
-    Rows that share the value share the file, in no order."""
+    Rows that share the value share files of ``most`` rows at most, in no order; a value that many
+    rows have is written by many tasks."""
     spark = rows.sparkSession
-    rows.select(by, F.col(body).alias("value")).repartition(by).write.partitionBy(by).option("lineSep", "\n").text(path)
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = rows.select(by, F.col(body).alias("value")).repartition(n, F.col(by), F.pmod(F.xxhash64("value"), F.lit(n)))
+    spread.write.partitionBy(by).option("maxRecordsPerFile", most).option("lineSep", "\n").text(path)
     fs = spark._jvm.org.apache.hadoop.fs
     top = fs.Path(path)
     system = top.getFileSystem(spark._jsc.hadoopConfiguration())
