@@ -182,26 +182,32 @@ def betweenness(graph: Graph, depth: int = 64) -> DataFrame:
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, component) of strongly connected components of more than one node.
+    """(node_id, component) of strongly connected components of more than one node, by their least node.
 
-    Nodes with no arc in or no arc out among the rest are trimmed until none is left; in what
-    remains, the smallest label that reaches a node and the smallest label it reaches split
-    the graph: where both agree on a node, that is its component."""
+    Nodes with no arc in or no arc out are trimmed, and runs of nodes with one arc in and one out
+    become one arc, by pointer doubling, in turn until neither changes anything; so a long chain
+    costs the logarithm of its length.  In what remains, the smallest label that reaches a node
+    and the smallest label it reaches split the graph: where both agree on a node, that is its
+    component.  A run belongs to the component of its two ends if they have the same."""
     left = cut(edges.filter("src <> dst").select("src", "dst").distinct(), "arcs")
     parts: list[DataFrame] = []
+    runs: list[DataFrame] = []
     while True:
         count = left.count()
-        while True:
+        while count:
             kept = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-            kept = cut(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "arcs")
-            now = kept.count()
-            left = kept
-            if now == count:
+            kept = kept.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            left, inside, rings = _without_runs(cut(kept, "arcs"))
+            if inside is not None:
+                runs.append(inside)
+                parts.append(rings)
+            now = left.count()
+            if now == count and inside is None:
                 break
             count = now
         if not count:
             break
-        ids = left.select(F.col("src").alias("node_id")).distinct()
+        ids = left.select(F.col("src").alias("node_id")).unionByName(left.select(F.col("dst").alias("node_id"))).distinct()
         forward, back = _spread(ids, left), _spread(ids, left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         both = cut(forward.join(back.withColumnRenamed("low", "back"), "node_id"), "labels")
         done = both.filter("low = back").select("node_id", F.col("low").alias("component"))
@@ -214,8 +220,46 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     out = nodes.select("node_id", F.lit(None).cast("string").alias("component")).limit(0)
     for p in parts:
         out = out.unionByName(p)
-    sizes = out.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
-    return out.join(sizes.select("component"), "component", "left_semi").select("node_id", "component")
+    for inside in reversed(runs):  # a run's ends are in what remained after it
+        out = cut(out.unionByName(_of_ends(inside, out)).distinct(), "components")
+    sizes = out.groupBy("component").agg(F.count("*").alias("n"), F.min("node_id").alias("least")).filter("n > 1")
+    return out.join(sizes, "component").select("node_id", F.col("least").alias("component"))
+
+
+def _without_runs(arcs: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(arcs, inside, rings): arcs with runs as one arc each; inside (node_id, a, b): nodes of runs with the
+    nodes at both ends; rings (node_id, component): runs without ends.  No runs: arcs as they are, and None."""
+    after = arcs.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("b")).filter("n = 1").select(F.col("src").alias("node_id"), "b")
+    before = arcs.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("a")).filter("n = 1").select(F.col("dst").alias("node_id"), "a")
+    chain = cut(after.join(before, "node_id"), "runs")
+    n = chain.count()
+    if not n:
+        return arcs, None, None
+    known = chain.select("node_id").withColumn("in", F.lit(True))
+    a_in, b_in = known.select(F.col("node_id").alias("a"), F.col("in").alias("a_in")), known.select(F.col("node_id").alias("b"), F.col("in").alias("b_in"))
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("a_in", "b_in")]
+    state = cut(chain.join(a_in, "a", "left").join(b_in, "b", "left").select("node_id", "a", "b", *flags, F.col("node_id").alias("low")), "runs")
+    for _ in range(n.bit_length() + 1):  # pointers at nodes of the run jump twice as far each time
+        if state.filter("a_in or b_in").isEmpty():
+            break
+        back = state.select(F.col("node_id").alias("a"), F.col("a").alias("a2"), F.col("a_in").alias("a2_in"))
+        ahead = state.select(F.col("node_id").alias("b"), F.col("b").alias("b2"), F.col("b_in").alias("b2_in"), F.col("low").alias("low2"))
+        jumped = state.join(back, "a", "left").join(ahead, "b", "left")
+        state = cut(jumped.select("node_id", F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), F.coalesce("a2_in", F.lit(False)).alias("a_in"), F.coalesce("b2_in", F.lit(False)).alias("b_in"), F.least("low", F.coalesce("low2", "low")).alias("low")), "runs")
+    inside = state.filter("not (a_in or b_in)").select("node_id", "a", "b")
+    rings = state.filter("a_in or b_in").select("node_id", F.col("low").alias("component"))
+    ids = chain.select("node_id")
+    rest = arcs.join(ids, F.col("src") == F.col("node_id"), "left_anti").join(ids, F.col("dst") == F.col("node_id"), "left_anti")
+    arcs = cut(rest.unionByName(inside.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct(), "arcs")
+    return arcs, inside, rings
+
+
+def _of_ends(inside: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node_id, component) of the nodes of runs whose ends have one component, and of those ends."""
+    a = labels.select(F.col("node_id").alias("a"), F.col("component").alias("ca"))
+    b = labels.select(F.col("node_id").alias("b"), F.col("component").alias("cb"))
+    rows = inside.join(a, "a", "left").join(b, "b", "left").withColumn("component", F.coalesce("ca", "a")).filter(F.col("component") == F.coalesce("cb", "b"))
+    return rows.select(F.explode(F.array("node_id", "a")).alias("node_id"), "component").distinct()
 
 
 def _spread(ids: DataFrame, edges: DataFrame) -> DataFrame:
