@@ -127,7 +127,8 @@ def contained(short: DataFrame, long: DataFrame) -> DataFrame:
 
     A string lies in another only if all its three-character grams do, so each s waits under
     the gram that the fewest l hold, and meets those alone.  Strings of one or two characters
-    wait under themselves.  Empty strings lie in nothing."""
+    wait under themselves.  Empty strings lie in nothing.  Grams are many times the strings that
+    Spark estimates them by, so their joins are sorted, never broadcast."""
     short, long = short.filter("s <> ''").distinct(), long.filter("l <> ''").distinct()
 
     def grams(c: Column, n: int) -> Column:
@@ -139,23 +140,23 @@ def contained(short: DataFrame, long: DataFrame) -> DataFrame:
     held = long.select("l", F.explode(F.array_distinct(held)).alias("gram"))
     often = held.groupBy("gram").agg(F.count("*").alias("often"))
     own = F.when(F.length("s") < 3, F.array("s")).otherwise(F.array_distinct(grams(F.col("s"), 3)))
-    wait = short.select("s", F.size(own).alias("n"), F.explode(own).alias("gram")).join(often, "gram")
+    wait = short.select("s", F.size(own).alias("n"), F.explode(own).alias("gram")).join(often.hint("merge"), "gram")
     wait = wait.groupBy("s").agg(F.min(F.struct("often", "gram")).alias("g"), F.count("*").alias("k"), F.first("n").alias("n")).filter("k = n")
-    return wait.select("s", F.col("g.gram").alias("gram")).join(held, "gram").filter(F.col("l").contains(F.col("s"))).select("s", "l")
+    return wait.select("s", F.col("g.gram").alias("gram")).join(held.hint("merge"), "gram").filter(F.col("l").contains(F.col("s"))).select("s", "l")
 
 
 def resolve_pages(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """(page_id, node_id): the node whose id equals the page's title, else one that contains
     it or lies in it, else the same by the stem of a file; smallest id first; else the node
     of largest out_degree.  Equal ids join first; only distinct strings are searched within
-    each other."""
+    each other.  Ids are longer than the keys that Spark estimates them by: no broadcast of them."""
     p = pages.select("page_id", F.lower("title").alias("title"), F.lower("stem").alias("stem"))
     ids = nodes.groupBy(F.lower("node_id").alias("low")).agg(F.min("node_id").alias("node_id"))
     values = p.select(F.explode(F.array("title", "stem")).alias("v")).filter("v is not null").distinct()
     a, b = values.withColumnRenamed("v", "s"), ids.select(F.col("low").alias("l"))
     inside = contained(a, b).select(F.col("s").alias("v"), F.col("l").alias("low"))
     around = contained(b.withColumnRenamed("l", "s"), a.withColumnRenamed("s", "l")).select(F.col("l").alias("v"), F.col("s").alias("low"))
-    near = inside.unionByName(around).join(ids, "low").groupBy("v").agg(F.min("node_id").alias("near"))
+    near = inside.unionByName(around).join(ids.hint("merge"), "low").groupBy("v").agg(F.min("node_id").alias("near"))
     same = ids.select(F.col("low").alias("v"), F.col("node_id").alias("same"))
     found = values.join(same, "v", "left").join(near, "v", "left").select("v", F.coalesce("same", "near").alias("found"))
     top = nodes.filter("out_degree > 0").orderBy(F.desc("out_degree"), "node_id").limit(1).select(F.col("node_id").alias("top"))

@@ -173,7 +173,7 @@ def f13(spark, sf_dir):
     pages = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit("nation::"), "doc_id").alias("title"), F.concat(F.lit("part::"), F.col("doc_id") % 3).alias("stem")
     )
-    return op.resolve_pages(pages, g.nodes.join(out, "node_id", "left").fillna(0, ["out_degree"]))
+    return op.resolve_pages(pages, g.nodes.join(out.hint("merge"), "node_id", "left").fillna(0, ["out_degree"]))
 
 
 @R.query("f14_repository_search", "SELECT page_id, url FROM pages WHERE contains(lower(url), 'example.com/fr') OR contains(lower(html), 'nothing at all')")

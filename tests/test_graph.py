@@ -108,3 +108,11 @@ def test_names_and_gate(spark):
     assert {r[0] for r in lookup.by_name(n, "Foo").collect()} == {"a::Foo", "b.foo", "FOO"}
     assert lookup.query_gate("Ready", 3) == {"allowed": False, "reason": "3 files pending", "wait_seconds": pytest.approx(0.3)}
     assert lookup.query_gate("Ready", 0)["allowed"]
+
+
+def test_grams_of_strings_are_never_broadcast(spark):
+    ids = spark.range(300).selectExpr("concat('part::', id) as l")
+    found = lookup.contained(ids.selectExpr("substr(l, 3, 5) as s"), ids)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+    assert found.filter("s = 'rt::2'").count() == 111
