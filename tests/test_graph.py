@@ -116,3 +116,40 @@ def test_grams_of_strings_are_never_broadcast(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
     assert found.filter("s = 'rt::2'").count() == 111
+
+
+def rows_of(monkeypatch, module, name):
+    """Rows of the tables that a function of a module writes, by what they are."""
+    found, keep = {}, getattr(module, name)
+
+    def count(df, *what):
+        table = keep(df, *what)
+        found[what[-1]] = found.get(what[-1], 0) + table.count()
+        return table
+
+    monkeypatch.setattr(module, name, count)
+    return found
+
+
+def test_components_move_arcs_a_few_times(spark, monkeypatch):
+    arcs = [(f"n{a:03}", f"n{(a * 7 + b) % 200:03}") for a in range(200) for b in range(6)] + [("x", "y"), ("z", "y"), ("z", "w")]
+    g, found = build(spark, arcs), rows_of(monkeypatch, analytics, "cut")
+    got = values(analytics.components(g.nodes, g.edges), "node_id", "component")
+    assert set(got.values()) == {"n000", "w"} and len(got) == 204 and found["arcs"] < len(arcs) / 2
+
+
+def test_rank_of_nodes_that_nothing_points_to_is_dealt_once(spark, monkeypatch):
+    arcs = [(f"s{i:02}", f"p{i % 3}") for i in range(50)] + [("p0", "p1"), ("p1", "p2"), ("p2", "p1"), ("s00", "p0")]
+    g, found = build(spark, arcs), rows_of(monkeypatch, analytics, "bucketed")
+    got = values(analytics.page_rank(g, tolerance=1e-12), "node_id", "rank")
+    ranks = dict.fromkeys(got, 1 / 53)
+    out = {n: sum(a == n for a, _ in arcs) for n in got}
+    for _ in range(200):
+        ranks = {n: 0.15 / 53 + 0.85 * sum(ranks[a] / out[a] for a, b in arcs if b == n) for n in got}
+    assert got == pytest.approx(ranks, rel=1e-6) and found == {"shares": 3}
+
+
+def test_arcs_stay_in_place_while_communities_move(spark, monkeypatch):
+    arcs = [(a, b) for g in ("ABCD", "WXYZ") for a in g for b in g if a < b] + [("D", "W")]
+    found = rows_of(monkeypatch, clustering, "bucketed")
+    assert len(values(clustering.communities(build(spark, arcs)), "node_id", "community")) == 8 and found == {"arcs": 26}

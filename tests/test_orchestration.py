@@ -59,6 +59,24 @@ def test_centralities_equal_brute_force(spark, monkeypatch, n, m, batch):
     assert {r["node_id"]: r["closeness"] for r in analytics.closeness(g).collect()} == pytest.approx(close)
 
 
+@pytest.mark.parametrize("pairs", [30, 200_000_000])
+def test_many_sources_are_one_search_unless_they_find_too_much(spark, monkeypatch, pairs):
+    written = []
+    keep = analytics.cut
+    monkeypatch.setattr(analytics, "cut", lambda df, what="round": written.append(what) or keep(df, what))
+    monkeypatch.setattr(analytics, "SOURCES", 4)
+    monkeypatch.setattr(analytics, "PAIRS", pairs)
+    edges = {(i, 20 + i % 3) for i in range(20)} | {(20, 23), (21, 23), (23, 24)}
+    nodes = spark.createDataFrame([(f"n{i:02}", "Class") for i in range(25)], "node_id string, type string")
+    g = model.build(nodes, spark.createDataFrame([(i, f"n{a:02}", f"n{b:02}", "Call", 1.0) for i, (a, b) in enumerate(sorted(edges))], "seq long, src string, dst string, type string, strength double"))
+    got = {r["node_id"]: r["betweenness"] for r in analytics.betweenness(g).collect()}
+    assert got == pytest.approx({f"n{i:02}": x for i, x in enumerate([0.0] * 20 + [14.0, 14.0, 0.0, 16.0, 0.0])})
+    assert (len(written) < 12) == (pairs > 30)
+    written.clear()
+    assert {r["closeness"] for r in analytics.closeness(g).collect()} == {0.0} and len(written) < 4  # two nodes that nothing points to
+
+
+
 def test_strings_within_strings(spark):
     r = random.Random(3)
     short = ["".join(r.choice("ab:") for _ in range(r.randint(0, 5))) for _ in range(60)]
