@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Chunks that a splitter holds before it hands them on, those of one text apart.
+CHUNKS = 2000
 #: Words: runs of letters, marks, digits and connectors, in any script.
 WORDS = r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]+"
 #: Headers and links in Markdown.
@@ -109,10 +111,14 @@ def paragraph_chunks(text: str, most: int = 512, overlap: int = 50) -> list[str]
 def chunked(rows: DataFrame, how: str, text: str, **options) -> DataFrame:
     """rows with (chunk_no, chunk, first_line, last_line); how: semantic, lines or paragraphs.
 
-    The splitters are folds over one text; they run on Arrow batches, row by row inside."""
+    The splitters are folds over one text; they run on Arrow batches, row by row inside,
+    and hand chunks on by about CHUNKS, however many a batch gives."""
     split = {"semantic": semantic_split, "lines": line_chunks, "paragraphs": paragraph_chunks}[how]
     keys = [c for c in rows.columns if c != text]
 
+    def frame(out: list[list]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[*keys, "chunk_no", "chunk", "first_line", "last_line"]).astype({"first_line": "Int64", "last_line": "Int64"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -121,7 +127,11 @@ def chunked(rows: DataFrame, how: str, text: str, **options) -> DataFrame:
                 for i, c in enumerate(split(row[text] or "", **options)):
                     c = c if isinstance(c, tuple) else (c, None, None)
                     out.append([row[k] for k in keys] + [i, *c])
-            yield pd.DataFrame(out, columns=[*keys, "chunk_no", "chunk", "first_line", "last_line"]).astype({"first_line": "Int64", "last_line": "Int64"})
+                if len(out) >= CHUNKS:
+                    yield frame(out)
+                    out = []
+            if out:
+                yield frame(out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text)
     return rows.mapInPandas(run, f"{schema}, chunk_no int, chunk string, first_line long, last_line long")

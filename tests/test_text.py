@@ -1,5 +1,6 @@
 """Goldens of the text, quality and budget functions."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,17 @@ def test_entities_and_first_paragraph(spark):
     e = one(spark, prose.entities(F.col("t")), t=text)
     assert e["classes"] == ["UserService"] and e["dependencies"] == ["redis"]
     assert one(spark, prose.first_paragraph(F.col("t")), t=text) == "`UserService` with Redis and redis"
+
+
+def test_chunks_are_handed_on_before_the_batch_ends():
+    frames = []
+
+    class Rows:
+        columns, schema = ["doc_id", "t"], []
+
+        def mapInPandas(self, run, schema):
+            frames.extend(run(iter([pd.DataFrame({"doc_id": range(500), "t": ["line of words\n" * 60] * 500})])))
+
+    prose.chunked(Rows(), "lines", "t", most=8)
+    assert sum(map(len, frames)) == 500 * len(prose.line_chunks("line of words\n" * 60, 8)) and max(map(len, frames)) < prose.CHUNKS + 100
+    assert [i for f in frames for i in f.doc_id.unique()] == list(range(500))
