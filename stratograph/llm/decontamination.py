@@ -1,13 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are TF-IDF vectors over hashed words, with document frequencies counted over the
-whole corpus.  The SVD of the benchmark's passages, some at a time and at full rank, gives
-latent spaces that hold every passage of an item whole: only what they span can match an item.
-Every passage of every document is projected and compared by cosine with every item; what
+whole corpus.  A distributed randomised SVD of all passages of the corpus gives its latent
+space: every partition multiplies its passages by a random matrix and back, the sums of all of
+them are factorised.  Items are folded in, and passages compared with them by cosine there; what
 comes near is aligned word by word, and counts as a leak if a long enough share of the item,
-and of its answer, occurs there in order.  A short item, or one of common words, is lost in a
-passage that holds it, so runs of words that a text has in common with an item lead to the
-alignment as well: what stands word for word is found whatever its length and its words.
+and of its answer, occurs there in order and the whole vectors are near enough as well.
+
+A latent space of low rank loses items of rare words, so two more searches lead to the alignment
+as well: spaces of the benchmark's own passages at full rank, which hold every item whole, and
+for items lost in a passage that holds them, short ones or of common words, runs of words that
+a text has in common with them: what stands word for word is found whatever its length and words.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from .substring_dedup import Words
 
 @dataclass(frozen=True)
 class Settings:
-    """features: hash buckets of words; rank: passages, and so dimensions at most, of a latent space; window, stride:
-    words of a passage and between passages; least_*: cosine of a candidate, share of an
+    """features: hash buckets of words; latent, sketch: dimensions of the corpus's latent space and columns of the
+    random matrix it comes from; near, near_long: cosine of a candidate in it, of items too long for
+    their rarest words to tell where they may be; rank: passages, and so dimensions at most, of a
+    space of items' own; window, stride: words of a passage and between passages; least_*: cosine of a candidate, share of an
     item's words found in order, share of its answer's, and weight that a word keeps although
     every document holds it; items: items searched in one pass; run: words of the runs that
     lead to an item (of a shorter item: all of it); least_runs: share of an item's runs that a
@@ -48,10 +53,18 @@ class Settings:
     run: int = 3
     least_runs: float = 0.25
     short: int = 8
+    latent: int = 32
+    sketch: int = 48
+    near: float = 0.3
+    near_long: float = 0.8
 
 
-#: Segments projected at a time.
+#: Segments, and features, projected at a time; passages compared with all items at a time.
 CACHED = 32
+COMPARED = 1024
+#: Tasks that sketch the corpus at most, and parts of 1 in what they sum up: whole numbers have one sum in any order.
+SKETCHES = 256
+PARTS = 1024
 
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[128:] = False
@@ -69,6 +82,114 @@ class _Terms:
         self.features = (self.names & np.uint64(settings.features - 1)).astype(np.int64)
 
 
+class _Passages:
+    """The passages of a block: segments of ``stride`` words, each with the next ones of its text up to ``window`` words.
+
+    first, stop, text: of segments; last: the last segment of the passage that begins with one; norm: square
+    lengths of passages in all features; more: the passages that also hold the next segment, the one after it
+    and so on."""
+
+    def __init__(self, terms: _Terms, weight: np.ndarray, s: Settings):
+        words = terms.words
+        at = np.arange(words.n)
+        begins = (at - words.ends[words.text]) % s.stride == 0
+        self.first, self.segment = np.flatnonzero(begins), np.cumsum(begins) - 1
+        self.text = text = words.text[self.first]
+        self.stop = np.minimum(self.first + s.stride, words.ends[text + 1])
+        w = weight[terms.features]
+        own = np.add.reduceat(w * w, self.first)
+        self.norm, self.last, self.more = own.copy(), np.arange(len(self.first)), []
+        for k in range(1, max(1, s.window // s.stride)):
+            rows = np.flatnonzero(text[:-k] == text[k:]) if len(text) > k else np.zeros(0, np.int64)
+            self.more.append(rows)
+            self.norm[rows] += own[rows + k]
+            self.last[rows] = rows + k
+
+    def sums(self, part: np.ndarray) -> np.ndarray:
+        """Of the segments of each passage."""
+        out = part.copy() if self.more else part
+        for k, rows in enumerate(self.more, 1):
+            out[rows] += part[rows + k]
+        return out
+
+    def spread(self, passages: np.ndarray) -> np.ndarray:
+        """Of the passages that each segment lies in: the transpose of ``sums``."""
+        out = passages.copy()
+        for k, rows in enumerate(self.more, 1):
+            out[rows + k] += passages[rows]
+        return out
+
+
+def _summed_rows(matrix: np.ndarray, row: np.ndarray, begin: np.ndarray, out: np.ndarray, into: np.ndarray) -> None:
+    """Adds the rows ``row`` of a matrix, summed from each ``begin`` to the next, to the rows ``into``."""
+    ends = np.append(begin, len(row))
+    for a in range(0, len(begin), CACHED):  # so many at a time stay in the processor's cache
+        b = min(a + CACHED, len(begin))
+        out[into[a:b]] += np.add.reduceat(matrix[row[ends[a] : ends[b]]], begin[a:b] - ends[a], axis=0)
+
+
+def _test_matrix(s: Settings) -> np.ndarray:
+    return np.random.default_rng(6).standard_normal((s.features, s.sketch), np.float32)
+
+
+def _sketched(terms: _Terms, weight: np.ndarray, wide: np.ndarray, total: np.ndarray, s: Settings) -> None:
+    """Adds A'A times a random matrix to ``total``, A being the passages of a block at length 1; wide: that matrix times weights."""
+    if not terms.words.n:
+        return
+    p = _Passages(terms, weight, s)
+    part = np.zeros((len(p.first), s.sketch), np.float32)
+    _summed_rows(wide, terms.features, p.first, part, np.arange(len(p.first)))
+    part = p.spread(p.sums(part) / np.maximum(p.norm, 1e-12)[:, None].astype(np.float32))
+    short = terms.features.astype(np.uint16 if s.features <= 1 << 16 else np.int64)  # sorted by their digits
+    order = np.argsort(short, kind="stable")
+    features = terms.features[order]
+    begin = np.flatnonzero(np.diff(features, prepend=-1))
+    sums = np.zeros((len(begin), s.sketch), np.float32)
+    _summed_rows(part, p.segment[order], begin, sums, np.arange(len(begin)))
+    found = features[begin]
+    total[found] += sums * weight[found, None]
+
+
+def _latent_axes(texts: DataFrame, weight: np.ndarray, s: Settings) -> np.ndarray:
+    """(features x dimensions): the first right singular vectors of all passages of the corpus, of length 1 each.
+
+    Randomised, in one pass: Z = A'A R for a random R is summed up over all partitions, and A'A is
+    Z (R'Z)^-1 Z' but for what the sketch misses.  What is sent and summed up is bounded by the
+    features times the columns of R, whatever the corpus."""
+    h, k = s.features, s.sketch
+
+    def sketch(batches):
+        wide = _test_matrix(s) * weight[:, None].astype(np.float32)
+        total = np.zeros((h, k))
+        for batch in batches:
+            for _, block in pieces(batch.column(0)):
+                _sketched(_Terms(block, s), weight, wide, total, s)
+        return np.rint(total.ravel() * PARTS).astype(np.int64)
+
+    return _axes(summed(texts.coalesce(SKETCHES), sketch, h * k, "<i8").reshape(h, k) / PARTS, s)
+
+
+def _axes(z: np.ndarray, s: Settings) -> np.ndarray:
+    inner = _test_matrix(s).astype(float).T @ z
+    size, turn = np.linalg.eigh((inner + inner.T) / 2)
+    some = size > 1e-6 * max(1e-300, size.max(initial=0))
+    if not some.any():
+        return np.zeros((s.features, 0))
+    axes, size, _ = np.linalg.svd(z @ (turn[:, some] / np.sqrt(size[some])), full_matrices=False)
+    return axes[:, : s.latent][:, size[: s.latent] > 1e-6 * size[0]]
+
+
+def _latent_space(passages: list[np.ndarray], axes: np.ndarray, weight: np.ndarray) -> dict | None:
+    """The corpus's latent space with the items' passages folded in, as ``_spaces`` gives those of items alone."""
+    basis = (axes * weight[:, None]).astype(np.float32)
+    queries = np.array([basis[x].sum(axis=0) for x in passages], np.float32).reshape(len(passages), basis.shape[1])
+    length = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+    owner = np.flatnonzero(length > 1e-6)
+    if not len(owner):
+        return None
+    return {"basis": basis, "queries": queries[owner] / length[owner, None], "owner": owner, "used": np.arange(len(weight), dtype=np.int32), "latent": True}
+
+
 def _document_frequency(texts: DataFrame, settings: Settings) -> tuple[np.ndarray, int]:
     h = settings.features
 
@@ -94,9 +215,9 @@ def _places(used: np.ndarray, settings: Settings) -> np.ndarray:
 
 
 def _spaces(passages: list[np.ndarray], weight: np.ndarray, settings: Settings) -> list[dict]:
-    """Latent spaces of the items' passages (features of their words), ``rank`` passages each.
+    """Spaces of the items' passages alone (features of their words), ``rank`` passages each.
 
-    A space has as many dimensions as its passages need, so it holds each of them whole and a
+    They complete the corpus's latent space: what that one's low rank loses of an item is here.  A space has as many dimensions as its passages need, so it holds each of them whole and a
     cosine worked out in it is that of the unprojected vectors.  basis: (features of the space
     x dimensions), times the features' weights; queries: the passages, of length 1; owner:
     their numbers; used: the features of the space."""
@@ -116,7 +237,7 @@ def _spaces(passages: list[np.ndarray], weight: np.ndarray, settings: Settings)
         if len(axes):
             basis = (axes.T * weight[used, None]).astype(np.float32)
             queries = (rows @ axes.T).astype(np.float32)
-            out.append({"basis": basis, "queries": queries, "owner": np.arange(a, a + len(group)), "used": used.astype(np.int32)})
+            out.append({"basis": basis, "queries": queries, "owner": np.arange(a, a + len(group)), "used": used.astype(np.int32), "latent": False})
     return out
 
 
@@ -174,25 +295,24 @@ class _Rare:
     def __init__(self, names: list[list[int]], frequency: np.ndarray, s: Settings):
         features, item, need, size = [], [], [], []
         for i, x in enumerate(names):
-            f = (np.array(x, np.uint64) & np.uint64(s.features - 1)).astype(np.int64)
+            f = (np.array(x if len(x) <= self.LONG else [], np.uint64) & np.uint64(s.features - 1)).astype(np.int64)
             lacking = int((1 - s.least_common) * len(f) + 1e-9)
             rare = f[np.argsort(frequency[f], kind="stable")[: lacking + self.MORE]]
             features.append(rare)
             item.append(np.full(len(rare), i))
             need.append(len(rare) - lacking)
-            size.append(len(f))
-        self.everywhere = any(n > self.LONG for n in size)
+            size.append(len(x))
+        self.long = np.flatnonzero(np.array(size) > self.LONG)
+        self.everywhere = len(self.long) > 0
         self.need, self.size = np.array(need, np.int64), np.array(size, np.int64)
         f, i = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (features, item))
         both, self.count = np.unique(f * max(1, len(names)) + i, return_counts=True)
         f, self.item = both // max(1, len(names)), both % max(1, len(names))
         self.first = np.searchsorted(f, np.arange(s.features + 1)).astype(np.int64)
 
-    def near(self, terms: _Terms, s: Settings) -> np.ndarray:
-        """Which words of a block lie where an item may be."""
-        words, out = terms.words, np.ones(terms.words.n, bool)
-        if self.everywhere or not words.n:
-            return out
+    def near(self, terms: _Terms, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(which words of a block lie where an item may be; the stretches (item, first, stop) where one that is not long may be)."""
+        words = terms.words
         n = (self.first[1:] - self.first[:-1])[terms.features]
         place = np.flatnonzero(n)
         n = n[place]
@@ -206,8 +326,9 @@ class _Rare:
         stop = np.searchsorted(key + place, key + np.minimum(place + far, words.n), "right")
         ok = total[stop] - total[:-1] >= self.need[item]
         place, reach = place[ok], s.window + self.size[item[ok]]  # of the first rare word, to the ends of the passage
-        edge = np.bincount(np.maximum(place - reach, 0), minlength=words.n + 1) - np.bincount(np.minimum(place + reach, words.n), minlength=words.n + 1)
-        return np.cumsum(edge)[:-1] > 0
+        first, stop = np.maximum(place - reach, 0), np.minimum(place + reach, words.n)
+        edge = np.bincount(first, minlength=words.n + 1) - np.bincount(stop, minlength=words.n + 1)
+        return (np.cumsum(edge)[:-1] > 0) | self.everywhere, item[ok], first, stop
 
 
 class _Runs:
@@ -292,8 +413,9 @@ def _searches(texts: DataFrame, benchmark: DataFrame, s: Settings, item_col: str
     frequency, n = _document_frequency(texts, s)
     weight = np.log((n + 1) / (frequency + 1)).clip(0) + s.least_weight
     blocks = -(-n_items // s.items)
+    axes = _latent_axes(texts, weight, s) if blocks else None
     for b in range(blocks):
-        shared = texts.sparkSession.sparkContext.broadcast(_model(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), weight, frequency, s))
+        shared = texts.sparkSession.sparkContext.broadcast(_model(items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), weight, frequency, s, axes))
 
         def find(column, shared=shared):
             m = shared.value
@@ -304,7 +426,7 @@ def _searches(texts: DataFrame, benchmark: DataFrame, s: Settings, item_col: str
         yield find
 
 
-def _model(items: DataFrame, weight: np.ndarray, frequency: np.ndarray, s: Settings) -> dict:
+def _model(items: DataFrame, weight: np.ndarray, frequency: np.ndarray, s: Settings, axes: np.ndarray | None = None) -> dict:
     found = items.orderBy("item_id", "text").collect()
     names = _names([r["text"] for r in found], s)
     answers = _names([_answer(r["text"]) for r in found], s)
@@ -314,8 +436,10 @@ def _model(items: DataFrame, weight: np.ndarray, frequency: np.ndarray, s: Setti
         for a in range(0, max(1, len(x) - s.window // 2) if x else 0, s.window):
             passages.append(features[a : a + s.window])
             owner.append(i)
+    latent = None if axes is None else _latent_space(passages, axes, weight)
     return {
-        "spaces": _spaces(passages, weight, s),
+        "spaces": [*([] if latent is None else [latent]), *_spaces(passages, weight, s)],
+        "passages": passages,
         "owner": np.array(owner, np.int64),
         "ids": [r["item_id"] for r in found],
         "items": [_Item(x) for x in names],
@@ -326,30 +450,40 @@ def _model(items: DataFrame, weight: np.ndarray, frequency: np.ndarray, s: Setti
     }
 
 
-def _near(features: np.ndarray, segment: np.ndarray, where: np.ndarray, norm: np.ndarray, more: list, space: dict, s: Settings):
+def _near(features: np.ndarray, p: _Passages, where: np.ndarray, may: tuple, m: dict, space: dict, s: Settings):
     """(passage, item passage, cosine) of the pairs of a block and a space that are near enough.
 
-    features, segment: of each word; where: segments that may hold an item; norm: square norms of the passages in all features; more:
-    the passages that also hold the next segment, the one after it and so on."""
+    features: of each word; where: segments that may hold an item; may: (passage, item) of the pairs
+    where one that is not long may be.  In the latent space, where much is near, only those are
+    compared, and all passages with long items; the cosine is that of the projections there, in
+    spaces of items' own passages that of the whole vectors."""
     row = _places(space["used"], s)[features]
-    used = np.flatnonzero((row >= 0) & where[segment])
+    used = np.flatnonzero((row >= 0) & where[p.segment])
     if not len(used):
         return
-    begin = np.flatnonzero(np.diff(segment[used], prepend=-1))
-    part = np.zeros((len(norm), space["basis"].shape[1]), np.float32)
-    into, row = segment[used[begin]], row[used]
-    ends = np.append(begin, len(row))
-    for a in range(0, len(begin), CACHED):  # so many segments at a time stay in the processor's cache
-        b = min(a + CACHED, len(begin))
-        part[into[a:b]] = np.add.reduceat(space["basis"][row[ends[a] : ends[b]]], begin[a:b] - ends[a], axis=0)
-    passage = part.copy() if more else part
-    for k, rows in enumerate(more, 1):
-        passage[rows] += part[rows + k]
-    length = np.sqrt(np.maximum(norm, 1e-12))
-    rows = np.flatnonzero(np.einsum("ij,ij->i", passage, passage) >= (0.999 * s.least_cosine * length) ** 2)  # the others are too far from all
-    cosine = (passage[rows] @ space["queries"].T) / length[rows, None]
-    for p, q in zip(*np.nonzero(cosine >= s.least_cosine)):
-        yield rows[p], space["owner"][q], float(cosine[p, q])
+    begin = np.flatnonzero(np.diff(p.segment[used], prepend=-1))
+    part = np.zeros((len(p.norm), space["basis"].shape[1]), np.float32)
+    _summed_rows(space["basis"], row[used], begin, part, p.segment[used[begin]])
+    passage, least = p.sums(part), s.near if space["latent"] else s.least_cosine
+    size = np.einsum("ij,ij->i", passage, passage)
+    length = np.sqrt(np.maximum(size if space["latent"] else p.norm, 1e-12))
+    rows, queries = np.flatnonzero(size >= (0.999 * least * length) ** 2), np.arange(len(space["owner"]))  # the others are too far from all
+    if space["latent"]:
+        items = m["owner"][space["owner"]]  # in ascending order, as items' passages are numbered
+        first, stop = np.searchsorted(items, may[1], "left"), np.searchsorted(items, may[1], "right")
+        n = stop - first
+        at, query = np.repeat(may[0], n), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        for a in range(0, len(at), COMPARED):
+            i, q = at[a : a + COMPARED], query[a : a + COMPARED]
+            cosine = np.einsum("ij,ij->i", passage[i], space["queries"][q]) / length[i]
+            for k in np.flatnonzero(cosine >= least):
+                yield i[k], space["owner"][q[k]], float(cosine[k])
+        queries = np.flatnonzero(np.isin(items, m["rare"].long))
+    for a in range(0, len(rows) if len(queries) else 0, COMPARED):
+        some, least = rows[a : a + COMPARED], s.near_long if space["latent"] else s.least_cosine
+        cosine = (passage[some] @ space["queries"][queries].T) / length[some, None]
+        for i, q in zip(*np.nonzero(cosine >= least)):
+            yield some[i], space["owner"][queries[q]], float(cosine[i, q])
 
 
 def _matches(terms: _Terms, weight: np.ndarray, m: dict, s: Settings) -> dict:
@@ -358,36 +492,34 @@ def _matches(terms: _Terms, weight: np.ndarray, m: dict, s: Settings) -> dict:
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     if not words.n or not m["names"]:
         return best
+    _by_spaces(terms, weight, m, s, best)
     for runs in m["runs"]:
         _by_runs(terms, runs, weight, m, s, best)
-    if not m["spaces"]:
-        return best
-    at = np.arange(words.n)
-    begins = (at - words.ends[words.text]) % s.stride == 0
-    first, segment = np.flatnonzero(begins), np.cumsum(begins) - 1
-    text = words.text[first]
-    stop = np.minimum(first + s.stride, words.ends[text + 1])
-    w = weight[terms.features]
-    own = np.add.reduceat(w * w, first)
-    norm, last, more = own.copy(), np.arange(len(first)), []
-    for k in range(1, max(1, s.window // s.stride)):  # a passage is this segment and the next ones of the same text
-        more.append(np.flatnonzero(text[:-k] == text[k:]) if len(text) > k else np.zeros(0, np.int64))
-        norm[more[-1]] += own[more[-1] + k]
-        last[more[-1]] = more[-1] + k
-    where = np.logical_or.reduceat(m["rare"].near(terms, s), first)
-    if not where.any():
-        return best
-    near = (x for space in m["spaces"] for x in _near(terms.features, segment, where, norm, more, space, s))
+    return best
+
+
+def _by_spaces(terms: _Terms, weight: np.ndarray, m: dict, s: Settings, best: dict) -> None:
+    """Adds the items that a passage is near to, in the corpus's latent space or in one of items' own, after alignment."""
+    p = _Passages(terms, weight, s)
+    words, item, first, stop = m["rare"].near(terms, s)
+    where = np.logical_or.reduceat(words, p.first)
+    if not m["spaces"] or not where.any():
+        return
+    begin = p.segment[first]
+    n = p.segment[stop - 1] - begin + 1
+    passage = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    passage, item = np.divmod(np.unique(passage * len(m["items"]) + np.repeat(item, n)), len(m["items"]))
+    near = ((*x, space["latent"]) for space in m["spaces"] for x in _near(terms.features, p, where, (passage, item), m, space, s))
     seen = set()  # a long item's passages lead to the same stretch of text again and again
-    for p, q, cosine in near:
+    for i, q, cosine, projected in near:
         item = int(m["owner"][q])
         wanted = m["items"][item]
-        row = int(text[p])
-        a = max(int(terms.words.ends[row]), int(first[p]) - wanted.size)
-        b = min(int(terms.words.ends[row + 1]), int(stop[last[p]]) + wanted.size)
-        if (item, a, b) in seen:
+        row = int(p.text[i])
+        a = max(int(terms.words.ends[row]), int(p.first[i]) - wanted.size)
+        b = min(int(terms.words.ends[row + 1]), int(p.stop[p.last[i]]) + wanted.size)
+        if (item, a, b, projected) in seen:
             continue
-        seen.add((item, a, b))
+        seen.add((item, a, b, projected))
         around = terms.names[a:b].tolist()
         common = wanted.in_order(around, s.least_common * wanted.size) / wanted.size
         if common < s.least_common:
@@ -396,8 +528,10 @@ def _matches(terms: _Terms, weight: np.ndarray, m: dict, s: Settings) -> dict:
         answer = wanted.in_order(around) / max(1, wanted.size)
         if answer < s.least_answer:
             continue
-        _keep(best, row, item, (cosine, common, answer))
-    return best
+        if projected:  # common words alone are near to much in the latent space
+            cosine = _cosine(terms.names[p.first[i] : p.stop[p.last[i]]], m["passages"][q].astype(np.uint64), weight, s)
+        if cosine >= s.least_cosine:
+            _keep(best, row, item, (cosine, common, answer))
 
 
 def _keep(best: dict, row: int, item: int, got: tuple[float, float, float]) -> None:

@@ -112,3 +112,57 @@ def test_rare_words_lead_to_all_that_alignment_finds(spark):
     gated = [decontamination._matches(decontamination._Terms(b, s), weight, m, s) for b in blocks]
     m["rare"].everywhere = True
     assert gated == [decontamination._matches(decontamination._Terms(b, s), weight, m, s) for b in blocks] and sum(map(len, gated)) > 20
+
+
+def test_the_latent_space_is_that_of_all_passages(spark):
+    """The distributed randomised SVD against a plain one of all passages of the corpus."""
+    import numpy as np
+    import pyarrow as pa
+
+    from stratograph.llm.ngram_join import pieces
+
+    r = random.Random(8)
+    s = decontamination.Settings(features=1 << 10, latent=6, sketch=24)
+    topics = [[f"t{k}w{j}" for j in range(12)] for k in range(6)]
+    texts = [" ".join(r.choice(topics[i % 6]) if r.random() < 0.9 else f"w{r.randrange(300)}" for _ in range(40 + 30 * (i % 6))) for i in range(240)]
+    weight = np.linspace(0.5, 1.5, s.features)
+    frame = spark.createDataFrame([(t.encode(),) for t in texts] + [(None,), (b"",)], "text binary").repartition(5)
+    axes = decontamination._latent_axes(frame, weight, s)
+    rows = []
+    for _, b in pieces(pa.array([t.encode() for t in texts], pa.binary())):
+        t = decontamination._Terms(b, s)
+        for a, z in zip(t.words.ends[:-1], t.words.ends[1:]):
+            for i in range(a, z, s.stride):
+                f = t.features[i : min(i + s.window, z)]
+                rows.append(np.bincount(f, minlength=s.features) * weight / np.sqrt((weight[f] ** 2).sum()))
+    a = np.array(rows)
+    true = np.linalg.svd(a, full_matrices=False)[2][: s.latent].T
+    assert axes.shape == true.shape and np.allclose(axes.T @ axes, np.eye(s.latent), atol=1e-6)
+    assert np.linalg.norm(a @ axes) >= 0.99 * np.linalg.norm(a @ true)
+    assert decontamination._latent_axes(frame.limit(0), weight, s).shape[1] == 0
+
+
+def test_the_latent_space_alone_leads_to_leaks(spark):
+    """Recall by the corpus's latent space, without spaces of items' own and without runs; what it finds, all searches find."""
+    import numpy as np
+    import pyarrow as pa
+
+    from stratograph.llm.ngram_join import pieces
+
+    r = random.Random(9)
+    s = decontamination.Settings()
+    items = [[r.choice(COMMON) if r.random() < 0.5 else f"w{r.randrange(800)}" for _ in range(r.randint(16, 60))] for _ in range(30)] + [[f"long{k}" for k in range(400)]]
+    docs = corpus(r, 93, rare=800, words=200)
+    for i, d in enumerate(docs):
+        d[90:90] = [w for w in items[i % 31] if r.random() < 0.9]
+    texts = [" ".join(d) for d in docs]
+    frame = spark.createDataFrame([(t.encode(),) for t in texts], "text binary").repartition(3)
+    frequency, n = decontamination._document_frequency(frame, s)
+    weight = np.log((n + 1) / (frequency + 1)).clip(0) + s.least_weight
+    table = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    m = decontamination._model(table, weight, frequency, s, decontamination._latent_axes(frame, weight, s))
+    assert [x["latent"] for x in m["spaces"]] == [True] + [False] * (len(m["spaces"]) - 1)
+    search = lambda m: {(first + d, i) for first, b in pieces(pa.array([t.encode() for t in texts], pa.binary())) for d, i in decontamination._matches(decontamination._Terms(b, s), weight, m, s)}
+    alone, planted = search({**m, "spaces": m["spaces"][:1], "runs": []}), {(i, i % 31) for i in range(93)}
+    assert len(alone & planted) >= 0.9 * len(planted) and {(i, 30) for i in (30, 61, 92)} <= alone
+    assert alone <= search(m)
