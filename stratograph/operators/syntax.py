@@ -1,7 +1,8 @@
 """Types, members, calls and base lists of source files, as joins and windows over their tokens.
 
-A file becomes its tokens, one row each; running sums over them give the level of braces and
-brackets, and with these the statements: what stands between ``;``, ``{`` and ``}``.  Over the
+A file becomes its braces, brackets and semicolons, one row each, with the run of tokens before
+it; running sums over them give the levels, and with these the statements: what stands between
+``;``, ``{`` and ``}``.  Over the
 statements, running sums again tell which type and which member each lies in, and differences
 of running sums at a block's two ends what it holds, so nothing is joined with what encloses it.
 Python's indentation is turned into braces first.  A file's rows are sorted in one task; files
@@ -80,7 +81,7 @@ def braced(tokens: list[str]) -> list[str]:
 
 
 def tokens(files: DataFrame) -> DataFrame:
-    """(path, language, i, tok) of files (path, language, content); null contents have none."""
+    """(path, language, tokens) of files (path, language, content); null contents have none."""
     rows = files.select("path", "language", F.coalesce("content", F.lit("")).alias("t"))
     plain = rows.filter("language <> 'Python'")
     found = F.when(F.col("language").isin("C", "C++", "C#"), F.regexp_extract_all("t", F.lit(DIRECTIVES), F.lit(0))).otherwise(F.regexp_extract_all("t", F.lit(BRACES), F.lit(0)))
@@ -91,33 +92,62 @@ def tokens(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([braced(t) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=batch.schema.names)
 
     indented = indented.mapInArrow(brace, indented.schema)
-    both = plain.select("path", "language", found.alias("tokens")).unionByName(indented)
-    return both.select("path", "language", F.posexplode("tokens").alias("i", "tok"))
+    return plain.select("path", "language", found.alias("tokens")).unionByName(indented)
+
+
+def _told(token: Column) -> Column:
+    """Whether a token is neither blank nor a comment (COMMENT)."""
+    comment = token.startswith("//") | token.startswith("#") | (token.startswith("/*") & token.endswith("*/") & (F.length(token) >= 4))
+    return ~F.trim(token).isin("", "\n") & ~comment
+
+
+def _runs(files: DataFrame) -> DataFrame:
+    """(path, language, i, tok, canon, raw, any, first, last, feeds): the runs of tokens up to each brace, bracket or
+    semicolon tok, null at the end of a file; any: whether tokens are in the run, canon and raw: they, one blank
+    apart; first, last: line feeds of the run before the first and the last of them; feeds: all."""
+    at = F.filter(F.transform("tokens", lambda x, i: F.when(x.isin("{", "}", "(", ")", ";"), i + 1)), lambda i: i.isNotNull())
+    rows = tokens(files).select("path", "language", "tokens", F.concat(F.array(F.lit(0)), at, F.array(F.size("tokens") + 1)).alias("at"))
+    runs = F.transform(
+        F.sequence(F.lit(0), F.size("at") - 2), lambda k: F.struct(F.slice("tokens", F.get("at", k) + 1, F.get("at", k + 1) - F.get("at", k) - 1).alias("run"), F.get("tokens", F.get("at", k + 1) - 1).alias("tok"))
+    )
+    rows = rows.select("path", "language", F.posexplode(runs).alias("i", "r")).select("path", "language", "i", "r.tok", "r.run")
+    rows = rows.withColumn("told", F.transform("run", _told)).withColumn("held", F.filter("run", _told)).filter("tok is not null or size(held) > 0")
+    canon = F.transform("held", lambda x: F.when(x.rlike(STRING), '""').otherwise(x))
+    first = F.array_position("told", True).cast("int")
+    last = F.size("told") + 1 - F.array_position(F.reverse("told"), True).cast("int")
+    feeds = lambda run: F.length(run) - F.length(F.replace(run, F.lit("\n"), F.lit("")))
+    upto = lambda n: feeds(F.array_join(F.slice("run", 1, F.greatest(n - 1, F.lit(0))), ""))
+    some = F.size("held") > 0
+    return rows.select(
+        "path", "language", "i", "tok", some.alias("any"), F.array_join(canon, " ").alias("canon"), F.array_join("held", " ").alias("raw"),
+        F.when(some, upto(first)).alias("first"), F.when(some, upto(last)).alias("last"), feeds(F.array_join("run", "")).alias("feeds"),
+    )
 
 
 def statements(files: DataFrame) -> DataFrame:
     """(path, language, seq, head, raw, ends, line, last_line): what stands between boundaries.
 
-    ends is the boundary behind it, or empty at the end of a file; a ``;`` in brackets is none."""
+    ends is the boundary behind it, or empty at the end of a file; a ``;`` in brackets is none.
+    Only braces, brackets and semicolons are rows, with the run of tokens before them."""
     of_file = Window.partitionBy("path").orderBy("i")
     before = of_file.rowsBetween(Window.unboundedPreceding, -1)
-    rows = tokens(files)
-    lines = F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit("")))
-    rows = rows.withColumn("line", F.lit(1) + F.coalesce(F.sum(lines).over(before), F.lit(0)))
-    rows = rows.filter(~F.trim("tok").isin("", "\n") & ~F.col("tok").rlike(COMMENT))
-    step = lambda a, b: F.sum((F.col("tok") == a).cast("int") - (F.col("tok") == b).cast("int")).over(of_file)
+    rows = _runs(files).withColumn("line", F.lit(1) + F.coalesce(F.sum("feeds").over(before), F.lit(0)))
+    step = lambda a, b: F.sum(F.coalesce((F.col("tok") == a).cast("int") - (F.col("tok") == b).cast("int"), F.lit(0))).over(of_file)
     rows = rows.withColumn("level", step("{", "}")).withColumn("depth", step("(", ")"))
     inside = Window.partitionBy("path", "level").orderBy("i")
     rows = rows.withColumn("outer", F.coalesce(F.last(F.when(F.col("tok") == "{", F.col("depth")), ignorenulls=True).over(inside), F.lit(0)))
-    boundary = F.col("tok").isin("{", "}") | ((F.col("tok") == ";") & (F.col("depth") <= F.col("outer")))
+    boundary = F.coalesce(F.col("tok").isin("{", "}") | ((F.col("tok") == ";") & (F.col("depth") <= F.col("outer"))), F.lit(False))
     rows = rows.withColumn("boundary", boundary)
     rows = rows.withColumn("seq", F.coalesce(F.sum(F.col("boundary").cast("int")).over(before), F.lit(0)))
-    canon = F.when(F.col("tok").rlike(STRING), '""').otherwise(F.col("tok"))
-    held = F.struct("i", canon.alias("canon"), "tok")
+    more = F.when(~F.col("boundary"), F.col("tok"))
+    part = lambda run: F.concat_ws(" ", F.when(F.col("any"), F.col(run)), more)
+    held = F.when(F.col("any") | more.isNotNull(), F.struct("i", part("canon").alias("canon"), part("raw").alias("raw")))
+    own = F.when(F.col("tok").isNotNull(), F.col("line") + F.col("feeds"))  # of the token behind the run
     out = rows.groupBy("path", "language", "seq").agg(
-        F.sort_array(F.collect_list(F.when(~F.col("boundary"), held))).alias("held"), F.coalesce(F.max(F.when(F.col("boundary"), F.col("tok"))), F.lit("")).alias("ends"), F.min("line").alias("line"), F.max("line").alias("last_line")
-    )
-    head, raw = F.array_join(F.transform("held", lambda x: x["canon"]), " "), F.array_join(F.transform("held", lambda x: x["tok"]), " ")
+        F.sort_array(F.collect_list(held)).alias("held"), F.coalesce(F.max(F.when(F.col("boundary"), F.col("tok"))), F.lit("")).alias("ends"),
+        F.min(F.coalesce(F.col("line") + F.col("first"), own)).alias("line"), F.max(F.coalesce(own, F.col("line") + F.col("last"))).alias("last_line"),
+    )
+    head, raw = F.array_join(F.transform("held", lambda x: x["canon"]), " "), F.array_join(F.transform("held", lambda x: x["raw"]), " ")
     return out.select("path", "language", "seq", head.alias("head"), raw.alias("raw"), "ends", "line", "last_line")
 
 

@@ -1,5 +1,8 @@
 """Types, members, calls and complexity of sources in seven languages, counted by hand."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +220,43 @@ def test_graph_of_sources(files):
     assert {(cart + "Cart", "shop/base.py::Base", "Inheritance"), (shop + "OrderController", shop + "IOrders", "Implementation"), ("shop/cart.py", "shop/base.py", "Dependency"), ("api/Shop.cs", shop + "Color", "Contains"), (shop + "Color", shop + "Color.Red", "Contains"), (shop + "OrderController", shop + "OrderController.Run", "Contains")} <= edges
     nodes = {r["node_id"]: r for r in g.nodes.collect()}
     assert nodes[cart + "Cart"]["line_count"] == 23 and nodes["shop/cart.py"]["type"] == "File" and nodes["null.cs"]["line_count"] == 1
+
+
+def _by_loop(tokens):
+    """(head, raw, ends, line, last_line) of each statement, token by token."""
+    out, held, lines, line, depth, outer = [], [], [], 1, 0, {}
+    level = 0
+    for tok in tokens:
+        here, line = line, line + tok.count("\n")
+        if tok.strip(" ") in ("", "\n") or tok.startswith(("//", "#")) or (tok.startswith("/*") and len(tok) > 3):
+            continue
+        level += (tok == "{") - (tok == "}")
+        depth += (tok == "(") - (tok == ")")
+        if tok == "{":
+            outer[level] = depth
+        lines.append(here)
+        if tok in "{}" or (tok == ";" and depth <= outer.get(level, 0)):
+            out.append((held, tok, lines))
+            held, lines = [], []
+        else:
+            held.append(tok)
+    if held:
+        out.append((held, "", lines))
+    quoted = re.compile(r"""[A-Za-z$@]{0,2}["'`]""")
+    return [(i, " ".join('""' if quoted.match(t) else t for t in h), " ".join(h), e, min(n), max(n)) for i, (h, e, n) in enumerate(out)]
+
+
+def test_only_braces_brackets_and_semicolons_are_rows(spark):
+    """Statements from runs of tokens are those of a loop over all tokens, and prose is a row or two, not one a word."""
+    r = random.Random(3)
+    parts = ["{", "}", "(", ")", ";", "\n", "// c ; {\n", "/* a {\n b */", '"s;{"', "#x\n", "foo", "class A", "=>", '"open\n', "`t\n;`", "/*", "#", "for(i=0;i<3;i++)", "@At", ":", "\r\n", "é"]
+    rows = [(f"f{i}", r.choice(["C#", "JavaScript", "Java", "Python"]), "".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randint(0, 50)))) for i in range(200)]
+    files = spark.createDataFrame([*rows, ("none", "C#", None)], "path string, language string, content string")
+    tokens = {x["path"]: x["tokens"] for x in syntax.tokens(files).collect()}
+    got: dict = {}
+    for x in syntax.statements(files).collect():
+        got.setdefault(x["path"], []).append((x["seq"], x["head"], x["raw"], x["ends"], x["line"], x["last_line"]))
+    want = {p: _by_loop(t) for p, t in tokens.items()}
+    assert {p: sorted(v) for p, v in got.items()} == {p: v for p, v in want.items() if v}
+    prose = spark.createDataFrame([("p", "Java", "some words of prose, " * 500 + "end;")], "path string, language string, content string")
+    assert syntax._runs(prose).count() == 1
