@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ _WALK = re.compile(r"\b(?:if|for|foreach|while|case|catch)\b")
 _PY_WALK = re.compile(r"\b(?:if|elif|for|while|except|and|or)\b")
 #: Times a file's parser is tried.
 ATTEMPTS = 3
+#: Files whose texts and findings a task holds at a time.
+FILES = 256
 #: The language's name in the tables of import patterns.
 _NAMES = {"C#": "csharp", "JavaScript": "javascript", "TypeScript": "javascript", "Java": "java", "Python": "python", "C": "c", "C++": "c"}
 
@@ -144,17 +146,19 @@ def parsed(files: DataFrame, parsers: dict | None = None) -> tuple[DataFrame, Da
     rows = files.filter(~ignored_in_graph(F.col("path"))).withColumn("language", language(F.col("path"), GRAPH_LANGUAGES)).filter("language <> 'Unknown'")
     rows = rows.select("path", "language", F.coalesce("content", F.lit("")).alias("content"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string()] * 6 + [pa.int32()] * 2
         names = ["kind", "path", "language", "id", "type", "name", "lines", "complexity"]
         for batch in batches:
-            out = []
-            for path, lang, text in zip(batch.path, batch.language, batch.content):
-                nodes, arcs = _tried(own.get(lang, parse_file), path, lang, text)
-                out += [("node", path, lang, *n) for n in nodes]
-                out += [("arc", path, lang, a[0], a[2], a[1], 0, 0) for a in arcs]
-            yield pd.DataFrame(out, columns=names)
-
-    both = rows.mapInPandas(run, "kind string, path string, language string, id string, type string, name string, lines int, complexity int")
+            for first in range(0, batch.num_rows, FILES):  # texts and findings of so many files are held, not those of a batch
+                out = []
+                for path, lang, text in zip(*(c.to_pylist() for c in batch.slice(first, FILES).columns)):
+                    nodes, arcs = _tried(own.get(lang, parse_file), path, lang, text)
+                    out += [("node", path, lang, *n) for n in nodes]
+                    out += [("arc", path, lang, a[0], a[2], a[1], 0, 0) for a in arcs]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=names)
+
+    both = rows.mapInArrow(run, "kind string, path string, language string, id string, type string, name string, lines int, complexity int")
     nodes = both.filter("kind = 'node'").select(F.col("id").alias("node_id"), "type", "name", "language", F.col("path").alias("file_path"), F.col("lines").alias("line_count"), "complexity")
     return nodes, both.filter("kind = 'arc'").select(F.col("id").alias("src"), F.col("name").alias("target"), "type")
 

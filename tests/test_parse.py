@@ -52,3 +52,11 @@ def test_graph_of_files(spark):
     assert ("shop/cart.py::Cart", "shop/base.py::Base", "Inheritance") in edges
     assert ("shop/cart.py", "shop/base.py", "Dependency") in edges
     assert ("a/Shop.cs::ShopController", "a/Shop.cs::IShop", "Implementation") in edges
+
+
+def test_files_of_a_batch_are_held_in_slices(spark):
+    """All files of one batch are parsed, more than a task holds at a time; a null content is an empty file."""
+    n = 2 * parse.FILES + 3
+    files = spark.createDataFrame([(f"a/f{i}.py", None if i == 5 else "x\n" * (i % 4)) for i in range(n)], "path string, content string").coalesce(1)
+    nodes, arcs = parse.parsed(files)
+    assert {r["file_path"]: r["line_count"] for r in nodes.collect()} == {f"a/f{i}.py": 1 if i == 5 else i % 4 + 1 for i in range(n)} and arcs.count() == 0
