@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 
 
 
+#: Texts that a task makes strings of at a time.
+TEXTS = 256
+
+
 @dataclass(frozen=True)
 class Settings:
     """a_name: bits of the table a name; least, most: powers of two that the table lies between;
@@ -168,7 +172,8 @@ def _occurrences(texts: DataFrame, names: DataFrame, rows, schema: str, s: Setti
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, own in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), s.characters):
+            parts = (batch.slice(a, TEXTS) for a in range(0, batch.num_rows, TEXTS))
+            for ids, own in (x for part in parts for x in _pieces(part.column(0).to_pylist(), part.column(1).to_pylist(), s.characters)):
                 out = rows(ids, own, _alone(own, _candidates(own, shared.value, sizes, bits, s.longest))) if sizes else []
                 kinds = [batch.schema.field(0).type, *_KINDS[schema]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * len(kinds), kinds)], names=["id", *_NAMES[schema]])
@@ -246,8 +251,10 @@ def enriched(texts: DataFrame, links: DataFrame) -> DataFrame:
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [t if not f else _linked(t, [tuple(x.values()) for x in f]) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.string())], names=["id", "t"])
+            for a in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(a, TEXTS)
+                done = [t if not f else _linked(t, [tuple(x.values()) for x in f]) for t, f in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(done, pa.string())], names=["id", "t"])
 
     return rows.mapInArrow(link, f"id {texts.schema['id'].dataType.simpleString()}, t string")
 

@@ -84,3 +84,12 @@ def test_links_from_a_table(spark):
         4: "a [big [User](u.md) Service]",
         5: "[User Service](us.md) Bus",
     }
+
+
+def test_texts_of_a_batch_are_held_in_slices(spark):
+    """All texts of one batch are linked, more than a task holds at a time."""
+    n = 2 * references.TEXTS + 3
+    texts = spark.createDataFrame([(i, None if i == 7 else f"see Redis {i}" if i % 2 else "nothing") for i in range(n)], "id long, t string").coalesce(1)
+    got = references.enriched(texts, spark.createDataFrame([("Redis", "r.md")], "name string, target string"))
+    want = {i: None if i == 7 else f"see [Redis](r.md) {i}" if i % 2 else "nothing" for i in range(n)}
+    assert {r["id"]: r["t"] for r in got.collect()} == want
