@@ -179,7 +179,7 @@ def g11_all(spark, sf_dir):
     """Cycles of the whole graph where parts point back at the suppliers of their first lines."""
     g = model.graph(spark, sf_dir)
     back = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.concat(F.lit("part::"), "l_partkey").alias("src"), F.concat(F.lit("supplier::"), "l_suppkey").alias("dst"))
-    return analytics.strong_components(g.nodes, g.edges.select("src", "dst").unionByName(back))
+    return analytics.strong_components(g.nodes, g.adjacency.unionByName(back))
 
 
 @R.query("g12_weak_components", on_graph("""SELECT node_id, min(node_id) OVER (PARTITION BY r) AS component FROM (SELECT 'region::' || r_regionkey AS node_id, r_regionkey AS r FROM region
