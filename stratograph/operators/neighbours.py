@@ -134,8 +134,9 @@ def nearest(index: Index, queries: DataFrame, k: int, probes: int = 4) -> DataFr
         return cut(rows.select("id", "v", "least").mapInArrow(visit, "cell int, id bigint, v binary, least double"), "visits")
 
     def scored(found: DataFrame) -> DataFrame:
+        # merged, never broadcast: files of vectors that repeat are small and pass for small tables
         sizes = found.groupBy("cell").agg(F.ceil(F.count("*") / PACK).alias("packs"))
-        packs = found.join(sizes, "cell").groupBy("cell", F.pmod(F.xxhash64("id"), F.col("packs")).alias("pack")).agg(F.collect_list(F.struct("id", "v", "least")).alias("asked"))
+        packs = found.join(sizes.hint("merge"), "cell").groupBy("cell", F.pmod(F.xxhash64("id"), F.col("packs")).alias("pack")).agg(F.collect_list(F.struct("id", "v", "least")).alias("asked"))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -152,16 +153,16 @@ def nearest(index: Index, queries: DataFrame, k: int, probes: int = 4) -> DataFr
                     i, j = np.nonzero(keep)
                     yield pa.RecordBatch.from_arrays([rows.field("id").take(pa.array(i)), pa.array(doc[at[i, j]]), pa.array(best[i, j])], names=["query_id", "doc_id", "score"])
 
-        return cut(index.blocks.join(packs, "cell").select("ids", "vectors", "asked").mapInArrow(score, _FOUND), "scores")
+        return cut(index.blocks.join(packs.hint("merge"), "cell").select("ids", "vectors", "asked").mapInArrow(score, _FOUND), "scores")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     near = visits(asked.withColumn("least", F.lit(-2.0)), False)
     first = scored(near)
     kth = ranked(first).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
-    far = visits(asked.join(kth, "id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0))), True)
+    far = visits(asked.join(kth.hint("merge"), "id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0))), True)
     cells = near.unionByName(far).groupBy(F.col("id").alias("query_id")).agg(F.count_distinct("cell").alias("cells"))
-    return ranked(first.unionByName(scored(far))).join(cells, "query_id").select("query_id", "rank", "doc_id", "score", "cells")
+    return ranked(first.unionByName(scored(far))).join(cells.hint("merge"), "query_id").select("query_id", "rank", "doc_id", "score", "cells")
 
 
 def contexts(found: DataFrame, documents: DataFrame) -> DataFrame:

@@ -33,3 +33,19 @@ def test_empty_index_and_no_queries(spark):
     assert neighbours.nearest(empty, spark.createDataFrame([(1, [1.0, 0.0, 0.0])], f"query_id long, {schema}"), 3).count() == 0
     index = neighbours.build(spark.createDataFrame([(1, [1.0, 0.0, 0.0])], f"doc_id long, {schema}"), 3)
     assert neighbours.nearest(index, spark.createDataFrame([], f"query_id long, {schema}"), 3).count() == 0
+
+
+def test_vectors_are_never_broadcast(spark, monkeypatch):
+    plans, keep = [], neighbours.cut
+
+    def noted(df, what="round"):
+        plans.append((what, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(df, what)
+
+    monkeypatch.setattr(neighbours, "cut", noted)
+    rows = spark.range(400).selectExpr("id doc_id", "array(cast(id % 7 as double), 1d, cast(id % 3 as double)) embedding")  # repeats make small files
+    asked = rows.filter("doc_id % 40 = 0").withColumnRenamed("doc_id", "query_id")
+    found = neighbours.nearest(neighbours.build(rows, 3), asked, 5)
+    plans.append(("found", found._jdf.queryExecution().executedPlan().toString()))
+    assert found.count() == 50 and [what for what, _ in plans].count("scores") == 2
+    assert not [what for what, plan in plans if "Broadcast" in plan]
