@@ -49,3 +49,19 @@ def test_vectors_are_never_broadcast(spark, monkeypatch):
     plans.append(("found", found._jdf.queryExecution().executedPlan().toString()))
     assert found.count() == 50 and [what for what, _ in plans].count("scores") == 2
     assert not [what for what, plan in plans if "Broadcast" in plan]
+
+
+def test_contexts_broadcast_no_vectors(spark, monkeypatch):
+    read, keep = [], neighbours.cut
+
+    def noted(df, what="round"):
+        read.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, what)
+
+    monkeypatch.setattr(neighbours, "cut", noted)
+    rows = spark.range(300).selectExpr("id doc_id", "array(1d, cast(id % 5 as double)) embedding")
+    documents = spark.range(150).selectExpr("id doc_id", "concat('text ', id) text", "map('pageTitle', concat('Page ', id)) payload")
+    asked = rows.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    got = neighbours.contexts(neighbours.nearest(neighbours.build(rows, 2), asked, 3), documents).collect()
+    assert {r["query_id"]: r["context"] for r in got} == dict.fromkeys((0, 100, 200), "".join(f"Source [{k + 1}]: Page {i}\ntext {i}\n---\n" for k, i in enumerate((0, 5, 10))))
+    assert not [plan for plan in read if "Broadcast" in plan]
