@@ -11,7 +11,7 @@ from test_edges import naive_bayes
 from test_joins import closure, shingles
 
 import corpus_pipeline
-from stratograph.llm import language_id, oracles
+from stratograph.llm import decontamination, language_id, oracles
 
 ITEMS = [(0, " ".join(f"ka{chr(97 + i % 26)}bel{i}" for i in range(24))), (1, "who made the first boat of reeds"), (2, " ".join(f"zu{i}" for i in range(12)))]
 
@@ -73,3 +73,26 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
     ids = {w[0] for w in want}  # copies, items and unknown languages are gone, some documents come twice
     assert 60 < len(ids) < len(want) and not ids & {*range(200, 210, 2), *range(300, 312, 2), 400, 401, 402}
+
+
+def test_decontamination_searches_the_latent_space_of_its_documents(spark, tmp_path, monkeypatch):
+    """The stage's distributed SVD takes all rows it gets, and its space alone, without the other searches, leads to leaks."""
+    r = random.Random(23)
+    rows = [r for r in fixture() if r[1] and len(r[1].split()) > 6]
+    words = sorted({w for x in rows for w in x[1].split()})
+    items = [(i, " ".join(r.choice(words) for _ in range(30))) for i in range(12)]
+    leaks = [[500 + i, " ".join([*rows[i][1].split()[:60], *(w for w in items[i % 12][1].split() if r.random() < 0.9)]), "x", "s1", 1] for i in range(36)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([*rows, *map(tuple, leaks)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    sketched, model, axes = [], decontamination._model, decontamination._latent_axes
+    monkeypatch.setattr(decontamination, "_latent_axes", lambda texts, *x: sketched.append(texts.count()) or axes(texts, *x))
+
+    def latent_alone(*x):
+        m = model(*x)
+        return {**m, "spaces": [space for space in m["spaces"] if space.get("latent")], "runs": []}
+
+    monkeypatch.setattr(decontamination, "_model", latent_alone)
+    kept = {x["doc_id"] for x in corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    planted = {x[0] for x in leaks}
+    assert sketched == [len(rows) + len(leaks)]
+    assert len(planted - kept) >= 0.9 * len(planted) and {x[0] for x in rows} <= kept
