@@ -76,6 +76,19 @@ def test_many_sources_are_one_search_unless_they_find_too_much(spark, monkeypatc
     assert {r["closeness"] for r in analytics.closeness(g).collect()} == {0.0} and len(written) < 4  # two nodes that nothing points to
 
 
+def test_searches_broadcast_nothing_and_leave_what_is_found_in_place(spark, monkeypatch):
+    plans, keep = [], analytics.bucketed
+    monkeypatch.setattr(analytics, "bucketed", lambda df, key, what, **how: (plans.append((what, df._jdf.queryExecution().executedPlan().toString())), keep(df, key, what, **how))[1])
+    monkeypatch.setattr(analytics, "FOUND", 3)
+    g, edges = random_graph(spark, 5, 16, 22)
+    between, close = brandes(16, edges)
+    assert {r["node_id"]: r["betweenness"] for r in analytics.betweenness(g).collect()} == pytest.approx(between)
+    assert {r["node_id"]: r["closeness"] for r in analytics.closeness(g).collect()} == pytest.approx(close)
+    kinds = [k for k, _ in plans]
+    assert "found" in kinds and "dependencies" in kinds and not any("Broadcast" in p and k != "arcs" for k, p in plans)
+    levels = [p for k, p in plans if k == "paths" and "LeftAnti" in p]
+    assert levels and all(p.count("Exchange hashpartitioning") == 2 for p in levels)  # of the frontier and of what it leads to
+
 
 def test_strings_within_strings(spark):
     r = random.Random(3)
